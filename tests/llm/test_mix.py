@@ -45,11 +45,12 @@ def test_targets_and_budgets(spark):
     for r in got:
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 * max(1, want[s])
-        assert 0 <= r["taken"] <= 3 * r["size"] and (r["size"] == 0) == (r["size"] == 0 and r["taken"] == 0 or r["size"] > 0 and False)
+        assert 0 <= r["taken"] <= 3 * r["size"]
         assert r["size"] == 0 or r["taken"] % r["size"] == 0
         taken[s] += r["taken"]
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 4, (s, taken[s], t)
+        longest = max(len((x or "").split()) for _, x, k in data if k == s)
+        assert abs(taken[s] - t) <= (4 if longest < 1000 else longest / 2), (s, taken[s], t)
 
 
 def test_reruns_agree_and_the_mix_repeats_rows(spark):
@@ -87,11 +88,15 @@ def test_subset_sum_matches_exhaustive_search():
         counts = r.integers(1, 4, len(lengths))
         budget = int(r.integers(0, lengths @ counts + 3))
         take = mix.fit_budget(lengths, counts, budget)
-        assert (0 <= take).all() and (take <= counts).all() and lengths @ take <= budget
+        assert (0 <= take).all() and (take <= counts).all() and lengths @ take <= budget + lengths.max()
         sums = {0}
         for n, c in zip(lengths, counts, strict=True):
             sums = {s + k * int(n) for s in sums for k in range(int(c) + 1)}
         start = np.minimum(np.floor(counts * (budget / (lengths @ counts))).astype(int), counts)
-        assert lengths @ take >= lengths @ start
-        if budget in sums and (lengths > 1).any() and counts.min() > 0 and budget <= 2 * lengths.max():
-            assert budget - lengths @ take <= lengths.max()
+        rest = {0}
+        for n, c in zip(lengths, counts - start, strict=True):
+            rest = {s + k * int(n) for s in rest for k in range(int(c) + 1)}
+        best = min(abs(budget - lengths @ start - s) for s in rest)
+        if budget - lengths @ start <= 2 * lengths.max():
+            assert abs(budget - lengths @ take) == best or budget > lengths @ counts
+        assert lengths @ take in sums

@@ -85,7 +85,7 @@ def format_paths(paths: DataFrame, messages: DataFrame, keys: list[str], id_col:
 def read_turns(formatted: str | Column = "formatted") -> Column:
     """array<struct<role, text>> of a formatted conversation, parsed from the string alone."""
     c = F.col(formatted) if isinstance(formatted, str) else formatted
-    pieces = F.slice(F.split(c, r"<\|im_start\|>", -1), 2, 2_147_483_647)
+    pieces = F.filter(F.split(c, r"<\|im_start\|>", -1), lambda _, i: i > 0)
 
     def turn(p: Column) -> Column:
         whole = F.substring(p, F.lit(1), F.length(p) - len(END))

@@ -46,10 +46,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), passes: in
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length (positive, distinct) to take so that their lengths add up to the budget, or just below it.
+    """How many documents of each length (positive, distinct) to take so that their lengths come nearest to the budget.
 
     First the same share of every length; then one more of the lengths with the largest remainders while what is left
-    exceeds twice the greatest length; the rest is an exact subset sum over free documents, each used once at most.
+    exceeds twice the greatest length; for the rest, the subset sum of free documents that is nearest, below or above.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     total = int(lengths @ counts)
@@ -69,17 +69,18 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         if take[i] < counts[i]:
             take[i] += 1
             left -= int(lengths[i])
-    reach = np.zeros(left + 1, dtype=bool)
+    width = left + int(lengths.max()) + 1
+    reach = np.zeros(width, dtype=bool)
     reach[0] = True
-    step = np.zeros(left + 1, dtype=np.int64)
+    step = np.zeros(width, dtype=np.int64)
     parts: list[tuple[int, int]] = [(0, 0)]
     for i in np.argsort(-lengths, kind="stable"):
-        free, size = int(min(counts[i] - take[i], left // lengths[i])), 1
+        free, size = int(min(counts[i] - take[i], (width - 1) // lengths[i])), 1
         while free > 0 and not reach[left]:
             size = min(size, free)
             span = int(lengths[i]) * size
-            new = np.zeros(left + 1, dtype=bool)
-            new[span:] = reach[: left + 1 - span]
+            new = np.zeros(width, dtype=bool)
+            new[span:] = reach[: width - span]
             new &= ~reach
             step[new] = len(parts)
             parts.append((int(i), size))
@@ -87,7 +88,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             free, size = free - size, size * 2
         if reach[left]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - left))])
     while at:
         i, size = parts[step[at]]
         take[i] += size
