@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, langid, lm, mix, quality, simhash, warc
+from tracewright.llm import chat, jpeg, langid, lm, mix, quality, simhash, spm, srs, warc
 from tracewright.llm.common import crc_mod, table
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_samples(table(spark, sf_dir, "documents"), k=2)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, crc_mod("id", 3) != 1)
@@ -48,19 +52,30 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(told.unionByName(more))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srs.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_language_id": op3_language_id,
         "op4_quality": op4_quality,
         "op5_suffix_tree": op5_suffix_tree,
         "op6_warc": op6_warc,
         "op7_chat": op7_chat,
+        "op8_ann": op8_ann,
         "op9_mix": op9_mix,
+        "op10_media": op10_media,
     }
 
 
