@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.plans import log_queries
 
-def oracle_sql() -> dict:
-    return {}
+ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {**log_queries.QUERIES}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for name, (run, _) in ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in ALL.items() if sql is not None}
