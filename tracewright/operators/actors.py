@@ -71,7 +71,8 @@ def enrich_bots(events: DataFrame, metadata: DataFrame, raw_col: str = "actor_id
 
 def reference_counts(docs: DataFrame, field: str, actors: DataFrame, is_array: bool = False) -> DataFrame:
     """How many documents refer to one of the actors in a field."""
-    rows = docs.select(F.monotonically_increasing_id().alias("d"), (F.explode(field) if is_array else F.col(field)).cast("string").alias("actor_raw"))
+    numbered = docs.withColumn("d", F.monotonically_increasing_id())
+    rows = numbered.select("d", (F.explode(field) if is_array else F.col(field)).alias("actor_raw")).withColumn("actor_raw", F.col("actor_raw").cast("string"))
     return rows.join(actors.select("actor_raw").distinct(), "actor_raw", "left_semi").agg(F.count_distinct("d").alias("n_documents"))
 
 

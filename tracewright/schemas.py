@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
-EVENTS = StructType.fromDDL(
+_KINDS = {"string": StringType(), "long": LongType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def struct(ddl: str) -> StructType:
+    """A flat schema of the four types above; unlike fromDDL it needs no session."""
+    return StructType([StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+
+
+EVENTS = struct(
     "event_id string, project_id string, project_name string, issue_id string, issue_external_id string, actor_id_raw string, "
     "actor_role_raw string, timestamp timestamp, source string, event_type string, lifecycle_stage string, target_id string, "
     "event_scope string, linkage_type string, text_available boolean, text_length long, files_changed long, lines_added long, "
     "lines_deleted long, pr_id string, review_id string, commit_id string, metadata_json string"
 )
-WARNINGS = StructType.fromDDL("project_name string, project_id string, event_id string, warning_type string, source string, event_type string, message string")
+WARNINGS = struct("project_name string, project_id string, event_id string, warning_type string, source string, event_type string, message string")
 COUNT_DIMS = ["project_name", "project_id", "source", "event_type", "lifecycle_stage", "event_scope", "linkage_type"]
 
 # Names that stored event logs and published tables use.
