@@ -12,6 +12,7 @@ Template: <|im_start|>role, newline, text, <|im_end|>, newline. A control string
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,23 +51,31 @@ def reply_paths(messages: DataFrame, id_col: str = "msg_id", parent_col: str = "
     there = rows.select(F.col("id").alias("parent")).withColumn("there", F.lit(True))
     state = rows.join(there, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("id").alias("top"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("depth"))
     parents = state.where("up is not null").select(F.col("up").alias("id")).distinct()
+    # level j holds the messages whose 2**j-th ancestor is looked up; those that reached their root stay behind
     levels = [materialize(state, "chat-jump")]
-    n = levels[0].count()
+    n, done = levels[0].count(), []
     for _ in range(max(1, math.ceil(math.log2(n + 1)) + 1)):
-        last = levels[-1]
-        if last.where("up is not null").isEmpty():
+        done.append(levels[-1].where("up is null"))
+        last = levels[-1].where("up is not null")
+        if last.isEmpty():
             break
-        far = last.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("sum").alias("sum2"), F.col("depth").alias("depth2"))
-        more = F.col("depth2").isNotNull()
-        step = last.join(far, "up", "left").select("id", F.col("up2").alias("up"), F.when(more, F.col("top2")).otherwise(F.col("top")).alias("top"), F.when(more, F.col("sum") + F.col("sum2")).otherwise(F.col("sum")).alias("sum"), F.when(more, F.col("depth") + F.col("depth2")).otherwise(F.col("depth")).alias("depth"))
+        far = reduce(DataFrame.unionByName, [*done, last]).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("sum").alias("sum2"), F.col("depth").alias("depth2"))
+        step = last.join(far, "up").select("id", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("depth") + F.col("depth2")).alias("depth"))
         levels.append(materialize(step, "chat-jump"))
-    placed = levels[-1].where("up is null")
+    placed = reduce(DataFrame.unionByName, done)
     best = Window.partitionBy("top").orderBy(F.desc("sum"), F.desc("depth"), F.asc("id"))
     chosen = placed.join(parents, "id", "left_anti").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
-    path = chosen.select(F.col("top").alias("root"), F.col("id").alias("leaf"), "rank", F.col("id").alias("node"))
-    for level in reversed(levels[:-1]):
-        jump = level.select(F.col("id").alias("node"), "up")
-        path = path.join(jump, "node", "left").select("root", "leaf", "rank", F.explode(F.filter(F.array("node", "up"), lambda x: x.isNotNull())).alias("node"))
+    # a leaf enters at the level of its farthest jump, so short branches pass through few joins
+    far_level = F.when(F.col("depth") > 1, F.floor(F.log2(F.col("depth") - 1))).otherwise(-1)
+    chosen = materialize(chosen.select(F.col("top").alias("root"), F.col("id").alias("leaf"), "rank", F.col("id").alias("node"), far_level.alias("level")), "chat-leaves")
+    path = chosen.where("level < 0").drop("level")
+    longer = None
+    for j in reversed(range(len(levels))):
+        enter = chosen.where(F.col("level") == j).drop("level")
+        longer = enter if longer is None else longer.unionByName(enter)
+        jump = levels[j].where("up is not null").select(F.col("id").alias("node"), "up")
+        longer = longer.join(jump, "node", "left").select("root", "leaf", "rank", F.explode(F.filter(F.array("node", "up"), lambda x: x.isNotNull())).alias("node"))
+    path = path.unionByName(longer)
     return path.join(placed.select(F.col("id").alias("node"), "depth"), "node").select("root", "leaf", "rank", "node", "depth")
 
 
