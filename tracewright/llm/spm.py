@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Stands for a literal U+2581 while white space is marked by it; no valid text holds a surrogate.
 LITERAL = "\ud800"
 #: Characters of text and rows that are walked at once.
-BATCH_CHARS, BATCH_ROWS = 1_000_000, 1024
+BATCH_CHARS, BATCH_ROWS = 2_500_000, 2048
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,7 +81,8 @@ class Vocabulary:
         with np.errstate(over="ignore"):
             at = (h * _MULT >> self.shift).astype(np.int64)
         out = self.ids[at]
-        todo = np.flatnonzero((self.keys[at] != h) & (out != -2))
+        todo = np.flatnonzero(out != -2)
+        todo = todo[self.keys[at[todo]] != h[todo]]
         while len(todo):
             at[todo] = (at[todo] + 1) & self.mask
             out[todo] = self.ids[at[todo]]
