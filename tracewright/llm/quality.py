@@ -1,7 +1,7 @@
 """Quality classifier: support vectors on naive Bayes features (Wang and Manning 2012), by dual coordinate descent.
 
-Features are indicators of byte n-grams (n = 1, 2, 3; the last hashed) of the whole text, case kept. Each indicator is
-scaled by its smoothed log-count ratio between the classes; on those, a linear hinge-loss model is fitted in the dual,
+Features are indicators of byte n-grams (n = 1, 2, 3; the last hashed) of the whole text, case kept, of the share of
+word pairs that repeat one word, and of the text's length by octaves. Each indicator is scaled by its smoothed log-count ratio between the classes; on those, a linear hinge-loss model is fitted in the dual,
 one coordinate at a time (Hsieh et al. 2008). Margins of rows that a fold has not seen give the logistic calibration,
 and class counts over all labelled rows give its prior, so a balanced sample doesn't shift the scores.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,11 @@ from pyspark.sql.types import StructType
 
 from tracewright.llm.common import byte_ngrams, hashed_sample
 
-#: Buckets: 256 single bytes, 65,536 pairs, 65,536 hashed triples.
-WIDTH = 256 + 2 * 65536
+#: Shares of repeated words among neighbouring pairs, at which another indicator begins.
+REPEATS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4)
+#: Buckets: 256 single bytes, 65,536 pairs, 65,536 hashed triples, shares of repeats, octaves of the length.
+GRAMS = 256 + 2 * 65536
+WIDTH = GRAMS + len(REPEATS) + 1 + 64
 CHUNK = 1 << 18
 
 
@@ -34,6 +38,10 @@ def indicators(data: bytes | None) -> np.ndarray:
         if len(b) > 1:
             flags[256 + (b[:-1].astype(np.int64) << 8 | b[1:])] = True
             flags[256 + 65536 + byte_ngrams(b, 3, 16)] = True
+    words = data.split()
+    again = sum(map(eq, words, words[1:])) / max(1, len(words) - 1)
+    flags[GRAMS + sum(again > r for r in REPEATS)] = True
+    flags[GRAMS + len(REPEATS) + 1 + len(data).bit_length()] = True
     return np.flatnonzero(flags)
 
 
