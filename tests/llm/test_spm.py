@@ -1,3 +1,4 @@
+import copy
 import math
 
 import numpy as np
@@ -66,6 +67,30 @@ def test_frequencies_follow_the_distribution_without_replacement(v):
     assert abs(np.mean(weights) - p[top]) < 0.05
 
 
+def test_second_sample_of_several_chunks_follows_the_law(v):
+    flat = copy.copy(v)
+    flat.weight = np.zeros(len(v.pieces))
+    m = len(enumerate_all(flat, "to"))
+    runs = 4000
+    got = list(spm.sample(flat, ["to to"] * runs, np.arange(runs, dtype=np.uint64), k=2))
+    last = 0
+    for a, b in got:
+        texts = [[v.pieces[i] for i in x[0]] for x in (a, b)]
+        cut = [next(i for i in range(1, len(t) + 1) if sum(map(len, t[:i])) == 3) for t in texts]
+        last += texts[0][: cut[0]] == texts[1][: cut[1]]
+    # all m * m segmentations are equally likely: m - 1 of the m * m - 1 others share the first chunk's
+    assert abs(last / runs - (m - 1) / (m * m - 1)) < 0.03
+    # in a long text the second sample is all but independent of the first
+    same = []
+    for a, b in spm.sample(flat, ["to" + " to" * 299] * 20, np.arange(20, dtype=np.uint64), k=2):
+        ends = [{e: tuple(x[0][i : i + 1]) for i, e in enumerate(np.cumsum([len(v.pieces[j]) for j in x[0]]).tolist())} for x in (a, b)]
+        same.append(len(set(ends[0].items()) & set(ends[1].items())) / len(ends[0]))
+    alone = [next(spm.sample(flat, ["to" + " to" * 299], np.array([100 + i], dtype=np.uint64), k=1))[0][0] for i in range(20)]
+    ends = [{e: int(x[i]) for i, e in enumerate(np.cumsum([len(v.pieces[j]) for j in x]).tolist())} for x in alone]
+    chance = np.mean([len(set(p.items()) & set(q.items())) / len(p) for p, q in zip(ends[:-1], ends[1:], strict=True)])
+    assert abs(np.mean(same) - chance) < 0.05
+
+
 def test_round_trip_of_every_sample(spark, v):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "null key"), (100, None), (101, "long word " * 20_000), (102, "y" * 30_000), (3, "the day")]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, sample int")

@@ -18,7 +18,7 @@ as does a literal U+2581, so decoding gives every text back.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -162,8 +162,6 @@ class Lattice:
             top = np.maximum.reduceat(x, at)
             beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, self.count[nodes])), at))
         self.share = weight + beta[self.to] - beta[node]
-        with np.errstate(over="ignore"):
-            self.slow = np.exp(-self.share)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,54 +191,71 @@ def _least(time: np.ndarray, doc: np.ndarray, n: int, keep: int) -> np.ndarray:
     return np.concatenate(out) if out else left[:0]
 
 
-def _walk(lat: Lattice, occ: np.ndarray, node: np.ndarray, step: np.ndarray, time: np.ndarray, seed: np.ndarray, keep: int, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _log_times(lat: Lattice, node: np.ndarray, step: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all edges of some nodes: the edge, which node it leaves, the logarithm of its time since the node; and where each node's edges start."""
+    count = lat.count[node]
+    e, at = _ranges(lat.first[node], count)
+    own = np.repeat(np.arange(len(node)), count)
+    with np.errstate(over="ignore"):
+        base = seed + step.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        race = _race(base[own] + (np.arange(len(own)) - at[own]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return e, own, np.log(race) - lat.share[e], at
+
+
+def _later(time: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log(exp(time) - exp(first)), infinite where time is."""
+    with np.errstate(divide="ignore"):
+        return time + np.log1p(-np.exp(first - time))
+
+
+def _walk(lat: Lattice, occ: np.ndarray, node: np.ndarray, step: np.ndarray, seed: np.ndarray) -> list[np.ndarray]:
     """Follow the taken segmentation of some chunks to their ends.
 
-    Perturbed values are kept as arrival times, exp(-value): the largest value is the first arrival, and a sibling that
-    would arrive d later than the taken edge has the taken path's time plus d, which is the conditional Gumbel value.
-    occ: chunk occurrence; node, step: where each one stands; time: its text's arrival; seed: its counter base. Returns
-    the tokens' occurrence, step and edge, and of the siblings left behind the keep first per doc: time, occurrence, step, edge.
+    The largest perturbed value is the first arrival of an exponential race, with times exp(-value). An edge's time since
+    its node has the rate of its share; which edge is first does not depend on the path to the node, so chunks are walked
+    independently. occ: chunk occurrence; node, step: where each one stands; seed: its counter base. Returns the tokens'
+    occurrence, step, edge and node, and the logarithm of the delay of the edge's first sibling, infinite without one.
     """
     took: list[tuple[np.ndarray, ...]] = []
-    side: list[tuple[np.ndarray, ...]] = []
     while len(occ):
-        count = lat.count[node]
-        at = np.cumsum(count) - count
-        own = np.repeat(np.arange(len(occ)), count)
-        each = np.arange(len(own)) - at[own]
-        e = lat.first[node][own] + each
-        with np.errstate(over="ignore"):
-            base = seed + step.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-            t = _race(base[own] + each.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * lat.slow[e]
-        first = np.minimum.reduceat(t, at)
-        late = t - first[own]
-        pick = np.flatnonzero(late == 0)
+        e, own, time, at = _log_times(lat, node, step, seed)
+        first = np.minimum.reduceat(time, at)
+        pick = np.flatnonzero(time == first[own])
         if len(pick) > len(occ):
             pick = pick[np.unique(own[pick], return_index=True)[1]]
-        taken = e[pick]
-        late[pick] = np.inf
-        # the keep least of the chunks' first siblings bound the keep least of all
-        soonest, whose = time + np.minimum.reduceat(late, at), doc[occ]
-        few = _least(soonest, whose, n, keep)
-        bound = np.full(n, -np.inf)
-        np.maximum.at(bound, whose[few], soonest[few])
-        bound[np.bincount(whose[few], minlength=n) < keep] = np.inf
-        some = np.flatnonzero(late <= (bound[whose] - time)[own] + 1e-9)
-        some = some[late[some] < np.inf]
-        arrive = time[own[some]] + late[some]
-        some = some[_least(arrive, whose[own[some]], n, keep)]
-        side.append((time[own[some]] + late[some], occ[own[some]], step[own[some]], e[some]))
-        took.append((occ, step, taken))
-        node = lat.to[taken]
+        time[pick] = np.inf
+        took.append((occ, step, e[pick], node, _later(np.minimum.reduceat(time, at), first)))
+        node = lat.to[e[pick]]
         go = node < lat.last[node - 1]
-        occ, node, step, time, seed = occ[go], node[go], step[go] + 1, time[go], seed[go]
+        occ, node, step, seed = occ[go], node[go], step[go] + 1, seed[go]
     empty = np.empty(0, dtype=np.int64)
-    tokens = [np.concatenate(x) for x in zip(*took, strict=True)] if took else [empty] * 3
-    if not side:
-        return *tokens, [np.empty(0), empty, empty, empty]
-    every = [np.concatenate(x) for x in zip(*side, strict=True)]
-    some = _least(every[0], doc[every[1]], n, keep)
-    return *tokens, [x[some] for x in every]
+    return [np.concatenate(x) for x in zip(*took, strict=True)] if took else [empty] * 4 + [np.empty(0)]
+
+
+def _siblings(lat: Lattice, path: dict[str, np.ndarray], time: np.ndarray, seeds: Callable[[np.ndarray], np.ndarray], keep: int, owner: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Of the siblings that a walk left behind, the keep first per text: log arrival, occurrence, step, edge.
+
+    A sibling's arrival has the rate of its cumulative probability, that of the whole text before it times its share. Given
+    that it is not before the taken path's arrival it comes later by its delay divided by the probability before it.
+    """
+    o, s = path["o"], path["s"]
+    share, before = lat.share[path["e"]], np.zeros(len(o))
+    ends = np.r_[path["begin"], len(o)]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):  # by text, so that rounding does not depend on the batch
+        if b > a + 1:
+            np.cumsum(share[a : b - 1], out=before[a + 1 : b])
+    # the steps with the keep least first siblings have the keep least of all
+    some = _least(path["gap"] - before, owner[o], n, keep)
+    if not len(some):
+        return np.empty(0), *[np.empty(0, dtype=np.int64)] * 3
+    e, own, t, at = _log_times(lat, path["node"][some], s[some], seeds(o[some]))
+    late = _later(t, np.minimum.reduceat(t, at)[own])
+    late[e == path["e"][some][own]] = np.inf
+    at, late = some[own], late - before[some][own]
+    arrive = np.logaddexp(time[owner[o[at]]], late)
+    arrive[late == np.inf] = np.inf
+    few = _least(arrive, owner[o[at]], n, keep)
+    return arrive[few], o[at][few], s[at][few], e[few]
 
 
 def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = 2, seed: int = 17) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
@@ -259,7 +274,7 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = 2,
     place = np.arange(len(word)) - begin[owner]
     with np.errstate(over="ignore"):
         base = splitmix(keys.astype(np.uint64) ^ np.uint64(seed * 0x9E37 + 1))
-        root = _race(base)
+        root = np.log(_race(base))
 
     def seeds(o: np.ndarray, r: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -269,10 +284,10 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = 2,
     queue: list[tuple[np.ndarray, ...]] = []  # arrivals of siblings, with the number of the sample that left them behind
     every = np.arange(len(word))
     paths: list[dict[str, np.ndarray]] = []
-    times = np.full((k, n), np.inf)
-    o, s, e, side = _walk(lat, every, lat.start[word], np.zeros(len(word), dtype=np.int64), root[owner], seeds(every, 0), k, owner, n)
+    times = np.full((k, n), np.inf)  # logarithms of arrivals
     times[0] = root
-    paths.append(_ordered(o, s, e, owner, n))
+    paths.append(_ordered(_walk(lat, every, lat.start[word], np.zeros(len(word), dtype=np.int64), seeds(every, 0)), owner, n))
+    side = _siblings(lat, paths[0], root, lambda o: seeds(o, 0), k, owner, n)
     queue.append((*side, np.zeros(len(side[0]), dtype=np.int64)))
     next_time = np.full(n, np.inf)
     for r in range(1, k + 1):
@@ -287,29 +302,30 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = 2,
         docs = owner[o_[best]]
         times[r, docs] = v_[best]
         # the tokens before the deviation, the deviating edge, and a fresh walk from there
-        tok = [[], [], []]
+        tok = [[], [], [], [], []]
         for p in range(r):
             mine = np.flatnonzero(from_[best] == p)
             if not len(mine):
                 continue
             edge_of = np.full(n, -1, dtype=np.int64)
             edge_of[docs[mine]] = best[mine]
-            po, ps, pe = paths[p]["o"], paths[p]["s"], paths[p]["e"]
+            po, ps, pe, pn = (paths[p][x] for x in ("o", "s", "e", "node"))
             b = edge_of[owner[po]]
             before = (b >= 0) & ((po < o_[b]) | (po == o_[b]) & (ps < s_[b]))
-            for x, y in zip(tok, (po, ps, pe), strict=True):
+            for x, y in zip(tok, (po, ps, pe, pn, np.full(len(po), np.inf)), strict=True):
                 x.append(y[before])
-        for x, y in zip(tok, (o_[best], s_[best], e_[best]), strict=True):
+        # the siblings up to the deviation are in the queue already
+        for x, y in zip(tok, (o_[best], s_[best], e_[best], np.zeros(len(best), dtype=np.int64), np.full(len(best), np.inf)), strict=True):
             x.append(y)
         inner = lat.to[e_[best]] < lat.last[lat.to[e_[best]] - 1]
         later, _ = _ranges(o_[best] + 1, begin[docs] + sizes[docs] - o_[best] - 1)
         go = np.r_[o_[best][inner], later]
         node = np.r_[lat.to[e_[best]][inner], lat.start[word[later]]]
         step = np.r_[s_[best][inner] + 1, np.zeros(len(later), dtype=np.int64)]
-        o, s, e, side = _walk(lat, go, node, step, times[r][owner[go]], seeds(go, r), k - r, owner, n)
-        for x, y in zip(tok, (o, s, e), strict=True):
+        for x, y in zip(tok, _walk(lat, go, node, step, seeds(go, r)), strict=True):
             x.append(y)
-        paths.append(_ordered(*(np.concatenate(x) for x in tok), owner, n))
+        paths.append(_ordered([np.concatenate(x) for x in tok], owner, n))
+        side = _siblings(lat, paths[r], times[r], lambda o, r=r: seeds(o, r), k - r, owner, n)
         queue.append((*side, np.full(len(side[0]), r)))
     for r, path in enumerate(paths):
         share = lat.share[path["e"]]
@@ -319,16 +335,16 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = 2,
         for i in np.flatnonzero(times[r] < np.inf):
             a, b = path["begin"][i], path["begin"][i + 1] if i + 1 < n else len(share)
             logp = float(share[a:b].sum())
-            inclusion = float(-np.expm1(-np.exp(min(700.0, logp)) * next_time[i]))
-            out[i].append((ids[cut[i] : cut[i + 1]], logp, float(-np.log(times[r, i])), inclusion))
+            inclusion = float(-np.expm1(-np.exp(min(700.0, logp + next_time[i]))))
+            out[i].append((ids[cut[i] : cut[i + 1]], logp, float(-times[r, i]), inclusion))
     yield from out
 
 
-def _ordered(o: np.ndarray, s: np.ndarray, e: np.ndarray, owner: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Tokens in text order, and where each text's begin."""
-    order = np.lexsort((s, o))
-    o = o[order]
-    return {"o": o, "s": s[order], "e": e[order], "begin": np.searchsorted(owner[o], np.arange(n)) if len(o) else np.zeros(n, dtype=np.int64)}
+def _ordered(tokens: list[np.ndarray], owner: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Tokens in text order, and where each text's begin. Only tokens with a finite gap have a node that counts."""
+    order = np.lexsort((tokens[1], tokens[0]))
+    o, s, e, node, gap = (x[order] for x in tokens)
+    return {"o": o, "s": s, "e": e, "node": node, "gap": gap, "begin": np.searchsorted(owner[o], np.arange(n)) if len(o) else np.zeros(n, dtype=np.int64)}
 
 
 def decode(v: Vocabulary, ids: np.ndarray | list[int]) -> str:
