@@ -78,3 +78,15 @@ def test_stages_of_a_small_corpus(spark, tmp_path):
     assert 1 in counts[2] and 1000 not in counts[2] and good & counts[1] <= counts[2]
     out = corpus_pipeline.run(spark, d)
     assert {x["doc_id"] for x in out.collect()} == counts[3]
+
+
+def test_near_pairs_with_a_dominant_shared_passage(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage, rows = " ".join(word() for _ in range(400)), []
+    for i in range(60):
+        own = " ".join(word() for _ in range(50))
+        rows += [(2 * i + j, " ".join([passage, own, *(word() for _ in range(50))])) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in neardup.keep_one(df).select("doc_id").collect())
+    assert got == sorted(near_groups(rows)) == [2 * i for i in range(60)]

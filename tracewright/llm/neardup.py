@@ -6,6 +6,11 @@ replicas. So each text also has several fingerprints of small, consistently chos
 with the least hashes under three seeded permutations, whose SimHash two texts share with a probability of about the
 similarity to the power of three. Candidates of either kind are pairs of a member with a representative of its group,
 and a candidate is a link only if the exact similarity of the shingle sets reaches the threshold.
+
+What these leave apart is found exactly, by a prefix filter: two sets of that similarity share one of the first shingles
+in any common order (a fifth of each set at 0.8). Common shingles, as a sample of the rows has them, come last in the
+order, which costs or saves candidates but never loses one. Under each shingle the members outside its largest component
+are compared with all members of other components, so a group that is linked already makes no pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from tracewright.llm import simhash
 from tracewright.llm.common import materialize, splitmix, words_of
 from tracewright.llm.components import connected_components
 
-#: Sampled fingerprints a text; pairs at the threshold are missed with a probability of about (1 - 0.8**3)**12 < 0.0002.
+#: Sampled fingerprints a text: they link most groups early; the prefix filter finds what they miss.
 SAMPLES = 12
+#: Of one in so many rows, the shingles that occur this often, and at most so many of them, are last in the prefix order.
+SAMPLE_ROWS, COMMON_COUNT, COMMON_MOST = 16, 3, 200_000
 _PICKS = 3
 
 
@@ -49,6 +56,38 @@ def sampled_simhashes(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     return (a & b | a & c | b & c).view(np.int64)
 
 
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, of which any set of at least this similarity has one among its own first.
+
+    common, rank: sorted hashes of common shingles and their places in the order, from 1; all others come before them.
+    """
+    place = np.zeros(len(hashes), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        place = np.where(common[at] == hashes, rank[at], 0)
+    most = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, place))][:most]
+
+
+def _common(rows: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that are common in a sample of the rows, and their ranks by count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(words_of(t), shingle_words) for t in batch.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate([*found, np.empty(0, dtype=np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_ROWS)) == 0).select("t")
+    got = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect()
+    h, n = (np.array([r[c] for r in got], dtype=np.int64) for c in ("h", "n"))
+    h = h.view(np.uint64)
+    rank = np.empty(len(h), dtype=np.int64)
+    rank[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
 def jaccard(a: bytes | None, b: bytes | None, n: int) -> float:
     """Similarity of the shingle sets; two texts without words are equal."""
     x, y = shingle_hashes(words_of(a), n), shingle_hashes(words_of(b), n)
@@ -65,21 +104,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     share the smallest id and the words, one stays; null ids come after all others. An empty table gives an empty result.
     """
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle_words))
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
-                rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), simhash.simhash64(words, shingle_words), sampled_simhashes(shingle_hashes(words, shingle_words)).tolist()))
-            cols = list(zip(*rows, strict=True)) or [()] * 3
+                hashes = shingle_hashes(words, shingle_words)
+                first = prefix(hashes, *shared.value, similarity)
+                rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), simhash.simhash64(words, shingle_words), sampled_simhashes(hashes).tolist(), len(hashes), first.view(np.int64)))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
             fp = pa.array(np.array(cols[1], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), fp, pa.array(cols[2], pa.list_(pa.int64()))], names=["id", "words", "fp", "samples"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), fp, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64()))], names=["id", "words", "fp", "samples", "size", "prefix"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    marks = materialize(rows.mapInArrow(digest, "id long, words string, fp long, samples array<long>"), "dup-marks")
+    marks = materialize(rows.mapInArrow(digest, "id long, words string, fp long, samples array<long>, size int, prefix array<long>"), "dup-marks")
     # one node per distinct sequence of words; a node's number is the smallest id, and null ids come last
     last = F.lit(2**63 - 1)
-    nodes = marks.groupBy("words").agg(F.min(F.coalesce("id", last)).alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
+    nodes = marks.groupBy("words").agg(F.min(F.coalesce("id", last)).alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "dup-nodes")
     fps = nodes.groupBy("fp").agg(F.min("words").alias("words"))
     links = simhash.anchor_links(fps, "fp", threshold)
@@ -90,10 +133,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ends = links.join(fps.select(F.col("fp").alias("a"), F.col("words").alias("wa")), "a").join(fps.select(F.col("fp").alias("b"), F.col("words").alias("wb")), "b").select(F.col("wa").alias("a"), F.col("wb").alias("b"))
     pairs = stars.unionByName(ends).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "dup-pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct()
-    where = nodes.join(need, "words").select("words", F.col("node").alias("id"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).cast("binary").alias("t")).join(where, "id")
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -104,9 +143,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             cols = list(zip(*out, strict=True)) or [()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary())], names=["words", "set"])
 
-    shingles = texts.select("words", "t").mapInArrow(sets, "words string, set binary").groupBy("words").agg(F.first("set").alias("set"))
-    shingles = materialize(shingles, "dup-sets")
-
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -117,17 +153,42 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    sided = pairs.join(shingles.select(F.col("words").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("words").alias("b"), F.col("set").alias("y")), "b")
-    edges = sided.select("a", "b", "x", "y").mapInArrow(decide, "a string, b string")
     number = nodes.select("words", F.xxhash64("words", "node").alias("n"))
-    numbered = edges.join(number.select(F.col("words").alias("a"), F.col("n").alias("na")), "a").join(number.select(F.col("words").alias("b"), F.col("n").alias("nb")), "b")
-    roots = connected_components(numbered.select("na", "nb"), "na", "nb")
+
+    def edges(pairs: DataFrame, name: str) -> DataFrame:
+        """(na, nb): node numbers of the pairs (a, b) whose shingle sets reach the similarity."""
+        need = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct()
+        where = nodes.join(need, "words").select("words", F.col("node").alias("id"))
+        texts = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).cast("binary").alias("t")).join(where, "id")
+        shingles = materialize(texts.select("words", "t").mapInArrow(sets, "words string, set binary").groupBy("words").agg(F.first("set").alias("set")), name)
+        sided = pairs.join(shingles.select(F.col("words").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("words").alias("b"), F.col("set").alias("y")), "b")
+        good = sided.select("a", "b", "x", "y").mapInArrow(decide, "a string, b string")
+        return good.join(number.select(F.col("words").alias("a"), F.col("n").alias("na")), "a").join(number.select(F.col("words").alias("b"), F.col("n").alias("nb")), "b").select("na", "nb")
+
+    early = connected_components(edges(pairs, "dup-sets"), "na", "nb")
+    early = materialize(number.join(early.select(F.col("node").alias("n"), "root"), "n", "left").select("words", "n", F.coalesce("root", "n").alias("root")), "dup-early")
+    rest = edges(materialize(_apart(nodes.join(early, "words"), similarity), "dup-rest"), "dup-rest-sets")
+    roots = connected_components(early.where("n <> root").select(F.col("n").alias("na"), F.col("root").alias("nb")).unionByName(rest), "na", "nb")
     placed = nodes.select("words", F.col("node").alias("id"), F.xxhash64("words", "node").alias("node")).join(roots, "node", "left")
     chosen = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "words")).alias("m")).select("m.id", "m.words")
     stay = materialize(chosen, "dup-stay")
     return _rows(docs, stay, id_col, text_col)
 
 
+def _apart(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): words of all pairs of different components that can reach the similarity by their prefixes and sizes."""
+    tokens = nodes.select("words", "root", "size", F.posexplode("prefix").alias("place", "token"))
+    sizes = tokens.groupBy("token", "root").agg(F.count("*").alias("c"))
+    groups = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    members = materialize(tokens.join(groups, "token"), "dup-tokens")
+    side = lambda x: members.select("token", F.col("words").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "place", "largest")])
+    met = side("a").where("root_a <> largest_a").join(side("b"), "token").where("root_a <> root_b and (root_b = largest_b or a < b)")
+    # no shingle before the first common one is shared, which bounds what the sets can share
+    both = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    met = met.where((both + 1e-9) * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs with a chosen id and words, one for each."""
     last = F.lit(2**63 - 1)
