@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import cluster, stats
+from tracewright.plans.model_queries import QUERIES
 
 
 def blobs(n=40, k=3, seed=1, noise=6):
@@ -79,6 +80,11 @@ def test_permutation_p_value(spark):
     assert stats.permutation_p(free, "a", "b", 200).first()["p_value"] > 0.5
 
 
+def test_registered_permutation_test_draws_as_many_tables_as_the_reference(spark):
+    got = QUERIES["monte_carlo_chi2"][0](spark, "/root/testdata/sf0.001").first()
+    assert got["repeats"] == 10_000 and got["p_value"] >= 1 / 10_001
+
+
 def test_sparse_contingency_tables_are_dense(spark):
     cells = stats.contingency(spark.createDataFrame([("a", "x")] * 3 + [("b", "y")] * 2, "p string, q string"), "p", "q")
     grid = stats.dense_grid(cells, "p", "q")

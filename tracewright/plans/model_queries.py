@@ -290,5 +290,5 @@ QUERIES: dict = {
     "method_comparison": (_methods, None),
     "subsample_stability": (lambda s, d: _stability(s, d, lambda x: cluster.hdbscan(x, 20, 5)[0]), None),
     "pattern_stability": (lambda s, d: _stability(s, d, lambda x: cluster.ward((x - x.mean(axis=0)) / x.std(axis=0), 6)), None),
-    "monte_carlo_chi2": (lambda s, d: stats.permutation_p(table(s, d, "documents"), "lang", "source", 500), None),
+    "monte_carlo_chi2": (lambda s, d: stats.permutation_p(table(s, d, "documents"), "lang", "source", 10_000), None),
 }
