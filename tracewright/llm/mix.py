@@ -2,7 +2,7 @@
 
 Documents are counted by source and exact token length. A source's target is whole passes over it plus a rest; the rest
 is spread over the lengths in proportion to their counts, and what rounding leaves open is closed by a bounded-knapsack
-dynamic program over the documents that are still free. The plan then says how many documents of each length to take,
+dynamic program over the documents that can be added or taken away. The plan then says how many documents of each length to take,
 and the ones with the smallest seeded hash are taken. Only length counts are planned with, never documents, so a plan
 has at most as many rows as there are pairs of source and length.
 """
@@ -14,12 +14,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import WORD_RE, materialize
+from tracewright.llm.common import WORD_RE, join_hot, materialize
 
 #: Rows of one length of one source that one task ranks; larger groups are cut into hash ranges first.
 RANKED = 5_000
 #: Plans of up to this many rows are broadcast to the documents; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Words around the start among which the best sum is searched where none nearer meets the budget.
+WINDOW = 1 << 22
+#: Join key of a length of a source.
+KEY = ["__s", "__null", "__z"]
 
 
 def word_count(text_col: str) -> Column:
@@ -31,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), passes: in
 
     Sources in code point order, null last, take the weights in turn. Water filling: with sources in the order of
     the level at which they fill up, the first that the even level doesn't overfill fixes the level. One row per source
-    goes through one task.
+    goes through one ordering task, which bears some ten million sources; documents and lengths don't.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("__k") - 1) % len(weights) + 1).cast("int"))
     ranked = sizes.withColumn("__k", F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))).withColumn("__w", w)
@@ -45,55 +49,73 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), passes: in
     return filled.withColumn("__at", F.coalesce(fits["__level"], F.lit(0.0))).select("source", "source_size", F.least(full, F.col("__at") * F.col("__w")).alias("target"))
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many documents of each length (positive, distinct) to take so that their lengths come nearest to the budget.
 
-    First the same share of every length; then one more of the lengths with the largest remainders while what is left
-    exceeds twice the greatest length; for the rest, the subset sum of free documents that is nearest, below or above.
+    First the same share of every length, rounded so that the running totals stay right, which leaves at most about half
+    the greatest length open. Then a bounded-knapsack dynamic program over what can be added to that and taken from it:
+    its sums are searched up to twice the greatest length around the start and, where none of those meets the budget, up
+    to WINDOW, so of up to WINDOW words in all the nearest of all subset sums is found. Lengths are divided by their
+    greatest common divisor first, so a budget that no sum can meet for that reason costs no search.
     """
-    take = np.zeros(len(lengths), dtype=np.int64)
+    lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     total = int(lengths @ counts)
     if budget <= 0 or not total:
-        return take
+        return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
-        return counts.astype(np.int64).copy()
-    exact = counts * (budget / total)
-    take = np.minimum(np.floor(exact).astype(np.int64), counts)
-    while lengths @ take > budget:  # floating-point rounding of a huge count
-        take[np.argmax(take)] -= 1
-    left = int(budget - lengths @ take)
-    limit = 2 * int(lengths.max())
-    for i in np.lexsort((lengths, -(exact - np.floor(exact)))):
-        if left <= limit:
+        return counts.copy()
+    unit = int(np.gcd.reduce(lengths))
+    lengths, total, budget = lengths // unit, total // unit, budget / unit
+    order = np.argsort(lengths, kind="stable")
+    running = np.floor(np.cumsum(counts[order] * (budget / total)) + 0.5).astype(np.int64)
+    start = np.empty_like(counts)
+    start[order] = np.clip(np.diff(running, prepend=0), 0, counts[order])
+    near, reach = None, 2 * int(lengths.max())
+    for width in sorted({min(total, reach), min(total, max(reach, WINDOW))}):
+        take = _nearest_sum(lengths, counts, start, order, budget, width)
+        miss = abs(budget - float(lengths @ take))
+        if near is None or miss < near[0]:
+            near = (miss, take)
+        if miss <= 0.5:
             break
-        if take[i] < counts[i]:
-            take[i] += 1
-            left -= int(lengths[i])
-    width = left + int(lengths.max()) + 1
-    reach = np.zeros(width, dtype=bool)
-    reach[0] = True
-    step = np.zeros(width, dtype=np.int64)
+    return near[1]
+
+
+def _nearest_sum(lengths: np.ndarray, counts: np.ndarray, start: np.ndarray, order: np.ndarray, budget: float, width: int) -> np.ndarray:
+    """The start with documents added and taken away, whose sum is nearest to the budget; sums up to width from the start are searched."""
+    left = budget - float(lengths @ start)
+    goal = round(left)
+    lowest = -width - abs(goal)
+    size = 2 * -lowest + 1
+    reach = np.zeros(size, dtype=bool)
+    reach[-lowest] = True
+    step = np.zeros(size, dtype=np.int32)
     parts: list[tuple[int, int]] = [(0, 0)]
-    for i in np.argsort(-lengths, kind="stable"):
-        free, size = int(min(counts[i] - take[i], (width - 1) // lengths[i])), 1
-        while free > 0 and not reach[left]:
-            size = min(size, free)
-            span = int(lengths[i]) * size
-            new = np.zeros(width, dtype=bool)
-            new[span:] = reach[: width - span]
-            new &= ~reach
-            step[new] = len(parts)
-            parts.append((int(i), size))
-            reach |= new
-            free, size = free - size, size * 2
-        if reach[left]:
+    for i in order:
+        if reach[goal - lowest]:
             break
-    sums = np.flatnonzero(reach)
+        n = int(lengths[i])
+        for sign, free in ((1, int(counts[i] - start[i])), (-1, int(start[i]))):
+            free, copies = min(free, (size - 1) // n), 1
+            while free > 0:
+                copies = min(copies, free)
+                new, span = np.zeros(size, dtype=bool), n * copies
+                if sign > 0:
+                    new[span:] = reach[: size - span]
+                else:
+                    new[: size - span] = reach[span:]
+                new &= ~reach
+                step[new] = len(parts)
+                parts.append((int(i), sign * copies))
+                reach |= new
+                free, copies = free - copies, copies * 2
+    sums = np.flatnonzero(reach) + lowest
     at = int(sums[np.argmin(np.abs(sums - left))])
+    take = start.copy()
     while at:
-        i, size = parts[step[at]]
-        take[i] += size
-        at -= int(lengths[i]) * size
+        i, copies = parts[step[at - lowest]]
+        take[i] += copies
+        at -= int(lengths[i]) * copies
     return take
 
 
@@ -112,27 +134,36 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         some = (pdf["size"] > 0).to_numpy()
         take = np.zeros(len(pdf), dtype=np.int64)
         if whole < passes and total:
-            take[some] = fit_budget(pdf["size"].to_numpy(np.int64)[some], pdf["n"].to_numpy(np.int64)[some], round(target - whole * total))
+            take[some] = fit_budget(pdf["size"].to_numpy(np.int64)[some], pdf["n"].to_numpy(np.int64)[some], target - whole * total)
         return pdf.assign(whole=whole, take=take)[["source", "size", "n", "source_size", "target", "whole", "take"]]
 
     joined = counts.join(sized.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    made = materialize(joined.groupBy("source").applyInPandas(fit, f"source {kind}, size long, n long, source_size long, target double, whole long, take long"), "mix-plan")
+    made = joined.groupBy("source").applyInPandas(fit, f"source {kind}, size long, n long, source_size long, target double, whole long, take long")
+    made = materialize(_keyed(made, "source", "size"), "mix-plan")
+    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     # the hash up to which documents of a length are taken, found within hash ranges of about RANKED rows
     share = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
-    some = made.where("take > 0 and take < n").select(F.col("source").alias("__s"), F.col("size").alias("__z"), "n", "take")
-    part = narrow.join(some, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))).select("source", "size", "h", "take", F.floor(share * F.ceil(F.col("n") / RANKED)).alias("range"))
-    ranges = part.groupBy("source", "size", "range").agg(F.count("*").alias("m"), F.max("take").alias("take"))
-    upto = F.sum("m").over(Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranges = ranges.withColumn("upto", upto)
-    edge = ranges.where((F.col("upto") - F.col("m") < F.col("take")) & (F.col("upto") > F.col("take"))).select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("range").alias("__r"), (F.col("take") - F.col("upto") + F.col("m")).alias("need"))
-    inside = part.join(edge, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("range") == F.col("__r")))
     u = F.shiftrightunsigned("h", 1)
-    inside = inside.withColumn("c", F.count("*").over(Window.partitionBy("source", "size", "range").orderBy(u))).where("c <= need").select("source", "size", u.alias("u"))
-    whole_ranges = part.join(ranges.where("upto <= take").select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("range").alias("__r")), F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("range") == F.col("__r"))).select("source", "size", u.alias("u"))
-    cuts = inside.unionByName(whole_ranges).groupBy("source", "size").agg(F.max("u").alias("cut")).select(F.col("source").alias("__s"), F.col("size").alias("__z"), "cut")
-    done = made.join(cuts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")), "left")
+    some = made.where("take > 0 and take < n").select(*KEY, F.col("n").alias("m"), "n", "take")
+    part = join_hot(_keyed(narrow, "source", "size").select(*KEY, "h"), some, KEY, "m", total)
+    part = part.select(*KEY, "take", u.alias("u"), F.floor(share * F.ceil(F.col("n") / RANKED)).alias("range"))
+    ranges = part.groupBy(*KEY, "range").agg(F.count("*").alias("m"), F.max("take").alias("take"), F.max("u").alias("top"))
+    upto = F.sum("m").over(Window.partitionBy(*KEY).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranges = materialize(ranges.withColumn("upto", upto), "mix-ranges")
+    edge = ranges.where((F.col("upto") - F.col("m") < F.col("take")) & (F.col("upto") > F.col("take"))).select(*KEY, "range", (F.col("take") - F.col("upto") + F.col("m")).alias("need"))
+    inside = part.drop("take").join(edge, [*KEY, "range"])
+    inside = inside.withColumn("c", F.count("*").over(Window.partitionBy(*KEY, "range").orderBy("u"))).where("c <= need").select(*KEY, "u")
+    whole_ranges = ranges.where("upto <= take").select(*KEY, F.col("top").alias("u"))
+    cuts = inside.unionByName(whole_ranges).groupBy(*KEY).agg(F.max("u").alias("cut"))
+    done = made.join(cuts, KEY, "left")
     cut = F.when(F.col("take") >= F.col("n"), F.lit(2**63 - 1)).when(F.col("take") > 0, F.coalesce("cut", F.lit(-1))).otherwise(F.lit(-1))
-    return narrow, materialize(done.select("source", "size", "source_size", "target", "whole", cut.cast("long").alias("cut")), "mix-cuts")
+    return narrow, materialize(done.select(*KEY, "n", "source_size", "target", "whole", cut.cast("long").alias("cut")), "mix-cuts")
+
+
+def _keyed(rows: DataFrame, source_col: str, size_col: str) -> DataFrame:
+    """rows with the join key of a length of a source; a null source is one of its own."""
+    source = F.col(source_col).cast("string")
+    return rows.withColumns({"__s": F.coalesce(source, F.lit("")), "__null": source.isNull(), "__z": F.col(size_col)})
 
 
 def _hash(id_col: str, seed: int) -> Column:
@@ -140,9 +171,12 @@ def _hash(id_col: str, seed: int) -> Column:
 
 
 def _placed(rows: DataFrame, cuts: DataFrame, source_col: str, size_col: str) -> DataFrame:
-    few = cuts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = cuts.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("source_size").alias("__total"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    return rows.join(F.broadcast(side) if few else side, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col(size_col) == F.col("__z")))
+    """rows with their length's plan: broadcast up to BROADCAST_ROWS lengths, else joined with the frequent lengths broadcast."""
+    side = cuts.select(*KEY, F.col("n").alias("__n"), F.col("source_size").alias("__total"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    rows = _keyed(rows, source_col, size_col)
+    if cuts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), KEY)
+    return join_hot(rows, side, KEY, "__n", int(cuts.agg(F.sum("n")).first()[0]))
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
