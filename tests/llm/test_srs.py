@@ -58,3 +58,37 @@ def test_fewer_candidates_than_asked_for(spark):
 
 def test_quantiles():
     assert abs(srs.chi_square_quantile(0.95, 8) - 15.5073) < 1e-3 and abs(srs.chi_square_quantile(0.5, 2) - 1.3863) < 1e-3
+
+
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    scaled = [(i, [x * 2.0 ** (i % 40 - 20) for x in (1.0, 2.0, 3.0, 4.0)]) for i in range(100)]
+    assert [x for x, _ in run(spark, scaled)[0]] == [1, 2, 3, 4, 5]
+    crossed = [(i, [1.0 if j == i % 30 else 0.0 for j in range(31)]) for i in range(30)] + [(50, [0.0] * 30 + [1.0])]
+    got = run(spark, crossed)
+    assert [x for x, _ in got[50]] == [0, 1, 2, 3, 4] and [x for x, _ in got[0]] == [1, 2, 3, 4, 5]
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 60)] + [(100 + i, [1.0, float(i), 2.0]) for i in range(4)]
+    got = run(spark, rows)
+    assert [x for x, _ in got[50]] == [51, 49, 52, 48, 53] and sorted(x for x, _ in got[100]) == [101, 102, 103]
+
+
+def test_recall_in_64_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(srs, "SAMPLE_MOST", 64)
+    monkeypatch.setattr(srs, "QUERY_ROWS", 4)
+    rows = data(2500, 64, 5)
+    want, got = brute(rows), run(spark, rows, cell_rows=32, sample_rows=64)  # 8 cells of some 300 rows, each dealt to ten trees
+    hits = sum(len({x for x, _ in want[q]} & {x for x, _ in got[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.95
+    many = run(spark, rows, cell_rows=32)  # 128 cells
+    hits = sum(len({x for x, _ in want[q]} & {x for x, _ in many[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.95
+
+
+def test_cells_are_dealt_within_the_bound(spark):
+    keys = spark.range(6000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("cell"), F.md5(F.col("id").cast("string")).alias("key"))
+    parts = srs._dealt(keys, 100)
+    assert parts.agg(F.max("parts")).first()[0] >= 30  # one cell has over half of all rows
+    tree = F.pmod(F.xxhash64("key"), F.col("parts"))
+    assert keys.join(parts, "cell").groupBy("cell", tree).count().agg(F.max("count")).first()[0] <= 150
