@@ -3,8 +3,9 @@ import hashlib
 import io
 
 import zstandard
+from pyspark.sql import functions as F
 
-from tracewright.llm import warc
+from tracewright.llm import common, warc
 
 ROWS = [(3, "http://a/x y\n", "<p>one</p>"), (1, "http://b", "<p>one</p>"), (2, None, "<p>two</p>"), (5, "u", None), (4, "u", ""), (7, "é", "é\r\n\r\nWARC/1.1"), (None, "n", "<p>two</p>"), (9, "l", "x" * 900_000), (2, None, "<p>two</p>"), (10, "l", "x" * 900_000)]
 
@@ -31,6 +32,20 @@ def test_digests_match_brute_force(spark):
     assert warc.digests(spark, frame(spark, [])).collect() == []
 
 
+def test_many_repeated_payloads_are_joined_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.3)
+    rows = ROWS + [(100 + i, "h", "<p>hot</p>") for i in range(30)]
+    assert sorted(map(tuple, warc.digests(spark, frame(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_reading_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 500)
+    manifest = warc.write_bundles(frame(spark, [(i, "u", f"<p>{i * 7919}</p>" * 20) for i in range(200)]).repartition(1), frame_bytes=1000)
+    read = warc.read_bundles(manifest, payloads=False)
+    assert read.count() == 200 and read.groupBy(F.spark_partition_id()).count().count() >= 4
+
+
 def test_round_trip_and_random_access(spark):
     manifest = warc.write_bundles(frame(spark, ROWS), frame_bytes=50).collect()
     assert len(manifest) == len(ROWS)

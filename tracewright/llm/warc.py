@@ -22,10 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, shared_dir
+from tracewright.llm.common import join_hot, materialize, shared_dir
 
 #: Magic numbers of the Zstandard seekable format (published constants).
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: Repeated payloads whose first ids are broadcast (about 100 bytes each), and packed bytes that a reading task gets.
+BROADCAST_GROUPS, TASK_BYTES = 500_000, 32 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "record_id string, file string, frame int, offset long, length long"
@@ -131,16 +133,24 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     """Write a record per row and return the written manifest (record_id, file, frame, offset, length).
 
     Of rows with equal payloads of at least least_bytes, the one with the smallest id is a response and the others
-    revisit it; rows that share that smallest id are all responses, as are equal payloads without any id. A null payload
-    is empty; null urls are left out of the record. An empty table gives an empty manifest.
+    revisit it; rows that share that smallest id are all responses, as are equal payloads without any id. Payloads are
+    equal if their SHA-1, XXH64 and length are. A null payload is empty; null urls are left out of the record. An empty
+    table gives an empty manifest. Payloads aren't shuffled: only narrow rows are grouped, and the repeated payloads'
+    first ids are broadcast up to BROADCAST_GROUPS of them; beyond that, those of frequent payloads are.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    base = pages.select(F.col(id_col).alias("__id"), F.col(url_col).cast("string").alias("__url"), payload.alias("__payload")).withColumn("__sha", F.sha1("__payload"))
-    groups = base.where(F.octet_length("__payload") >= least_bytes).groupBy("__sha").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")).where("__n > 1 and __first is not null")
-    marked = base.join(groups.select(F.col("__sha"), F.col("__first")), "__sha", "left")
-    refers = F.when((F.octet_length("__payload") >= least_bytes) & ~F.col("__id").eqNullSafe(F.col("__first")), F.col("__first").cast("string"))
+    key = ["__sha", "__hash", "__size"]
+    base = pages.select(F.col(id_col).alias("__id"), F.col(url_col).cast("string").alias("__url"), payload.alias("__payload"))
+    base = base.withColumns({"__sha": F.sha1("__payload"), "__hash": F.xxhash64("__payload"), "__size": F.octet_length("__payload")})
+    counts = base.groupBy(*key).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    groups = materialize(counts.where("__n > 1"), "warc-groups")
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        marked = base.join(F.broadcast(groups.drop("__n")), key, "left")
+    else:
+        marked = join_hot(base, groups, key, "__n", int(groups.agg(F.sum("__n")).first()[0]), "left")
+    refers = F.when((F.col("__size") >= least_bytes) & ~F.col("__id").eqNullSafe(F.col("__first")), F.col("__first").cast("string"))
     rows = marked.select(F.col("__id").cast("string").alias("id"), F.col("__url").alias("url"), F.col("__payload").alias("payload"), refers.alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +174,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
 
 
 def read_bundles(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles that the manifest names, frames dealt out to tasks by their seek tables."""
+    """Every record of the bundles that the manifest names, frames dealt out by their seek tables to tasks of about TASK_BYTES."""
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +201,11 @@ def read_bundles(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in got], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
     files = manifest.select("file").distinct()
-    frames = files.mapInArrow(footers, "file string, at long, packed long, plain long")
-    return frames.repartition(F.col("file"), F.col("at")).sortWithinPartitions("file", "at").mapInArrow(records, RECORD)
+    frames = materialize(files.mapInArrow(footers, "file string, at long, packed long, plain long"), "warc-frames")
+    packed = frames.agg(F.coalesce(F.sum("packed"), F.lit(0))).first()[0]
+    # an explicit number of partitions, which adaptive execution doesn't merge: rows here are small, their frames aren't
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-packed // TASK_BYTES))
+    return frames.repartition(tasks, "file", "at").sortWithinPartitions("file", "at").mapInArrow(records, RECORD)
 
 
 def read_record(file: str, frame: int, offset: int, length: int) -> dict:
