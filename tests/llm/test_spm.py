@@ -46,7 +46,7 @@ def test_samples_are_distinct_scored_segmentations(v):
             assert len(set(ids)) == len(ids) == min(4, len(every))
             assert all(abs(every[i] - s[1]) < 1e-8 for i, s in zip(ids, got, strict=True))
             assert [s[2] for s in got] == sorted((s[2] for s in got), reverse=True)
-            assert all(0 <= s[3] <= 1 for s in got) and (len(every) > 4 or all(s[3] == 1 for s in got))
+            assert all(s[3] <= 0 for s in got) and (len(every) > 4 or all(s[3] == 0 for s in got))
 
 
 def test_frequencies_follow_the_distribution_without_replacement(v):
@@ -63,10 +63,26 @@ def test_frequencies_follow_the_distribution_without_replacement(v):
         assert abs(second.get(k, 0) - sum(p[j] * p[k] / (1 - p[j]) for j in p if j != k)) < 0.03
     # inclusion scores weight the samples back to their probabilities (Horvitz-Thompson)
     top = max(p, key=p.get)
-    weights = [sum(math.exp(s[1]) / s[3] for s in x if tuple(s[0]) == top) for x in got]
+    weights = [sum(math.exp(s[1] - s[3]) for s in x if tuple(s[0]) == top) for x in got]
     assert abs(np.mean(weights) - p[top]) < 0.05
 
 
+def test_inclusion_scores_of_long_texts_are_finite(v):
+    got = next(spm.sample(v, ["the day was long " * 2000], np.array([1], dtype=np.uint64), k=2))
+    assert all(s[1] < -1000 and math.isfinite(s[3]) and s[1] - 1 < s[3] < 0 for s in got)
+    assert abs(spm._log_arrived(-19.999) - spm._log_arrived(-20.001) - 0.002) < 1e-9 and spm._log_arrived(math.inf) == 0
+    assert abs(spm._log_arrived(-1.0) - math.log(1 - math.exp(-math.exp(-1)))) < 1e-12
+
+
+def test_digests_of_decoded_samples(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string")
+    want = {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate([*TEXTS, None])}
+    got = spm.encode_samples(df, digest=True).collect()
+    assert {r["doc_id"] for r in got} == set(want) and all(r["decoded_sha256"] == want[r["doc_id"]] for r in got)
+
+
 def test_second_sample_of_several_chunks_follows_the_law(v):
     flat = copy.copy(v)
     flat.weight = np.zeros(len(v.pieces))

@@ -17,7 +17,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm.encode_samples(table(spark, sf_dir, "documents"), k=2)
+    return spm.encode_samples(table(spark, sf_dir, "documents"), k=2, digest=True)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

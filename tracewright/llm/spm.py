@@ -4,7 +4,8 @@ Every node of the lattice has the log-sum-exp of all its completions, which is t
 largest perturbed log-probability below a partial segmentation is known before it is completed (Kool et al. 2019). The
 search takes the partial segmentation with the largest value, follows it to its end, and leaves its siblings, whose
 values are sampled under the condition that none exceeds the taken one, in the queue. The first k ends are k distinct
-segmentations, and the value of the next one in the queue turns each one's probability into its inclusion score.
+segmentations, and the value of the next one in the queue turns each one's probability into its inclusion score, whose
+logarithm is given: a long text's segmentations all have probabilities that no double can hold.
 
 No piece reaches over the start of a white-space run, so a text's lattice is the chain of its chunks' lattices: the
 chunks of a batch are compiled and walked together in numpy. Random numbers come from counters under the row's key,
@@ -17,6 +18,7 @@ as does a literal U+2581, so decoding gives every text back.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -57,7 +59,10 @@ class Vocabulary:
         self.weight = np.array([-np.log(min(-score[i], n) + 2.7) if ranked else score[i] for i in range(n)])
         self.byte_weight = byte_weight
         self.special = set(np.flatnonzero(special).tolist())
-        self.bytes = {int(i): b for b, i in enumerate(self.byte_ids)}
+        spelled = [b"" if special[i] else self.pieces[i].replace(SPACE, " ").encode() for i in range(n)]
+        for b, i in enumerate(self.byte_ids):
+            spelled[i] = bytes([b])
+        self.spelled = spelled
         found: dict[int, int] = {}
         for i in usable:
             h = 0
@@ -259,10 +264,10 @@ def _siblings(lat: Lattice, path: dict[str, np.ndarray], time: np.ndarray, seeds
 
 
 def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = 2, seed: int = 17) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
-    """Per text up to k tuples (piece numbers, log-probability, perturbed value, inclusion score), largest value first.
+    """Per text up to k tuples (piece numbers, log-probability, perturbed value, log of the inclusion score), largest value first.
 
-    keys: an unsigned 64-bit key per text. A text with fewer segmentations gives all of them, with inclusion 1; null and
-    empty texts have one, without pieces.
+    keys: an unsigned 64-bit key per text. A text with fewer segmentations gives all of them, with inclusion 1 (log 0);
+    null and empty texts have one, without pieces.
     """
     cut = [chunks(t or "") for t in texts]
     sizes = np.array([len(x) for x in cut], dtype=np.int64)
@@ -335,11 +340,16 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = 2,
         for i in np.flatnonzero(times[r] < np.inf):
             a, b = path["begin"][i], path["begin"][i + 1] if i + 1 < n else len(share)
             logp = float(share[a:b].sum())
-            inclusion = float(-np.expm1(-np.exp(min(700.0, logp + next_time[i]))))
-            out[i].append((ids[cut[i] : cut[i + 1]], logp, float(-times[r, i]), inclusion))
+            out[i].append((ids[cut[i] : cut[i + 1]], logp, float(-times[r, i]), _log_arrived(logp + next_time[i])))
     yield from out
 
 
+def _log_arrived(x: float) -> float:
+    """log(1 - exp(-exp(x))): of the probability that an exponential variable is below exp(x)."""
+    rate = np.exp(min(x, 700.0))
+    return float(x - rate / 2 if x < -20 else np.log(-np.expm1(-rate)))
+
+
 def _ordered(tokens: list[np.ndarray], owner: np.ndarray, n: int) -> dict[str, np.ndarray]:
     """Tokens in text order, and where each text's begin. Only tokens with a finite gap have a node that counts."""
     order = np.lexsort((tokens[1], tokens[0]))
@@ -349,28 +359,23 @@ def _ordered(tokens: list[np.ndarray], owner: np.ndarray, n: int) -> dict[str, n
 
 def decode(v: Vocabulary, ids: np.ndarray | list[int]) -> str:
     """The text of piece numbers: byte pieces joined, white space marks turned back, the added first one taken off."""
-    out = bytearray()
-    for i in ids:
-        i = int(i)
-        if i in v.bytes:
-            out.append(v.bytes[i])
-        elif i not in v.special:
-            out += v.pieces[i].replace(SPACE, " ").encode()
-    return out.decode("utf-8", "replace")[1:]
+    return b"".join(map(v.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-SAMPLES = "sample int, pieces array<int>, log_prob double, perturbed double, inclusion double"
+SAMPLES = "sample int, pieces array<int>, log_prob double, perturbed double, log_inclusion double"
 
 
-def encode_samples(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 17, model: str = DEFAULT_MODEL, keep: list[str] | None = None) -> DataFrame:
-    """A row per document and sample: the kept columns (key_col unless named), sample (from 1), pieces, log_prob, perturbed value and inclusion score.
+def encode_samples(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 17, model: str = DEFAULT_MODEL, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
+    """A row per document and sample: the kept columns (key_col unless named), sample (from 1), pieces, log_prob, perturbed value and log_inclusion.
 
     The model file must be at the same path on every executor. Rows with equal keys and texts get equal samples; null
-    keys are a key; null and empty texts have one sample without pieces; an empty table gives an empty result.
+    keys are a key; null and empty texts have one sample without pieces; an empty table gives an empty result. digest:
+    each sample's pieces are decoded, and decoded_sha256 is the hexadecimal SHA-256 of that text in UTF-8. One text's
+    lattice is in memory at a time, some 200 bytes a distinct character place; longer texts than BATCH_CHARS go alone.
     """
     keep = keep or [key_col]
     rows = docs.select(*keep, F.xxhash64(F.lit(seed), key_col).alias("__key"), F.col(text_col).alias("__text"))
-    names = [*keep, "sample", "pieces", "log_prob", "perturbed", "inclusion"]
+    names = [*keep, "sample", "pieces", "log_prob", "perturbed", "log_inclusion", *["decoded_sha256"] * digest]
     width = len(keep)
 
     def part(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
@@ -383,7 +388,10 @@ def encode_samples(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
         pieces = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate([*[s[0] for s in flat], np.empty(0, dtype=np.int32)]).astype(np.int32)))
         cols = [batch.column(i).take(pa.array(row)) for i in range(width)]
         numbers = pa.array(np.concatenate([*[np.arange(1, len(x) + 1) for x in got], np.empty(0, dtype=np.int64)]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([*cols, numbers, pieces, *(pa.array([s[j] for s in flat], pa.float64()) for j in (1, 2, 3))], names=names)
+        cols += [numbers, pieces, *(pa.array([s[j] for s in flat], pa.float64()) for j in (1, 2, 3))]
+        if digest:
+            cols.append(pa.array([hashlib.sha256(decode(v, s[0].tolist()).encode()).hexdigest() for s in flat], pa.string()))
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -396,7 +404,7 @@ def encode_samples(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
                 yield part(batch.slice(at, to - at), v)
                 at = to
 
-    return rows.mapInArrow(run, StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(SAMPLES).fields]))
+    return rows.mapInArrow(run, StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(SAMPLES + ", decoded_sha256 string" * digest).fields]))
 
 
 def decode_column(df: DataFrame, pieces_col: str = "pieces", out_col: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
