@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.llm import langid
@@ -43,8 +44,6 @@ def test_null_empty_long_and_repeated_rows(spark):
 
 
 def test_pieces_of_a_long_text_are_those_of_the_whole(monkeypatch):
-    import numpy as np
-
     text = sentence(random.Random(2), "fr", 500)
     whole = np.bincount(np.concatenate(list(langid.subwords(text, 14))), minlength=1 << 14)
     monkeypatch.setattr(langid, "CHUNK", 97)
@@ -56,3 +55,37 @@ def test_no_rows_to_learn_from(spark):
     model = langid.fit(df, F.lit(True))
     assert langid.identify(df, model).select("lang_pred").collect()[0][0] == "und"
     assert langid.identify(df.limit(0), model).collect() == []
+
+
+def plain_logits(model, text):
+    """By the definitions alone: every run of 2 to 4 bytes within a word and its blanks, one embedding sum at a time."""
+    data = b" " + b"".join(bytes([c]) if c >= 128 or chr(c).isalpha() else b" " for c in text.lower().encode()) + b" "
+    total, n, every = 0.0, 0, 0
+    for size in (2, 3, 4):
+        for i in range(len(data) - size + 1):
+            gram = data[i : i + size]
+            if b" " in gram[1:-1] or gram[:1] == gram[-1:] == b" ":
+                continue
+            x = 0
+            for c in gram:
+                x = (x * 257 + c) % 2**32
+            fine = ((x ^ size * 0x51ED27 % 2**32) * 0x9E3779B1 % 2**32) >> 12
+            every += 1
+            if model.known[fine]:
+                total, n = total + model.table[fine >> 20 - model.bits], n + 1
+    return total / max(1, n) + model.bias, n / max(1, every)
+
+
+def test_predictions_match_a_plain_computation():
+    model = langid.train([t for _, t, _ in rows(120)], [k for *_, k in rows(120)])
+    for text in ["The of, and 12 Über-x", "zq", "une été " * 50]:
+        z, known = plain_logits(model, text)
+        p = np.exp(z / model.temperature - max(z / model.temperature))
+        lang, score, accepted = model.predict(text)
+        assert lang == model.langs[int(np.argmax(z))] and abs(score - max(p / p.sum())) < 1e-9
+        assert accepted == (score >= model.accept and known >= model.accept_known)
+
+
+def test_tail_of_an_exponential_variable():
+    x = 5 - np.random.default_rng(1).exponential(1.0, 100_000)
+    assert abs(langid.lower_tail(x, 1e-3) - (5 + np.log(1e-3))) < 0.2 and langid.lower_tail(np.array([1.0]), 0.5) <= 1.0

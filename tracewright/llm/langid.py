@@ -4,12 +4,12 @@ A text is the mean embedding of its hashed subwords (runs of 2 to 4 bytes of low
 end; white space, digits and ASCII punctuation end words). A softmax layer on that mean is trained together with the
 embeddings; subwords that no training row has are left out of the mean. A held-back share of the training rows fixes a
 temperature, which makes the probabilities calibrated, and the confidence and the share of known subwords below which a
-prediction is rejected: each falls short on a reject_quantile of the correct calibration rows.
+prediction is rejected: each would fall short on a reject_rate of correct rows, by the tail that the held-back ones show.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,22 +61,22 @@ class Model:
     accept: float = 0.0
     accept_known: float = 0.0
 
-    def logits(self, text: str) -> tuple[np.ndarray, float]:
-        """Of the classes, and the share of subwords that are known."""
+    def logits(self, parts: Iterable[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, float]:
+        """Of the classes, and the share of subwords that are known. parts: hashes, and how often each occurs (None: once)."""
         total, n, every = np.zeros(len(self.langs)), 0, 0
-        for idx in subwords(text):
-            every += len(idx)
-            idx = idx[self.known[idx]]
-            counts = np.bincount(idx >> (FINE - self.bits))
+        for idx, times in parts:
+            every += len(idx) if times is None else int(times.sum())
+            known = self.known[idx]
+            counts = np.bincount(idx[known] >> (FINE - self.bits), None if times is None else times[known])
             total += counts @ self.table[: len(counts)]
-            n += len(idx)
+            n += int(counts.sum())
         return total / max(1, n) + self.bias, n / max(1, every)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated confidence, and whether it is accepted; no letter: undetermined, rejected."""
         if not self.langs or not text or not LETTER.search(text):
             return UNDETERMINED, 0.0, False
-        z, known = self.logits(text)
+        z, known = self.logits((idx, None) for idx in subwords(text))
         p = _softmax(z / self.temperature)
         best = int(np.argmax(p))
         return self.langs[best], float(p[best]), bool(p[best] >= self.accept and known >= self.accept_known)
@@ -87,14 +87,34 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 14, epochs: int = 6, rate: float = 1.0, seed: int = 1, calibration: float = 0.2, reject_quantile: float = 0.002) -> Model:
-    """Fit on labelled texts. Rows without a letter teach nothing; no rows give a model that says undetermined."""
-    names = sorted({k for k, t in zip(langs, texts, strict=True) if t and LETTER.search(t)})
-    kept = [(t, names.index(k)) for t, k in zip(texts, langs, strict=True) if t and LETTER.search(t)]
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subword hashes of a text and how often each occurs; none if it has no letter."""
+    if not text or not LETTER.search(text):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.unique(np.concatenate(list(subwords(text))), return_counts=True)
+
+
+def lower_tail(values: np.ndarray, rate: float, share: float = 0.1) -> float:
+    """The value that a row falls below with a probability of rate: the lowest share of the values, taken for exponential below their greatest."""
+    ordered = np.sort(values)
+    n = max(1, int(share * len(ordered)))
+    top = ordered[min(n, len(ordered) - 1)]
+    return float(top - (top - ordered[:n]).mean() * np.log(n / len(ordered) / rate))
+
+
+def train(texts: list[str], langs: list[str], **options) -> Model:
+    """Fit on labelled texts; the options are those of train_counted."""
+    return train_counted([counted(t) for t in texts], langs, **options)
+
+
+def train_counted(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], dim: int = 16, bits: int = 14, epochs: int = 6, rate: float = 1.0, seed: int = 1, calibration: float = 0.2, reject_rate: float = 1e-4) -> Model:
+    """Fit on the subword counts of labelled texts. Rows without subwords teach nothing; no rows give a model that says undetermined."""
+    kept = [(r, k) for r, k in zip(rows, langs, strict=True) if len(r[0])]
+    names = sorted({k for _, k in kept})
     docs = []
-    for t, k in kept:
-        idx, n = np.unique(np.concatenate(list(subwords(t)) or [np.empty(0, dtype=np.int64)]) >> (FINE - bits), return_counts=True)
-        docs.append((idx, n / max(1, n.sum()), k))
+    for (fine, times), k in kept:
+        idx, at = np.unique(fine >> (FINE - bits), return_inverse=True)
+        docs.append((idx, np.bincount(at, times) / times.sum(), names.index(k)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(docs))
     held = order[: int(len(docs) * calibration)]
@@ -103,8 +123,7 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 14, epo
     w, bias = np.zeros((dim, len(names))), np.zeros(len(names))
     known = np.zeros(1 << FINE, dtype=bool)
     for i in fit:
-        for idx in subwords(kept[i][0]):
-            known[idx] = True
+        known[kept[i][0][0]] = True
     steps, done = max(1, epochs * len(fit)), 0
     for _ in range(epochs):
         for i in rng.permutation(fit):
@@ -120,7 +139,7 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 14, epo
             emb[idx] -= lr * 10 * share[:, None] * back
     model = Model(names, emb @ w, bias, bits, known)
     if len(held):
-        said = [model.logits(kept[i][0]) for i in held]
+        said = [model.logits([kept[i][0]]) for i in held]
         z, share = np.array([x for x, _ in said]), np.array([x for _, x in said])
         y = np.array([docs[i][2] for i in held])
         at = np.arange(len(y))
@@ -128,17 +147,26 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 14, epo
         p = _softmax(z / model.temperature)
         right = p.argmax(axis=1) == y
         if right.any():
-            low = int(reject_quantile * right.sum())
-            model.accept = float(min(np.sort(p.max(axis=1)[right])[low], 0.6)) * 0.999
-            model.accept_known = float(np.sort(share[right])[low]) * 0.8
+            sure = np.clip(p.max(axis=1)[right], 1e-12, 1 - 1e-12)
+            model.accept = float(1 / (1 + np.exp(-lower_tail(np.log(sure / (1 - sure)), reject_rate))))
+            model.accept_known = lower_tail(share[right], reject_rate)
     return model
 
 
 def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, **options) -> Model:
-    """Train on at most max_rows rows of docs that meet the condition and have a text and a language, evenly by language."""
+    """Train on at most max_rows rows of docs that meet the condition and have a text and a language, evenly by language.
+
+    Executors count the sampled texts' subwords; the driver gets at most 2**FINE counts a row, however long a text is.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = hashed_sample(rows, "id", "lang", max_rows, ["text", "lang"])
-    return train([r["text"] for r in got], [r["lang"] for r in got], **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [counted(t) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([g[j].astype(np.int32).tobytes() for g in got], pa.binary()) for j in (0, 1))], names=["__h", "id", "lang", "fine", "times"])
+
+    got = hashed_sample(rows, "id", "lang", max_rows, ["lang", "text"], run, "fine binary, times binary")
+    return train_counted([tuple(np.frombuffer(r[c], dtype=np.int32).astype(np.int64) for c in ("fine", "times")) for r in got], [r["lang"] for r in got], **options)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
