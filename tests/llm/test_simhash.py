@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from tracewright.llm import simhash
+from tracewright.llm import common, simhash
 from tracewright.llm.components import connected_components
 
 
@@ -73,6 +73,15 @@ def test_anchor_cover_finds_every_link_and_midpoints_agree(spark):
         assert groups(edges) == groups(near)
 
 
+def test_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 0.05)
+    edges = [(0, i) for i in range(1, 200)] + [(500, 500 + i) for i in range(1, 100)] + [(199, 500), (1000, 1001)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in [*range(200), *range(500, 600)]} | {1000: 1000, 1001: 1000}
+    text = [(i, "the same words again") for i in range(50)] + [(100 + i, f"other words {i}") for i in range(50)] + [(None, None)]
+    assert run(spark, text) == brute(text)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(70)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (5, 6)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))

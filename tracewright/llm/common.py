@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Word separators of every contract: the six ASCII white-space bytes, which are also what bytes.split() cuts at.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary folder is set only where none is (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where the session names none, a local session (tests, one machine) gets a temporary folder until it ends; any other
+    gets a RuntimeError, since executors wouldn't see such a folder.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tracewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tracewright/{label}-{uuid.uuid4().hex}"
 
 
@@ -29,7 +40,16 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    jvm, path = df.sparkSession._jvm, df.shared_path
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: A key is hot if it has a share of this or more of the rows; so at most its inverse of keys are hot.
@@ -86,9 +106,12 @@ def byte_ngrams(b: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (x >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def hashed_sample(rows: DataFrame, id_col: str, strata: str, max_rows: int, columns: list[str], seed: int = 7) -> list:
+def hashed_sample(rows: DataFrame, id_col: str, strata: str, max_rows: int, columns: list[str], digest: Callable | None = None, digested: str = "", seed: int = 7) -> list:
     """At most max_rows rows for a fit, split evenly over the strata, lowest seeded hash of the id first.
 
+    digest: an Arrow function of (hash, id, *columns) that replaces the last column by the digested ones before rows
+    come to the driver.
+
     Two passes: counts per stratum (pre-aggregated), then a row-local hash threshold of about 1.3 times the quota,
     so what reaches the driver is bounded by max_rows and not by the input. Repeatable for equal input.
     """
@@ -101,8 +124,11 @@ def hashed_sample(rows: DataFrame, id_col: str, strata: str, max_rows: int, colu
         share = F.when(F.col(strata) == F.lit(value), F.lit(min(1.0, 1.3 * quota / n + 8.0 / n))).otherwise(share)
     h = F.xxhash64(F.lit(seed), F.col(id_col))
     u = (F.shiftrightunsigned(h, 11).cast("double")) / float(1 << 53)
-    got = rows.where(u < share).select(h.alias("__h"), id_col, *[c for c in columns if c != id_col]).collect()
-    got.sort(key=lambda r: (str(r[strata]), r["__h"], str(r[id_col])))
+    some = rows.where(u < share).select(h.alias("__h"), id_col, *[c for c in columns if c != id_col])
+    if digest is not None:
+        some = some.mapInArrow(digest, StructType([*some.schema.fields[:-1], *StructType.fromDDL(digested).fields]))
+    got = some.collect()
+    got.sort(key=lambda r: (str(r[strata]), r["__h"], str(tuple(r))))
     out, seen = [], {}
     for r in got:
         seen[r[strata]] = seen.get(r[strata], 0) + 1

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, words_of
+from tracewright.llm.common import join_hot, materialize, words_of
 from tracewright.llm.components import connected_components
 
 #: Generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1 (published constant).
@@ -223,16 +223,18 @@ def anchor_links(fps: DataFrame, fp_col: str = "fp", threshold: int = 2, cell_ro
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, threshold: int = 2, seed: int = 42) -> DataFrame:
     """(id_col, fp, component_id): every document with the smallest id that links of threshold bits or fewer reach.
 
-    Equal fingerprints are one node, so copies are never paired. Null and empty texts have fingerprint 0 and are linked
+    Equal fingerprints are one node, so copies are never paired, and frequent ones' groups are broadcast to their documents. Null and empty texts have fingerprint 0 and are linked
     like any other; a null id stays in the result but is nobody's component id unless its whole group has null ids; an
     empty table gives an empty result; columns of other names in docs are not read.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle_words, seed), "simhash")
-    nodes = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = connected_components(anchor_links(nodes, "fp", threshold)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(placed.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    said = materialize(placed.join(smallest, "root").select("fp", "component_id", "n"), "simhash-groups")
+    total = int(nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return join_hot(fps, said, ["fp"], "n", total).select(id_col, "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):
