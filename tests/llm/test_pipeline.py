@@ -90,3 +90,30 @@ def test_near_pairs_with_a_dominant_shared_passage(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r["doc_id"] for r in neardup.keep_one(df).select("doc_id").collect())
     assert got == sorted(near_groups(rows)) == [2 * i for i in range(60)]
+
+
+def test_groups_of_hundreds_text_ids_and_null_ids(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for size in (300, 150, 3):
+        base = [word() for _ in range(120)]
+        for i in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(120)] = word()
+            rows.append((f"d{len(rows):04}" if rng.random() < 0.7 else None, " ".join(copy)))
+    rows += [(f"x{i}", " ".join(word() for _ in range(60))) for i in range(30)] + [("d0000", "another text"), (None, "alone"), (None, "alone")]
+    rng.shuffle(rows)
+    want = near_groups(rows)
+    monkeypatch.setattr(neardup, "MEMBERS", 20)
+    for most in (10**6, 0):
+        monkeypatch.setattr(neardup, "BROADCAST_KEYS", most)
+        got = neardup.keep_one(spark.createDataFrame([(d, t, "z") for d, t in rows], "doc_id string, text string, __words2 string"))
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == want
+
+
+def test_many_null_ids_are_not_joined_with_each_other(spark):
+    rows = [(None, f"text number {i} of many others") for i in range(3000)] + [(1, "text number 5 of many others")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3000 and sum(r["doc_id"] == 1 for r in got) == 1

@@ -4,13 +4,18 @@ A whole-text fingerprint within two bits finds texts that differ in little of th
 have a Jaccard similarity of 0.8 differs in 6 to 12 of 64 bits, which no anchor cover reaches at a bearable number of
 replicas. So each text also has several fingerprints of small, consistently chosen samples: for each, the shingles
 with the least hashes under three seeded permutations, whose SimHash two texts share with a probability of about the
-similarity to the power of three. Candidates of either kind are pairs of a member with a representative of its group,
+similarity to the power of three. Candidates of either kind are pairs of a member with the first text of its group,
 and a candidate is a link only if the exact similarity of the shingle sets reaches the threshold.
 
 What these leave apart is found exactly, by a prefix filter: two sets of that similarity share one of the first shingles
 in any common order (a fifth of each set at 0.8). Common shingles, as a sample of the rows has them, come last in the
 order, which costs or saves candidates but never loses one. Under each shingle the members outside its largest component
-are compared with all members of other components, so a group that is linked already makes no pairs.
+are compared with all members of other components, so a group that is linked already makes no pairs. The two steps
+together lose no link.
+
+Texts with the same words are one node with a number of its own; documents are never joined on a null or repeated id
+alone. In every join on a key that may be hot (a sample, a shingle, a group's first text), the hot keys' side is broadcast
+or the key is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -20,15 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from tracewright.llm import simhash
-from tracewright.llm.common import materialize, splitmix, words_of
+from tracewright.llm.common import join_hot, materialize, splitmix, words_of
 from tracewright.llm.components import connected_components
 
 #: Sampled fingerprints a text: they link most groups early; the prefix filter finds what they miss.
-SAMPLES = 12
+SAMPLES = 6
+#: Members that one task compares with a group's first text, and keys that are broadcast (some 40 bytes each).
+MEMBERS, BROADCAST_KEYS = 2048, 1_000_000
 #: Of one in so many rows, the shingles that occur this often, and at most so many of them, are last in the prefix order.
 SAMPLE_ROWS, COMMON_COUNT, COMMON_MOST = 16, 3, 200_000
 _PICKS = 3
@@ -97,15 +105,38 @@ def jaccard(a: bytes | None, b: bytes | None, n: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _marked(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches with a hash of each text's words as a last column; at: where the text is."""
+    for batch in batches:
+        words = [_words_hash(words_of(t)) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.binary())], names=[*batch.schema.names, "__words"])
+
+
+def _words_hash(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _key(id_col: str) -> Column:
+    """An id of any type as a text that no null shares."""
+    return F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("__key")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has no more than BROADCAST_KEYS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
     """docs without near-duplicates: of each group that links of at least this similarity connect, the row with the smallest id stays.
 
     Texts with the same words are one text. Null, empty and wordless texts are alike and form one group; of rows that
-    share the smallest id and the words, one stays; null ids come after all others. An empty table gives an empty result.
+    share the smallest id and the words, one stays; null ids come after all others. Ids are of any type with an order;
+    any number may be null or repeated. An empty table gives an empty result.
     """
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    marked = docs.withColumn("__row_key", _key(id_col)).mapInArrow(lambda b, at=docs.columns.index(text_col): _marked(b, at), StructType([*docs.schema.fields, StructField("__row_key", StringType()), StructField("__words", BinaryType())]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle_words))
+    kind = docs.schema[id_col].dataType
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,92 +145,87 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 words = words_of(t)
                 hashes = shingle_hashes(words, shingle_words)
                 first = prefix(hashes, *shared.value, similarity)
-                rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), simhash.simhash64(words, shingle_words), sampled_simhashes(hashes).tolist(), len(hashes), first.view(np.int64)))
+                rows.append((_words_hash(words), simhash.simhash64(words, shingle_words), sampled_simhashes(hashes).tolist(), len(hashes), first.view(np.int64)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             fp = pa.array(np.array(cols[1], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), fp, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64()))], names=["id", "words", "fp", "samples", "size", "prefix"])
-
-    marks = materialize(rows.mapInArrow(digest, "id long, words string, fp long, samples array<long>, size int, prefix array<long>"), "dup-marks")
-    # one node per distinct sequence of words; a node's number is the smallest id, and null ids come last
-    last = F.lit(2**63 - 1)
-    nodes = marks.groupBy("words").agg(F.min(F.coalesce("id", last)).alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = materialize(nodes, "dup-nodes")
-    fps = nodes.groupBy("fp").agg(F.min("words").alias("words"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), fp, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64()))], names=["id", "words", "fp", "samples", "size", "prefix"])
+
+    marks = rows.mapInArrow(digest, StructType([StructField("id", kind), *StructType.fromDDL("words binary, fp long, samples array<long>, size int, prefix array<long>").fields]))
+    # one node per distinct sequence of words, numbered as it is written down
+    nodes = marks.groupBy("words").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "samples", "size", "prefix")])
+    nodes = materialize(nodes.withColumn("n", F.monotonically_increasing_id()), "dup-nodes")
+    count = nodes.count()
+    fps = nodes.groupBy("fp").agg(F.min("n").alias("n"))
     links = simhash.anchor_links(fps, "fp", threshold)
-    tables = nodes.select("words", F.posexplode("samples").alias("s", "key")).unionByName(nodes.select("words", F.lit(-1).alias("s"), F.col("fp").alias("key")))
-    groups = tables.groupBy("s", "key").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low <> high")
-    members = tables.join(groups, ["s", "key"])
-    stars = members.select(F.col("words").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    ends = links.join(fps.select(F.col("fp").alias("a"), F.col("words").alias("wa")), "a").join(fps.select(F.col("fp").alias("b"), F.col("words").alias("wb")), "b").select(F.col("wa").alias("a"), F.col("wb").alias("b"))
-    pairs = stars.unionByName(ends).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "dup-pairs")
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for w, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(t)
-                if xxhash.xxh3_128_hexdigest(b" ".join(words)) == w:  # rows may share an id but not the text
-                    out.append((w, shingle_hashes(words, shingle_words).tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary())], names=["words", "set"])
+    tables = nodes.select("n", F.posexplode("samples").alias("s", "key")).unionByName(nodes.select("n", F.lit(-1).alias("s"), F.col("fp").alias("key")))
+    groups = tables.groupBy("s", "key").agg(F.min("n").alias("b"), F.count("*").alias("c")).where("c > 1")
+    stars = join_hot(tables, groups, ["s", "key"], "c", count).select(F.col("n").alias("a"), "b")
+    ends = links.join(fps.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    pairs = stars.unionByName(ends).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * max(1, len(x) + len(y) - both) - 1e-12)
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    number = nodes.select("words", F.xxhash64("words", "node").alias("n"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(words_of(t), shingle_words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["n", "set"])
 
     def edges(pairs: DataFrame, name: str) -> DataFrame:
-        """(na, nb): node numbers of the pairs (a, b) whose shingle sets reach the similarity."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct()
-        where = nodes.join(need, "words").select("words", F.col("node").alias("id"))
-        texts = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(text_col).cast("binary").alias("t")).join(where, "id")
-        shingles = materialize(texts.select("words", "t").mapInArrow(sets, "words string, set binary").groupBy("words").agg(F.first("set").alias("set")), name)
-        sided = pairs.join(shingles.select(F.col("words").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("words").alias("b"), F.col("set").alias("y")), "b")
-        good = sided.select("a", "b", "x", "y").mapInArrow(decide, "a string, b string")
-        return good.join(number.select(F.col("words").alias("a"), F.col("n").alias("na")), "a").join(number.select(F.col("words").alias("b"), F.col("n").alias("nb")), "b").select("na", "nb")
-
-    early = connected_components(edges(pairs, "dup-sets"), "na", "nb")
-    early = materialize(number.join(early.select(F.col("node").alias("n"), "root"), "n", "left").select("words", "n", F.coalesce("root", "n").alias("root")), "dup-early")
-    rest = edges(materialize(_apart(nodes.join(early, "words"), similarity), "dup-rest"), "dup-rest-sets")
-    roots = connected_components(early.where("n <> root").select(F.col("n").alias("na"), F.col("root").alias("nb")).unionByName(rest), "na", "nb")
-    placed = nodes.select("words", F.col("node").alias("id"), F.xxhash64("words", "node").alias("node")).join(roots, "node", "left")
-    chosen = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "words")).alias("m")).select("m.id", "m.words")
-    stay = materialize(chosen, "dup-stay")
-    return _rows(docs, stay, id_col, text_col)
+        """(a, b): the pairs whose shingle sets reach the similarity. Each pair carries one set, b's set goes to each of its tasks."""
+        pairs = materialize(pairs, f"{name}-pairs")
+        need = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        need = materialize(nodes.join(need, "n").select("n", F.col("words").alias("__words"), _key("id").alias("__row_key")), f"{name}-need")
+        texts = marked.select("__words", "__row_key", F.col(text_col).cast("binary").alias("t")).join(_few(need), ["__words", "__row_key"])
+        shingles = texts.select("n", "t").mapInArrow(sets, "n long, set binary").dropDuplicates(["n"])
+        shingles = materialize(shingles, f"{name}-sets")
+        total = pairs.count()
+        degree = lambda c: pairs.groupBy(c).agg(F.count("*").alias("c"))
+        first = materialize(degree("b").withColumn("parts", F.ceil(F.col("c") / MEMBERS).cast("long")), f"{name}-first")
+        dealt = join_hot(pairs, first, ["b"], "c", total).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+        of_a = degree("a").join(shingles.withColumnRenamed("n", "a"), "a")
+        members = join_hot(dealt, of_a, ["a"], "c", total).select("b", "part", "a", "set")
+        heads = first.join(shingles.withColumnRenamed("n", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("long").alias("a"), "set")
+        rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "a")
+        return rows.mapInArrow(lambda batches: _decide(batches, similarity), "a long, b long")
+
+    early = connected_components(edges(pairs, "dup-early"))
+    early = materialize(nodes.join(early.withColumnRenamed("node", "n"), "n", "left").select("n", "size", "prefix", F.coalesce("root", "n").alias("root")), "dup-roots")
+    rest = edges(_apart(early, similarity), "dup-rest")
+    roots = connected_components(early.where("n <> root").select(F.col("n").alias("a"), F.col("root").alias("b")).unionByName(rest))
+    placed = nodes.select("n", "words", "id").join(roots.withColumnRenamed("node", "n"), "n", "left")
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n", "words")).alias("m")
+    chosen = placed.groupBy(F.coalesce("root", "n").alias("root")).agg(best).select("m.*")
+    stay = materialize(chosen.select(F.col("words").alias("__words"), _key("id").alias("__row_key")), "dup-stay")
+    kept = marked.join(_few(stay), ["__words", "__row_key"], "left_semi")
+    return kept.dropDuplicates(["__words", "__row_key"]).select(*docs.columns)
+
+
+def _decide(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (b, part, a, set) sorted so that b's own set (a = -1) comes before its members': the links among them."""
+    place, head = None, np.empty(0, dtype=np.uint64)
+    for batch in batches:
+        good = []
+        for b, part, a, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            s = np.frombuffer(raw, dtype=np.uint64)
+            if a < 0:
+                place, head = (b, part), s
+            elif place == (b, part):
+                both = len(np.intersect1d(head, s, assume_unique=True))
+                if both >= similarity * max(1, len(head) + len(s) - both) - 1e-12:
+                    good.append((a, b))
+        cols = list(zip(*good, strict=True)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
 def _apart(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): words of all pairs of different components that can reach the similarity by their prefixes and sizes."""
-    tokens = nodes.select("words", "root", "size", F.posexplode("prefix").alias("place", "token"))
-    sizes = tokens.groupBy("token", "root").agg(F.count("*").alias("c"))
-    groups = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    members = materialize(tokens.join(groups, "token"), "dup-tokens")
-    side = lambda x: members.select("token", F.col("words").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "place", "largest")])
+    """(a, b): all pairs of nodes (n, root, size, prefix) of different roots that can reach the similarity by their prefixes and sizes."""
+    tokens = nodes.select("n", "root", "size", F.posexplode("prefix").alias("place", "token"))
+    # most shingles have one root: those go after one narrow aggregate
+    split = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    some = materialize(tokens.join(_few(materialize(split, "dup-split")), "token"), "dup-tokens")
+    sizes = some.groupBy("token", "root").agg(F.count("*").alias("c"))
+    groups = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("c").alias("c"))
+    members = materialize(join_hot(some, groups, ["token"], "c", some.count()), "dup-members")
+    side = lambda x: members.select("token", F.col("n").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "place", "largest")])
     met = side("a").where("root_a <> largest_a").join(side("b"), "token").where("root_a <> root_b and (root_b = largest_b or a < b)")
     # no shingle before the first common one is shared, which bounds what the sets can share
     both = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     met = met.where((both + 1e-9) * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs with a chosen id and words, one for each."""
-    last = F.lit(2**63 - 1)
-    found = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), last)).join(stay.select(F.col("id").alias("__id"), F.col("words").alias("__words")), "__id")
-    base = found.columns
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, words = base.index(text_col), base.index("__words")
-        for batch in batches:
-            good = [xxhash.xxh3_128_hexdigest(b" ".join(words_of(t))) == w for t, w in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(words).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    kept = found.mapInArrow(same, found.schema)
-    return kept.dropDuplicates(["__id", "__words"]).select(*docs.columns)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
