@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracewright.llm import mix
+from tracewright.llm import common, mix
 
 
 def brute_targets(sizes):
@@ -81,6 +81,7 @@ def test_reruns_agree_and_the_mix_repeats_rows(spark):
 def test_hash_ranges_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(mix, "RANKED", 10)
     monkeypatch.setattr(mix, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "SMALL", 0)
     data = [(i, "w w w", "a") for i in range(900)] + [(2000 + i, "w", "b") for i in range(300)] + [(3000, "w " * 900, "c")]
     _, got = run(spark, data)
     taken = Counter()

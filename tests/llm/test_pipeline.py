@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tracewright.llm import neardup
+from tracewright.llm import common, neardup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -109,6 +109,7 @@ def test_groups_of_hundreds_text_ids_and_null_ids(spark, monkeypatch):
     monkeypatch.setattr(neardup, "MEMBERS", 20)
     for most in (10**6, 0):
         monkeypatch.setattr(neardup, "BROADCAST_KEYS", most)
+        monkeypatch.setattr(common, "SMALL", most)
         got = neardup.keep_one(spark.createDataFrame([(d, t, "z") for d, t in rows], "doc_id string, text string, __words2 string"))
         assert sorted((r["doc_id"] for r in got.collect()), key=str) == want
 

@@ -75,6 +75,7 @@ def test_anchor_cover_finds_every_link_and_midpoints_agree(spark):
 
 def test_hubs_are_split(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_SHARE", 0.05)
+    monkeypatch.setattr(common, "SMALL", 0)
     edges = [(0, i) for i in range(1, 200)] + [(500, 500 + i) for i in range(1, 100)] + [(199, 500), (1000, 1001)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in [*range(200), *range(500, 600)]} | {1000: 1000, 1001: 1000}

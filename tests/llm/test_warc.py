@@ -35,6 +35,7 @@ def test_digests_match_brute_force(spark):
 def test_many_repeated_payloads_are_joined_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(common, "HOT_SHARE", 0.3)
+    monkeypatch.setattr(common, "SMALL", 0)
     rows = ROWS + [(100 + i, "h", "<p>hot</p>") for i in range(30)]
     assert sorted(map(tuple, warc.digests(spark, frame(spark, rows)).collect()), key=str) == brute(rows)
 

@@ -54,13 +54,18 @@ def discard(df: DataFrame) -> None:
 
 #: A key is hot if it has a share of this or more of the rows; so at most its inverse of keys are hot.
 HOT_SHARE = 1e-4
+#: Of fewer rows in all, no key's rows are more than one task bears.
+SMALL = 1_000_000
 
 
 def join_hot(rows: DataFrame, side: DataFrame, on: list[str], count_col: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with side, which has one row per key and in count_col how many of the total rows have that key.
 
-    Hot keys, at most 1/HOT_SHARE of them, are broadcast, so none is one task's; only the other rows are shuffled.
+    Hot keys, at most 1/HOT_SHARE of them, are broadcast, so none is one task's; only the other rows are shuffled. With a
+    total below SMALL it is a plain join of the same result.
     """
+    if total < SMALL:
+        return rows.join(side.drop(count_col), on, how)
     hot = F.col(count_col) >= max(2.0, HOT_SHARE * total)
     few = F.broadcast(side.where(hot).drop(count_col))
     rest = rows.join(F.broadcast(side.where(hot).select(*on)), on, "left_anti").join(side.where(~hot).drop(count_col), on, how)

@@ -36,7 +36,7 @@ from tracewright.llm.components import connected_components
 #: Sampled fingerprints a text: they link most groups early; the prefix filter finds what they miss.
 SAMPLES = 6
 #: Members that one task compares with a group's first text, and keys that are broadcast (some 40 bytes each).
-MEMBERS, BROADCAST_KEYS = 2048, 1_000_000
+MEMBERS, BROADCAST_KEYS = 2048, 200_000
 #: Of one in so many rows, the shingles that occur this often, and at most so many of them, are last in the prefix order.
 SAMPLE_ROWS, COMMON_COUNT, COMMON_MOST = 16, 3, 200_000
 _PICKS = 3
