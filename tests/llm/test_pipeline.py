@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from tracewright.llm import common, neardup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -114,6 +115,15 @@ def test_groups_of_hundreds_text_ids_and_null_ids(spark, monkeypatch):
         assert sorted((r["doc_id"] for r in got.collect()), key=str) == want
 
 
+def test_sketches_never_say_more_than_the_sets_differ():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        both, one, two = (r.integers(0, 2**63, int(n), dtype=np.uint64) for n in r.integers(0, 400, 3))
+        a, b = np.unique(np.r_[both, one]), np.unique(np.r_[both, two])
+        unlike = neardup.unlike_at_least(neardup.sketch(a), neardup.sketch(b))
+        assert unlike <= len(np.setxor1d(a, b)) and (len(a) < 200 or len(both) or unlike > 0.2 * len(a))
+
+
 def test_many_null_ids_are_not_joined_with_each_other(spark):
     rows = [(None, f"text number {i} of many others") for i in range(3000)] + [(1, "text number 5 of many others")]
     got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -4,8 +4,9 @@ A whole-text fingerprint within two bits finds texts that differ in little of th
 have a Jaccard similarity of 0.8 differs in 6 to 12 of 64 bits, which no anchor cover reaches at a bearable number of
 replicas. So each text also has several fingerprints of small, consistently chosen samples: for each, the shingles
 with the least hashes under three seeded permutations, whose SimHash two texts share with a probability of about the
-similarity to the power of three. Candidates of either kind are pairs of a member with the first text of its group,
-and a candidate is a link only if the exact similarity of the shingle sets reaches the threshold.
+similarity to the power of three. Candidates of either kind are pairs of a member with the first or last text of its
+group. A candidate whose parity sketches (about two bits a shingle) differ in more bits than two sets of that similarity
+have unlike shingles can't be a link; of the others, the exact similarity of the shingle sets decides.
 
 What these leave apart is found exactly, by a prefix filter: two sets of that similarity share one of the first shingles
 in any common order (a fifth of each set at 0.8). Common shingles, as a sample of the rows has them, come last in the
@@ -20,7 +21,7 @@ or the key is dealt to several tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from tracewright.llm.common import join_hot, materialize, splitmix, words_of
 from tracewright.llm.components import connected_components
 
 #: Sampled fingerprints a text: they link most groups early; the prefix filter finds what they miss.
-SAMPLES = 6
+SAMPLES = 12
 #: Members that one task compares with a group's first text, and keys that are broadcast (some 40 bytes each).
 MEMBERS, BROADCAST_KEYS = 2048, 200_000
 #: Of one in so many rows, the shingles that occur this often, and at most so many of them, are last in the prefix order.
@@ -64,6 +65,22 @@ def sampled_simhashes(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     return (a & b | a & c | b & c).view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit per bucket of hashes: whether it holds an odd number of them. Sketches of two sets differ in no more bits than the sets in members."""
+    bits = 1 << min(16, max(6, (2 * len(hashes)).bit_length()))
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def unlike_at_least(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the shorter one's buckets."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set, of which any set of at least this similarity has one among its own first.
 
@@ -145,45 +162,37 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 words = words_of(t)
                 hashes = shingle_hashes(words, shingle_words)
                 first = prefix(hashes, *shared.value, similarity)
-                rows.append((_words_hash(words), simhash.simhash64(words, shingle_words), sampled_simhashes(hashes).tolist(), len(hashes), first.view(np.int64)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
+                rows.append((_words_hash(words), simhash.simhash64(words, shingle_words), sampled_simhashes(hashes).tolist(), len(hashes), first.view(np.int64), len(hashes).to_bytes(4) + sketch(hashes)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
             fp = pa.array(np.array(cols[1], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), fp, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64()))], names=["id", "words", "fp", "samples", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), fp, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary())], names=["id", "words", "fp", "samples", "size", "prefix", "sketch"])
 
-    marks = rows.mapInArrow(digest, StructType([StructField("id", kind), *StructType.fromDDL("words binary, fp long, samples array<long>, size int, prefix array<long>").fields]))
+    marks = rows.mapInArrow(digest, StructType([StructField("id", kind), *StructType.fromDDL("words binary, fp long, samples array<long>, size int, prefix array<long>, sketch binary").fields]))
     # one node per distinct sequence of words, numbered as it is written down
-    nodes = marks.groupBy("words").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "samples", "size", "prefix")])
+    nodes = marks.groupBy("words").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "samples", "size", "prefix", "sketch")])
     nodes = materialize(nodes.withColumn("n", F.monotonically_increasing_id()), "dup-nodes")
     count = nodes.count()
     fps = nodes.groupBy("fp").agg(F.min("n").alias("n"))
     links = simhash.anchor_links(fps, "fp", threshold)
     tables = nodes.select("n", F.posexplode("samples").alias("s", "key")).unionByName(nodes.select("n", F.lit(-1).alias("s"), F.col("fp").alias("key")))
-    groups = tables.groupBy("s", "key").agg(F.min("n").alias("b"), F.count("*").alias("c")).where("c > 1")
-    stars = join_hot(tables, groups, ["s", "key"], "c", count).select(F.col("n").alias("a"), "b")
+    groups = tables.groupBy("s", "key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("c")).where("c > 1")
+    stars = join_hot(tables, groups, ["s", "key"], "c", count).select(F.col("n").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     ends = links.join(fps.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pairs = stars.unionByName(ends).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(words_of(t), shingle_words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["n", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(words_of(t), shingle_words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["n", "data"])
 
     def edges(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b): the pairs whose shingle sets reach the similarity. Each pair carries one set, b's set goes to each of its tasks."""
-        pairs = materialize(pairs, f"{name}-pairs")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        """(a, b): the pairs whose shingle sets reach the similarity."""
+        sketches = nodes.select("n", F.col("sketch").alias("data"))
+        close = materialize(_compared(materialize(pairs, f"{name}-pairs"), sketches, _may_link, similarity), f"{name}-close")
+        need = close.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         need = materialize(nodes.join(need, "n").select("n", F.col("words").alias("__words"), _key("id").alias("__row_key")), f"{name}-need")
         texts = marked.select("__words", "__row_key", F.col(text_col).cast("binary").alias("t")).join(_few(need), ["__words", "__row_key"])
-        shingles = texts.select("n", "t").mapInArrow(sets, "n long, set binary").dropDuplicates(["n"])
-        shingles = materialize(shingles, f"{name}-sets")
-        total = pairs.count()
-        degree = lambda c: pairs.groupBy(c).agg(F.count("*").alias("c"))
-        first = materialize(degree("b").withColumn("parts", F.ceil(F.col("c") / MEMBERS).cast("long")), f"{name}-first")
-        dealt = join_hot(pairs, first, ["b"], "c", total).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-        of_a = degree("a").join(shingles.withColumnRenamed("n", "a"), "a")
-        members = join_hot(dealt, of_a, ["a"], "c", total).select("b", "part", "a", "set")
-        heads = first.join(shingles.withColumnRenamed("n", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("long").alias("a"), "set")
-        rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "a")
-        return rows.mapInArrow(lambda batches: _decide(batches, similarity), "a long, b long")
+        shingles = texts.select("n", "t").mapInArrow(sets, "n long, data binary").dropDuplicates(["n"])
+        return _compared(close, materialize(shingles, f"{name}-sets"), _linked, similarity)
 
     early = connected_components(edges(pairs, "dup-early"))
     early = materialize(nodes.join(early.withColumnRenamed("node", "n"), "n", "left").select("n", "size", "prefix", F.coalesce("root", "n").alias("root")), "dup-roots")
@@ -197,21 +206,42 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return kept.dropDuplicates(["__words", "__row_key"]).select(*docs.columns)
 
 
-def _decide(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (b, part, a, set) sorted so that b's own set (a = -1) comes before its members': the links among them."""
-    place, head = None, np.empty(0, dtype=np.uint64)
-    for batch in batches:
-        good = []
-        for b, part, a, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            s = np.frombuffer(raw, dtype=np.uint64)
-            if a < 0:
-                place, head = (b, part), s
-            elif place == (b, part):
-                both = len(np.intersect1d(head, s, assume_unique=True))
-                if both >= similarity * max(1, len(head) + len(s) - both) - 1e-12:
+def _may_link(a: bytes, b: bytes, similarity: float) -> bool:
+    """Of two sizes (4 bytes) and sketches: whether the sets can have the similarity."""
+    size = int.from_bytes(a[:4]) + int.from_bytes(b[:4])
+    return unlike_at_least(a[4:], b[4:]) <= size * (1 - similarity) / (1 + similarity) + 1e-9
+
+
+def _linked(a: bytes, b: bytes, similarity: float) -> bool:
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * max(1, len(x) + len(y) - both) - 1e-12
+
+
+def _compared(pairs: DataFrame, data: DataFrame, test: Callable, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose data (n, data) pass the test. A pair carries the data of a; that of b goes once to each of its tasks."""
+    total = pairs.count()
+    degree = lambda c: pairs.groupBy(c).agg(F.count("*").alias("c"))
+    first = materialize(degree("b").withColumn("parts", F.ceil(F.col("c") / MEMBERS).cast("long")), "dup-first")
+    dealt = join_hot(pairs, first, ["b"], "c", total).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    of_a = degree("a").join(data.withColumnRenamed("n", "a"), "a")
+    members = join_hot(dealt, of_a, ["a"], "c", total).select("b", "part", "a", "data")
+    heads = first.join(data.withColumnRenamed("n", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("long").alias("a"), "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, head = None, b""
+        for batch in batches:
+            good = []
+            for b, part, a, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if a < 0:
+                    place, head = (b, part), raw
+                elif place == (b, part) and test(head, raw, similarity):
                     good.append((a, b))
-        cols = list(zip(*good, strict=True)) or [()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+            cols = list(zip(*good, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "a")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _apart(nodes: DataFrame, similarity: float) -> DataFrame:
