@@ -191,7 +191,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         need = close.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         need = materialize(nodes.join(need, "n").select("n", F.col("words").alias("__words"), _key("id").alias("__row_key")), f"{name}-need")
         texts = marked.select("__words", "__row_key", F.col(text_col).cast("binary").alias("t")).join(_few(need), ["__words", "__row_key"])
-        shingles = texts.select("n", "t").mapInArrow(sets, "n long, data binary").dropDuplicates(["n"])
+        # the shuffle parts the two Python steps, so a task has one worker at a time
+        shingles = texts.select("n", "t").dropDuplicates(["n"]).mapInArrow(sets, "n long, data binary")
         return _compared(close, materialize(shingles, f"{name}-sets"), _linked, similarity)
 
     early = connected_components(edges(pairs, "dup-early"))
