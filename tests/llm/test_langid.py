@@ -89,3 +89,8 @@ def test_predictions_match_a_plain_computation():
 def test_tail_of_an_exponential_variable():
     x = 5 - np.random.default_rng(1).exponential(1.0, 100_000)
     assert abs(langid.lower_tail(x, 1e-3) - (5 + np.log(1e-3))) < 0.2 and langid.lower_tail(np.array([1.0]), 0.5) <= 1.0
+
+
+def test_packed_counts():
+    fine, times = langid.unpack(langid.pack(np.array([3, 7, (1 << 20) - 1]), np.array([1, 10_000, 4095])).tobytes())
+    assert np.bincount(fine, times)[[3, 7, (1 << 20) - 1]].tolist() == [1, 10_000, 4095]

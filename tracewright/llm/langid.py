@@ -94,6 +94,21 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(list(subwords(text))), return_counts=True)
 
 
+def pack(fine: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits each: the hash, and up to 4,095 occurrences; more take several."""
+    parts = []
+    while len(fine):
+        parts.append((fine << 12 | np.minimum(times, 4095)).astype(np.uint32))
+        more = times > 4095
+        fine, times = fine[more], times[more] - 4095
+    return np.concatenate([*parts, np.empty(0, dtype=np.uint32)])
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(packed, dtype=np.uint32).astype(np.int64)
+    return x >> 12, x & 4095
+
+
 def lower_tail(values: np.ndarray, rate: float, share: float = 0.1) -> float:
     """The value that a row falls below with a probability of rate: the lowest share of the values, taken for exponential below their greatest."""
     ordered = np.sort(values)
@@ -162,11 +177,11 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [counted(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([g[j].astype(np.int32).tobytes() for g in got], pa.binary()) for j in (0, 1))], names=["__h", "id", "lang", "fine", "times"])
+            got = [pack(*counted(t)).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["__h", "id", "lang", "counts"])
 
-    got = hashed_sample(rows, "id", "lang", max_rows, ["lang", "text"], run, "fine binary, times binary")
-    return train_counted([tuple(np.frombuffer(r[c], dtype=np.int32).astype(np.int64) for c in ("fine", "times")) for r in got], [r["lang"] for r in got], **options)
+    got = hashed_sample(rows, "id", "lang", max_rows, ["lang", "text"], run, "counts binary")
+    return train_counted([unpack(r["counts"]) for r in got], [r["lang"] for r in got], **options)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
