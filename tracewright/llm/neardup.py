@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from tracewright.llm import simhash
 from tracewright.llm.common import join_hot, materialize, splitmix, words_of
@@ -122,20 +122,17 @@ def jaccard(a: bytes | None, b: bytes | None, n: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _marked(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Batches with a hash of each text's words as a last column; at: where the text is."""
-    for batch in batches:
-        words = [_words_hash(words_of(t)) for t in batch.column(at).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.binary())], names=[*batch.schema.names, "__words"])
-
-
 def _words_hash(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 def _key(id_col: str) -> Column:
     """An id of any type as a text that no null shares."""
-    return F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("__key")
+    return F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("__row_key")
+
+
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -150,8 +147,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     share the smallest id and the words, one stays; null ids come after all others. Ids are of any type with an order;
     any number may be null or repeated. An empty table gives an empty result.
     """
-    marked = docs.withColumn("__row_key", _key(id_col)).mapInArrow(lambda b, at=docs.columns.index(text_col): _marked(b, at), StructType([*docs.schema.fields, StructField("__row_key", StringType()), StructField("__words", BinaryType())]))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    keys = ["__row_key", "__text_key"]
+    marked = docs.withColumns({"__row_key": _key(id_col), "__text_key": _text_key(text_col)})
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), _text_key(text_col).alias("text_key"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle_words))
     kind = docs.schema[id_col].dataType
 
@@ -165,11 +163,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 rows.append((_words_hash(words), simhash.simhash64(words, shingle_words), sampled_simhashes(hashes).tolist(), len(hashes), first.view(np.int64), len(hashes).to_bytes(4) + sketch(hashes)))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             fp = pa.array(np.array(cols[1], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), fp, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary())], names=["id", "words", "fp", "samples", "size", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cols[0], pa.binary()), fp, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary())], names=["id", "text_key", "words", "fp", "samples", "size", "prefix", "sketch"])
 
-    marks = rows.mapInArrow(digest, StructType([StructField("id", kind), *StructType.fromDDL("words binary, fp long, samples array<long>, size int, prefix array<long>, sketch binary").fields]))
-    # one node per distinct sequence of words, numbered as it is written down
-    nodes = marks.groupBy("words").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "samples", "size", "prefix", "sketch")])
+    marks = rows.mapInArrow(digest, StructType([StructField("id", kind), *StructType.fromDDL("text_key binary, words binary, fp long, samples array<long>, size int, prefix array<long>, sketch binary").fields]))
+    # one node per distinct sequence of words, numbered as it is written down; row is its smallest id and a text of that
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
+    nodes = marks.groupBy("words").agg(F.min(row).alias("row"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("fp", "samples", "size", "prefix", "sketch")])
     nodes = materialize(nodes.withColumn("n", F.monotonically_increasing_id()), "dup-nodes")
     count = nodes.count()
     fps = nodes.groupBy("fp").agg(F.min("n").alias("n"))
@@ -189,9 +188,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         sketches = nodes.select("n", F.col("sketch").alias("data"))
         close = materialize(_compared(materialize(pairs, f"{name}-pairs"), sketches, _may_link, similarity), f"{name}-close")
         need = close.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-        need = materialize(nodes.join(need, "n").select("n", F.col("words").alias("__words"), _key("id").alias("__row_key")), f"{name}-need")
-        texts = marked.select("__words", "__row_key", F.col(text_col).cast("binary").alias("t")).join(_few(need), ["__words", "__row_key"])
-        # the shuffle parts the two Python steps, so a task has one worker at a time
+        need = materialize(nodes.join(need, "n").select("n", _key("row.id"), F.col("row.text_key").alias("__text_key")), f"{name}-need")
+        texts = marked.select(*keys, F.col(text_col).cast("binary").alias("t")).join(_few(need), keys)
         shingles = texts.select("n", "t").dropDuplicates(["n"]).mapInArrow(sets, "n long, data binary")
         return _compared(close, materialize(shingles, f"{name}-sets"), _linked, similarity)
 
@@ -199,12 +197,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     early = materialize(nodes.join(early.withColumnRenamed("node", "n"), "n", "left").select("n", "size", "prefix", F.coalesce("root", "n").alias("root")), "dup-roots")
     rest = edges(_apart(early, similarity), "dup-rest")
     roots = connected_components(early.where("n <> root").select(F.col("n").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    placed = nodes.select("n", "words", "id").join(roots.withColumnRenamed("node", "n"), "n", "left")
-    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n", "words")).alias("m")
-    chosen = placed.groupBy(F.coalesce("root", "n").alias("root")).agg(best).select("m.*")
-    stay = materialize(chosen.select(F.col("words").alias("__words"), _key("id").alias("__row_key")), "dup-stay")
-    kept = marked.join(_few(stay), ["__words", "__row_key"], "left_semi")
-    return kept.dropDuplicates(["__words", "__row_key"]).select(*docs.columns)
+    placed = nodes.select("n", "row", "copies").join(roots.withColumnRenamed("node", "n"), "n", "left")
+    chosen = placed.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min(F.struct("row", "n", "copies")).alias("m"))
+    stay = materialize(chosen.select(_key("m.row.id"), F.col("m.row.text_key").alias("__text_key"), "m.copies"), "dup-stay")
+    # only rows of a node with several can be repeated
+    alone = marked.join(_few(stay.where("copies = 1").drop("copies")), keys, "left_semi")
+    first = marked.join(_few(stay.where("copies > 1").drop("copies")), keys, "left_semi").dropDuplicates(keys)
+    return alone.unionByName(first).select(*docs.columns)
 
 
 def _may_link(a: bytes, b: bytes, similarity: float) -> bool:
