@@ -38,7 +38,7 @@ SPACE = "▁"
 #: Stands for a literal U+2581 while white space is marked by it; no valid text holds a surrogate.
 LITERAL = "\ud800"
 #: Characters of text and rows that are walked at once.
-BATCH_CHARS, BATCH_ROWS = 700_000, 1024
+BATCH_CHARS, BATCH_ROWS = 350_000, 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
