@@ -50,7 +50,7 @@ def test_quality_measures_match_numpy(spark):
         own = (y == y[i]) & (np.arange(len(x)) != i)
         a, b = d[i, own].mean(), min(d[i, y == k].mean() for k in set(y) - {y[i]})
         s.append((b - a) / max(a, b))
-    assert cluster.silhouette(df).first()[0] == pytest.approx(np.mean(s))
+    assert cluster.silhouette(df).first()[0] == pytest.approx(np.mean(s)) == pytest.approx(cluster.silhouette_by_pairs(df).first()[0])
     k, n = 3, len(x)
     c = np.array([x[y == j].mean(0) for j in range(k)])
     w = ((x - c[y]) ** 2).sum()
@@ -89,3 +89,26 @@ def test_sparse_contingency_tables_are_dense(spark):
     cells = stats.contingency(spark.createDataFrame([("a", "x")] * 3 + [("b", "y")] * 2, "p string, q string"), "p", "q")
     grid = stats.dense_grid(cells, "p", "q")
     assert grid.count() == 4 and stats.chi_square(grid, "p", "q").first()["chi2"] == pytest.approx(5.0)
+
+
+def test_lloyd_finds_planted_groups_and_the_best_run(spark):
+    x, truth = blobs(noise=0)
+    assert same_groups(cluster.lloyd(x, 3, 5), truth) and same_groups(cluster.standard_lloyd(x, 3, 5), truth)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, features array<double>")
+    got = {k: cluster.lloyd_grid(df, "i", [2, 3], 5).where(f"k = {k}").first()["inertia"] for k in (2, 3)}
+    assert got[3] == pytest.approx(sum(((x[truth == j] - x[truth == j].mean(0)) ** 2).sum() for j in range(3))) and got[2] > got[3]
+
+
+def test_agreement_within_groups_matches_the_plain_one(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(g), int(a), int(b)) for g, a, b in zip(r.integers(0, 3, 300), r.integers(0, 3, 300), r.integers(0, 4, 300))]
+    df = spark.createDataFrame(rows, "g int, a int, b int")
+    for row in stats.agreement_by(df, "g", "a", "b").collect():
+        assert tuple(row)[1:] == pytest.approx(tuple(stats.agreement(df.where(f"g = {row['g']}"), "a", "b").first()))
+
+
+def test_chi_square_tail_probabilities(spark):
+    # published quantiles at 5 % and 1 %
+    rows = [(3.841, 1, 0.05), (5.991, 2, 0.05), (16.812, 6, 0.01), (76.154, 50, 0.01), (67.505, 50, 0.05), (0.0, 4, 1.0), (2478.64, 32, 0.0)]
+    got = spark.createDataFrame(rows, "x double, d int, p double").select("p", stats.chi_square_p(F.col("x"), F.col("d")).alias("q")).collect()
+    assert all(r["q"] == pytest.approx(r["p"], abs=2e-5) for r in got)

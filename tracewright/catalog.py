@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import log_queries, model_queries
+from tracewright.plans import log_queries, model_queries, report_queries
 
-ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {**log_queries.QUERIES, **model_queries.QUERIES}
+ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {**log_queries.QUERIES, **model_queries.QUERIES, **report_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,6 +19,11 @@ def actor_mapping(events: DataFrame, raw_col: str = "actor_id_raw") -> DataFrame
     return ids.select("actor_raw", F.format_string("actor_%06d", F.row_number().over(Window.orderBy("actor_raw"))).alias("actor_id"))
 
 
+def value_union(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): the distinct values of each key in order, joined by semicolons; nulls are left out."""
+    return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), ";").alias(name))
+
+
 def bot_reason(c: Column) -> Column:
     """Names of the rules that a text meets, joined by semicolons; null meets none."""
     return F.array_join(F.array(*[F.when(F.coalesce(c, F.lit("")).rlike(f"(?i){p}"), n) for n, p in BOT_RULES.items()]), ";")

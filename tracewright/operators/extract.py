@@ -52,6 +52,11 @@ def linked_commits(commits: DataFrame, issues: DataFrame, id_col: str = "_id") -
     return pairs.join(issues.select(F.col("_id").alias("issue_id")).distinct(), "issue_id", "left_semi")
 
 
+def of_selected(rows: DataFrame, key: str, selected: DataFrame, selected_key: str) -> DataFrame:
+    """rows whose key is among the selected ones."""
+    return rows.join(selected.select(F.col(selected_key).alias(key)), key, "left_semi")
+
+
 def commit_churn(actions: DataFrame, key: str = "commit_id") -> DataFrame:
     """Files, added and deleted lines per commit."""
     s = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).cast("long").alias(c)

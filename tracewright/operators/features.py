@@ -1,4 +1,4 @@
-"""Per-actor features: one fused aggregation, and one window for the times between events."""
+"""Per-actor features: one window for the times between events, and one fused aggregation over it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.schemas import LIFECYCLE_STAGES, SOURCES
 
-#: Event type behind each plain count.
+# Event type behind each plain count.
 EVENT_COUNTS = {
     "n_issues_reported": "issue_created",
     "n_issue_comments": "issue_comment_added",
@@ -61,6 +61,7 @@ def fused(events: DataFrame) -> DataFrame:
         _count(stage == "closure").alias("n_final_status_changes"),
         *[_count(stage == x).alias(f"__stage_{x}") for x in LIFECYCLE_STAGES],
         *[_count(source == x).alias(f"__source_{x}") for x in SOURCES],
+        F.median("__hours").alias("median_inter_event_hours"),
         F.min("ts").alias("first_event_at"),
         F.max("ts").alias("last_event_at"),
         F.min(F.when(F.col("ts").isNotNull(), F.struct("ts", "lifecycle_stage"))).alias("__a"),
@@ -74,14 +75,14 @@ def fused(events: DataFrame) -> DataFrame:
     return out.withColumns(ratios | more)
 
 
-def inter_event_hours(events: DataFrame) -> DataFrame:
-    """(actor_id, median_inter_event_hours), events of one actor ordered by time and stage; events without a time are left out."""
-    order = Window.partitionBy("actor_id").orderBy("ts", "lifecycle_stage")
+def with_hours(events: DataFrame) -> DataFrame:
+    """events with the hours since the actor's event before it, by time and stage; events without a time have none and come last."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = events.where("ts is not null").select("actor_id", ((at - F.lag(at).over(order)) / 3.6e9).alias("h"))
-    return timed.groupBy("actor_id").agg(F.median("h").alias("median_inter_event_hours"))
+    order = Window.partitionBy("actor_id").orderBy(F.asc_nulls_last("ts"), "lifecycle_stage")
+    return events.withColumn("__hours", (at - F.lag(at).over(order)) / 3.6e9)
 
 
+# Fixed value: the published order of the feature table.
 ORDER = [
     "actor_id", "total_events", "n_projects", "n_unique_issues", "active_days", "is_bot", "is_low_activity", "n_issue_linked_events", "n_project_level_events",
     "issue_linked_ratio", "project_level_ratio", "n_issues_reported", "n_issue_comments", "n_unique_issues_commented", "median_comment_length", "n_status_changes",
@@ -94,9 +95,8 @@ ORDER = [
 
 
 def actor_features(events: DataFrame) -> DataFrame:
-    """One row per known actor: the key and 57 features."""
-    known = known_actors(events)
-    return fused(known).join(inter_event_hours(known), "actor_id", "left").select(*ORDER)
+    """One row per known actor: the key and 57 features. The log is read once: the window and the aggregation share its partitioning."""
+    return fused(with_hours(known_actors(events))).select(*ORDER)
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -38,15 +38,19 @@ def impute(features: DataFrame) -> DataFrame:
 
 
 def transformed(imputed: DataFrame, quantile: float = 0.99) -> DataFrame:
-    """Counts logged (also the one that is a log already, as published numbers have it), then every column capped at its own quantile."""
+    """Counts logged (also the one that is a log already, as published numbers have it), then every column capped at its own quantile.
+
+    The logged matrix, one narrow row an actor, is kept for the quantiles and the caps, so its source is read once.
+    """
     cols = [c for c in imputed.columns if c != "actor_id"]
-    logged = imputed.select("actor_id", *[(F.log1p(F.greatest(F.col(c), F.lit(0.0))) if feature_kind(c) == "count" else F.col(c).cast("double")).alias(c) for c in cols])
+    logged = imputed.select("actor_id", *[(F.log1p(F.greatest(F.col(c), F.lit(0.0))) if feature_kind(c) == "count" else F.col(c).cast("double")).alias(c) for c in cols]).persist()
     caps = logged.agg(*[F.percentile(c, quantile).alias(f"__{c}") for c in cols])
     return logged.crossJoin(F.broadcast(caps)).select("actor_id", *[F.least(F.col(c), F.col(f"__{c}")).alias(c) for c in cols])  # caps is one row
 
 
 def standardized(matrix: DataFrame) -> DataFrame:
-    """Mean 0 and population deviation 1; constant columns are 0."""
+    """Mean 0 and population deviation 1; constant columns are 0. The matrix is kept for both passes."""
+    matrix = matrix.persist()
     cols = [c for c in matrix.columns if c != "actor_id"]
     stats = matrix.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols])
     z = lambda c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") > 1e-12, F.col(f"__s_{c}")).otherwise(1.0)
@@ -77,6 +81,29 @@ def imputation_log(features: DataFrame) -> DataFrame:
     return rows.select("feature", "feature_kind", F.col("missing_count").alias("missing_count_before"), F.when(special, "missing_flag_plus_zero_imputation").otherwise("zero_imputation").alias("action"))
 
 
+def transform_log(features: DataFrame) -> DataFrame:
+    """(feature, feature_kind, is_logged, is_capped, is_scaled, action, missing_count_before) of every model column; the action is the imputation's, or none."""
+    names = [*model_columns(features), FLAG]
+    rows = [(c, feature_kind(c), feature_kind(c) == "count", True, True) for c in names]
+    said = features.sparkSession.createDataFrame(rows, "feature string, feature_kind string, is_logged boolean, is_capped boolean, is_scaled boolean")
+    log = imputation_log(features).select("feature", "feature_kind", "missing_count_before", "action")
+    out = said.join(F.broadcast(log), ["feature", "feature_kind"], "left")  # a row a column
+    return out.withColumn("action", F.coalesce("action", F.lit("none"))).fillna(0, ["missing_count_before"])
+
+
+def require_model_input(matrix: DataFrame, labels: DataFrame, features: DataFrame) -> None:
+    """ValueError unless matrix and labels have the same actors once, no value is missing, and no actor is a bot or of low activity."""
+    from tracewright.operators.quality import require_complete, require_unique
+
+    require_unique(labels, "actor_id")
+    require_complete(matrix, [c for c in matrix.columns if c != "actor_id"])
+    both = matrix.select("actor_id").join(labels.select("actor_id", F.lit(1).alias("__l")), "actor_id", "full").agg(F.count("*").alias("n"), F.count("__l").alias("l")).first()
+    if both["n"] != both["l"] or both["n"] != matrix.count():
+        raise ValueError("matrix and labels hold different actors")
+    if features.where("is_bot or is_low_activity").join(matrix.select("actor_id"), "actor_id", "left_semi").limit(1).count():
+        raise ValueError("the model matrix holds a bot or an actor of low activity")
+
+
 def feature_list(features: DataFrame) -> DataFrame:
     rows = [(c, feature_kind(c)) for c in [*model_columns(features), FLAG]]
     return features.sparkSession.createDataFrame(rows, "feature string, feature_kind string")

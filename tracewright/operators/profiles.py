@@ -43,11 +43,13 @@ def role_name(means: DataFrame) -> DataFrame:
 
 
 def representatives(labelled: DataFrame, n: int = 5) -> DataFrame:
-    """The n most active actors of each cluster; of noise, those nearest to its median activity rank."""
+    """The n actors of each cluster with the highest cluster_probability, if labelled has one, then the most events; of noise, those nearest to its median activity rank."""
     w = Window.partitionBy("cluster_label")
     first = F.row_number().over(w.orderBy("total_events", "actor_id")) / F.count("*").over(w)
-    scored = labelled.select("cluster_label", "actor_id", "total_events").withColumn("score", F.when(F.col("cluster_label") == -1, F.round(F.abs(first - 0.5), 9)).otherwise(0.0))
-    return scored.withColumn("rank", F.row_number().over(w.orderBy("score", F.desc("total_events"), "actor_id"))).where(F.col("rank") <= n).select("cluster_label", "rank", "actor_id", "total_events")
+    sure = F.coalesce("cluster_probability", F.lit(0.0)) if "cluster_probability" in labelled.columns else F.lit(0.0)
+    scored = labelled.select("cluster_label", "actor_id", "total_events", F.when(F.col("cluster_label") == -1, F.round(F.abs(first - 0.5), 9)).otherwise(-sure).alias("score"))
+    order = w.orderBy("score", F.desc("total_events"), "actor_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("cluster_label", "rank", "actor_id", "total_events")
 
 
 def timeline(events: DataFrame, chosen: DataFrame, n: int = 8) -> DataFrame:

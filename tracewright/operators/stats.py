@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most cells of a table that is permuted on the driver's account.
+MAX_CELLS = 100_000
+
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, observed): pairs that occur."""
@@ -33,6 +37,30 @@ def chi_square(grid: DataFrame, a: str, b: str) -> DataFrame:
     return one.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"), "n", "low_expected_cells", *cramers_v(F.col("chi2"), F.col("n"), F.col("r"), F.col("c")))
 
 
+def chi_square_p(chi2: Column, dof: Column) -> Column:
+    """Upper tail probability of a chi-square variable, by the power series of the lower incomplete gamma function; null without a degree of freedom.
+
+    Beyond 1,000 and six times the degrees of freedom it is below any printed precision, and 0.
+    """
+    a, x = dof.cast("double") / 2, chi2.cast("double") / 2
+    far = x > F.greatest(F.lit(500.0), 3 * a)
+    terms = F.when(far, 1).otherwise(F.ceil(F.greatest(F.lit(400.0), 2 * x)) + 100).cast("int")
+    # log gamma(a + 1) of a half-integer: steps of 1 up from 1 or from gamma(1/2)
+    odd = dof % 2 == 1
+    steps = F.sequence(F.lit(0), F.greatest(F.floor(a).cast("int"), F.lit(0)))
+    start = F.when(odd, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0))
+    log_gamma = F.aggregate(steps, start, lambda s, i: s + F.when(odd, F.log(i + 0.5)).when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(s: Column, n: Column) -> Column:
+        term = s["term"] * x / (a + n)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(1), terms), zero, step)["sum"]
+    below = F.exp(a * F.log(x) - x - log_gamma) * series
+    return F.when(dof <= 0, None).when(chi2 <= 0, 1.0).when(far, 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - below))
+
+
 def cramers_v(chi2: Column, n: Column, r: Column, c: Column) -> list[Column]:
     phi2 = chi2 / n
     fixed = F.greatest(F.lit(0.0), phi2 - (c - 1) * (r - 1) / (n - 1))
@@ -89,6 +117,37 @@ def recommendation(ari: Column, ari_nonnoise: Column, noise: Column, n_unstable:
     return F.when(good, "maintain_current_hdbscan_and_proceed_to_stability_reporting").when(fair, "keep_current_hdbscan_for_now_but_report_noise_and_small_cluster_sensitivity").otherwise("consider_parameter_retuning_before_final_role_claims")
 
 
+def rank_k_by_quality(metrics: DataFrame) -> DataFrame:
+    """Competition ranks of the three quality measures alone over k, their sum, and the best k: least sum, then greatest silhouette, then least k."""
+    every = lambda o: F.rank().over(Window.orderBy(o))
+    total = every(F.desc("silhouette")) + every(F.asc("davies_bouldin")) + every(F.desc("calinski_harabasz"))
+    best = Window.orderBy("rank_sum", F.desc("silhouette"), "k")
+    return metrics.withColumn("rank_sum", total).withColumn("selected", F.row_number().over(best) == 1)
+
+
+def agreement_by(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """(group, n, ari, nmi, v_measure) of two labelings within each group, from contingency counts."""
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    logs = lambda c: F.sum(F.col(c) * F.log(F.col(c).cast("double")))
+    cells = df.groupBy(group, a, b).agg(F.count("*").alias("o"))
+    side = lambda c, x: cells.groupBy(group, c).agg(F.sum("o").alias("m")).groupBy(group).agg(pairs("m").alias(f"p{x}"), logs("m").alias(f"e{x}"))
+    one = cells.groupBy(group).agg(F.sum("o").alias("n"), pairs("o").alias("p"), logs("o").alias("e")).join(side(a, "a"), group).join(side(b, "b"), group)
+    n = F.col("n")
+    chance = F.col("pa") * F.col("pb") / (n * (n - 1) / 2)
+    room = (F.col("pa") + F.col("pb")) / 2 - chance
+    ha, hb = F.log(n) - F.col("ea") / n, F.log(n) - F.col("eb") / n
+    shared = F.log(n) + (F.col("e") - F.col("ea") - F.col("eb")) / n
+    nmi = F.when(ha + hb > 1e-12, 2 * shared / (ha + hb)).otherwise(1.0)
+    return one.select(group, "n", F.when(room.isNull() | (F.abs(room) < 1e-12), 1.0).otherwise((F.col("p") - chance) / room).alias("ari"), nmi.alias("nmi"), nmi.alias("v_measure"))
+
+
+def summary(runs: DataFrame, columns: list[str]) -> DataFrame:
+    """(metric, runs, mean, median, std, min, max) of each column over repeated runs; std is the sample deviation."""
+    long = runs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    named = {"mean": F.avg("v"), "median": F.median("v"), "std": F.stddev_samp("v"), "min": F.min("v"), "max": F.max("v")}
+    return long.groupBy("metric").agg(F.count("v").alias("runs"), *[c.alias(n) for n, c in named.items()])
+
+
 def rank_k(metrics: DataFrame) -> DataFrame:
     """Competition ranks of five quality columns over k, and their sum. One row per k."""
     every = lambda o: F.rank().over(Window.orderBy(o))
@@ -115,7 +174,9 @@ def subsample(df: DataFrame, key: str, share: float, repeats: int, seed: int = 4
 
 def permutation_p(df: DataFrame, a: str, b: str, repeats: int = 1000, seed: int = 42) -> DataFrame:
     """chi2 and the share of label permutations whose statistic is as large: the counts of a fixed-margin table are drawn, not the rows."""
-    cells = contingency(df, a, b).toPandas()
+    cells = contingency(df, a, b).limit(MAX_CELLS + 1).toPandas()
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"over {MAX_CELLS} cells; a permutation test needs a small table")
     table = cells.pivot_table(index=a, columns=b, values="observed", fill_value=0, aggfunc="sum").to_numpy().astype(np.int64)
     rows, cols, n = table.sum(axis=1), table.sum(axis=0), table.sum()
     expected = np.outer(rows, cols) / n

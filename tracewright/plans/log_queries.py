@@ -8,9 +8,9 @@ from tracewright.operators import actors, features, issues, quality
 from tracewright.operators.features import ORDER
 from tracewright.plans.sql import AF, ISSUES, ROLE, over
 from tracewright.schemas import BOT_RULES, ROLE_COLUMNS
-from tracewright.sources.tables import lifecycle_events, role_dimension, table
+from tracewright.sources.tables import event_log, lifecycle_events, role_dimension, table
 
-le = lifecycle_events
+le = event_log
 RATIOS = [c for c in ORDER if c.endswith("_ratio")]
 CHURN = ["n_bugfix_commits_authored", "n_commits_linked_to_bug", "n_files_changed", "n_lines_added", "n_lines_deleted", "n_lines_added_deleted_log"]
 COUNTS = [c for c in ORDER if c.startswith("n_") and c not in ("n_projects", "n_unique_issues", "n_issue_linked_events", "n_project_level_events", *CHURN)]
@@ -101,7 +101,7 @@ def _stats(c, source):
 
 
 QUERIES: dict = {
-    "lifecycle_events": (le, over(select="SELECT * FROM le")),
+    "lifecycle_events": (lifecycle_events, over(select="SELECT * FROM le")),
     "actor_features": (lambda s, d: _flat(_features(s, d)), over(AF, select=f"SELECT {_sel(ORDER)} FROM af")),
     "actor_totals": _slice(["total_events", "n_projects", "n_unique_issues", "is_bot", "is_low_activity"]),
     "actor_scope": _slice(["n_issue_linked_events", "n_project_level_events", "issue_linked_ratio", "project_level_ratio"]),

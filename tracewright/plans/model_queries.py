@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators import actors, cluster, extract, features, issues, prep, profiles, selection, stats
+from tracewright.functions import report
+from tracewright.operators import actors, cluster, extract, features, issues, prep, profiles, review, selection, stats
 from tracewright.operators.features import ORDER
 from tracewright.plans.log_queries import _features, _flat, _roles
 from tracewright.plans.sql import AF, ROLE, over
 from tracewright.schemas import ROLE_SIGNALS, SCORE_WEIGHTS
-from tracewright.sources.tables import lifecycle_events, region_of_customer, table
+from tracewright.sources.tables import event_log, region_of_customer, table
 
-le = lifecycle_events
+le = event_log
 
 # ------------------------------------------------------------------------------------------ relations
 
@@ -107,10 +111,11 @@ SIGNALS = sorted({x for v in ROLE_SIGNALS.values() for x in v})
 
 def _labelled(s, d):
     events, roles = _roles(s, d)
-    return features.actor_features(events).join(roles.select("actor_id", "cluster_label"), "actor_id"), events
+    sure = (F.regexp_extract("actor_id", r"(\d+)", 1).cast("long") % 10 / 10).alias("cluster_probability")
+    return features.actor_features(events).join(roles.select("actor_id", "cluster_label", sure), "actor_id"), events
 
 
-_LBL = "lf AS (SELECT af.*, cluster_label FROM af JOIN role USING (actor_id))"
+_LBL = "lf AS (SELECT af.*, cluster_label, CAST(substr(actor_id, 2) AS BIGINT) % 10 / 10 AS cluster_probability FROM af JOIN role USING (actor_id))"
 _COHORT = "co AS (SELECT actor_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in SHOWN) + ", CAST(median_comment_length IS NULL AS INT) AS median_comment_length_missing FROM af WHERE NOT is_bot AND NOT is_low_activity)"
 _MODELLED = [*SHOWN, prep.FLAG]
 _LOGGED = "lg AS (SELECT actor_id, " + ", ".join((f"ln(1 + greatest({c}, 0))" if prep.feature_kind(c) == "count" else f"CAST({c} AS DOUBLE)") + f" AS {c}" for c in _MODELLED) + " FROM co)"
@@ -118,7 +123,7 @@ _CAPPED = "cp AS (SELECT actor_id, " + ", ".join(f"least({c}, (SELECT quantile_c
 _round = lambda cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)
 _Z = "zz AS (SELECT cluster_label, " + ", ".join(f"round(avg(coalesce((CAST({c} AS DOUBLE) - (SELECT avg({c}) FROM lf)) / nullif((SELECT stddev_samp({c}) FROM lf), 0), 0)), 9) AS {c}" for c in SIGNALS) + " FROM lf GROUP BY 1), zl AS (UNPIVOT zz ON " + ", ".join(SIGNALS) + " INTO NAME feature VALUE standardized_mean)"
 _NAMES = "nm AS (SELECT cluster_label, " + ", ".join("(" + " + ".join(f"avg({x})" for x in v) + f") / {len(v)} AS s{i}" for i, v in enumerate(ROLE_SIGNALS.values())) + " FROM lf GROUP BY 1), nl AS (" + " UNION ALL ".join(f"SELECT cluster_label, {i} AS i, '{r}' AS r, s{i} AS s FROM nm" for i, r in enumerate(ROLE_SIGNALS)) + "), nr AS (SELECT *, row_number() OVER (PARTITION BY cluster_label ORDER BY s DESC, i) AS k FROM nl)"
-_REPR = "rp AS (SELECT cluster_label, row_number() OVER (PARTITION BY cluster_label ORDER BY score, total_events DESC, actor_id) AS rank, actor_id, total_events FROM (SELECT *, CASE WHEN cluster_label = -1 THEN round(abs(row_number() OVER (PARTITION BY cluster_label ORDER BY total_events, actor_id) / count(*) OVER (PARTITION BY cluster_label) - 0.5), 9) ELSE 0 END AS score FROM lf))"
+_REPR = "rp AS (SELECT cluster_label, row_number() OVER (PARTITION BY cluster_label ORDER BY score, total_events DESC, actor_id) AS rank, actor_id, total_events FROM (SELECT *, CASE WHEN cluster_label = -1 THEN round(abs(row_number() OVER (PARTITION BY cluster_label ORDER BY total_events, actor_id) / count(*) OVER (PARTITION BY cluster_label) - 0.5), 9) ELSE -cluster_probability END AS score FROM lf))"
 _TIME = "SELECT actor_id, rank, project_name, ts, source, event_type, lifecycle_stage, event_scope FROM (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY ts NULLS LAST, source, event_type, event_id, issue_id NULLS FIRST, text_length, lines_added, lines_deleted, commit_id NULLS FIRST) AS rank FROM le WHERE actor_id IN (SELECT actor_id FROM rp WHERE rank <= {n})) WHERE rank <= {m}"
 
 
@@ -173,24 +178,27 @@ K_SWEEP = [
 ]
 SWEEP_COLUMNS = "k int, silhouette double, calinski_harabasz double, davies_bouldin double, smallest_cluster_size int, largest_cluster_ratio double"
 _SWEEP = "sw AS (SELECT * FROM (VALUES " + ", ".join(map(str, K_SWEEP)) + ") AS t(k, silhouette, calinski_harabasz, davies_bouldin, smallest_cluster_size, largest_cluster_ratio))"
-GRID = [(p, m, s) for p in (5, 10) for m in (10, 20) for s in (3, 5)]
+# The published parameter grid.
+GRID = [(p, m, s) for p in (10, 12, 15, 20) for m in (20, 50, 100) for s in (5, 10, 20)]
 
 
 def _small_vec(s, d):
-    return cluster.as_array(cluster.project(cluster.vectors(table(s, d, "embeddings"), "vec_id", "embedding"), 10))
+    return cluster.as_array(cluster.project(cluster.vectors(table(s, d, "embeddings"), "vec_id", "embedding"), 20))
 
 
 def _k_sweep(s, d):
-    vec = cluster.vectors(table(s, d, "embeddings"), "vec_id", "embedding")
+    vec = _emb(s, d).select("vec_id", "features")
+    ks = list(range(2, 13))
+    found = cluster.lloyd_grid(vec, "vec_id", ks).persist()
     rows = []
-    for k in range(2, 6):
-        lab, inertia = cluster.kmeans(vec, k)
-        arr = cluster.as_array(lab)
-        rows.append(cluster.scores(arr).crossJoin(cluster.silhouette(arr.select("label", "features"))).crossJoin(arr.groupBy("label").count().agg(F.min("count").alias("smallest_cluster_size"), (F.max("count") / F.sum("count")).alias("largest_cluster_ratio"))).select(F.lit(k).alias("k"), F.lit(inertia).alias("inertia"), "silhouette", "calinski_harabasz", "davies_bouldin", "smallest_cluster_size", "largest_cluster_ratio"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return stats.recommend_k(stats.rank_k(out), least=20)
+    for k in ks:
+        arr = vec.join(found.where(F.col("k") == k), "vec_id")
+        sizes = arr.groupBy("label").agg(F.count("*").alias("n"), F.first("inertia").alias("inertia"))
+        size = sizes.agg(F.max("inertia").alias("inertia"), F.min("n").alias("smallest_cluster_size"), (F.max("n") / F.sum("n")).alias("largest_cluster_ratio"))
+        # one row each
+        one = cluster.scores(arr.select("label", "features")).crossJoin(cluster.silhouette(arr.select("label", "features"))).crossJoin(size)
+        rows.append(one.select(F.lit(k).alias("k"), "inertia", "silhouette", "calinski_harabasz", "davies_bouldin", "smallest_cluster_size", "largest_cluster_ratio"))
+    return stats.recommend_k(stats.rank_k(reduce(DataFrame.unionByName, rows)), least=20)
 
 
 def _methods(s, d):
@@ -198,11 +206,26 @@ def _methods(s, d):
     return cluster.compare_methods(vec, {"hdbscan": cluster.one_task(vec, "vec_id", lambda x: cluster.hdbscan(x, 20, 5)[0]), "kmeans": cluster.kmeans(cluster.vectors(vec, "vec_id", "features"), 6)[0].select("vec_id", "label"), "ward": cluster.one_task(vec, "vec_id", lambda x: cluster.ward(x, 6))}, "vec_id")
 
 
-def _stability(s, d, method, repeats=5):
-    vec = _small_vec(s, d)
+def _again(s, d, method, repeats=30):
+    """(vec_id, rep, label, original): labels of each subsample beside those of all rows."""
+    vec = _small_vec(s, d).persist()
     whole = cluster.one_task(vec, "vec_id", method).withColumnRenamed("label", "original")
-    again = cluster.resampled_labels(stats.subsample(vec, "vec_id", 0.8, repeats), "vec_id", method).join(whole, "vec_id")
-    return stats.dominant_fraction(again.withColumn("pair", F.col("original") * 1000 + F.col("rep")), "pair", "label").select(F.expr("cast(floor(pair / 1000) as int)").alias("original_cluster_label"), "dominant_fraction").groupBy("original_cluster_label").agg(F.avg("dominant_fraction").alias("mean_dominant_fraction"), F.min("dominant_fraction").alias("min_dominant_fraction"), F.count("*").alias("runs"))
+    return cluster.resampled_labels(stats.subsample(vec, "vec_id", 0.8, repeats), "vec_id", method).join(whole, "vec_id")
+
+
+def _agreements(s, d, method):
+    return stats.summary(stats.agreement_by(_again(s, d, method), "rep", "original", "label"), ["ari", "nmi", "v_measure"])
+
+
+def _by_label(s, d, method):
+    """Per original label over the runs: the share that its most frequent new label has."""
+    again = _again(s, d, method).withColumn("pair", F.struct("original", "rep"))
+    per = stats.dominant_fraction(again, "pair", "label").select(F.col("pair.original").alias("original_cluster_label"), "dominant_fraction")
+    f = F.col("dominant_fraction")
+    return per.groupBy("original_cluster_label").agg(F.count("*").alias("runs"), F.avg(f).alias("mean_dominant_fraction"), F.median(f).alias("median_dominant_fraction"), F.min(f).alias("min_dominant_fraction"), F.max(f).alias("max_dominant_fraction"))
+
+
+_DENSE, _KMEANS = (lambda x: cluster.hdbscan(x, 20, 5)[0]), (lambda x: cluster.standard_lloyd(x, 6))
 
 
 def _identity(s, d):
@@ -226,7 +249,7 @@ QUERIES: dict = {
     "bridge_id_variant": (lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("pr_id"), F.col("o_custkey").alias("issue_id")).distinct().groupBy("pr_id").agg(F.count("*").alias("n_issues")), "SELECT l_partkey AS pr_id, count(DISTINCT o_custkey) AS n_issues FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "multi_key_or_join": (_multi_key, "SELECT DISTINCT l_orderkey AS id, 'supplier' AS target FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0 UNION ALL SELECT DISTINCT l_orderkey, 'part' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45"),
     "project_level_topn_anti": (_topn, over(select="SELECT pr_id, project_name, o_orderdate FROM (SELECT o_orderkey AS pr_id, project_name, o_orderdate, row_number() OVER (PARTITION BY project_name ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS r FROM orders JOIN place ON o_custkey = c_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) WHERE r <= 20")),
-    "semi_join_selected": (lambda s, d: table(s, d, "orders").join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
+    "semi_join_selected": (lambda s, d: extract.of_selected(table(s, d, "orders"), "o_custkey", table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), "c_custkey").select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
     "two_hop_counts": (_two_hop, over(select="SELECT project_name, count(*) AS n_issues, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_closed, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS n_closed_bug, count(DISTINCT o_custkey) AS n_reporters FROM orders JOIN place ON o_custkey = c_custkey GROUP BY 1")),
     "review_counts_by_issue": (lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("issue_id")).agg(F.count("*").alias("n_reviews")), "SELECT o_custkey AS issue_id, count(*) AS n_reviews FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "actor_union_distinct": (_actor_union, "SELECT r_name, count(DISTINCT actor) AS n_actors_estimated FROM (SELECT c_nationkey AS k, c_custkey % 700 AS actor FROM customer UNION ALL SELECT s_nationkey, s_suppkey % 700 FROM supplier) JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
@@ -235,18 +258,18 @@ QUERIES: dict = {
     "selection_reason": (lambda s, d: selection.selection_reason(_projects(s, d)).select("project_name", "selection_reason"), over(_PROJECTS, select="SELECT project_name, 'Pilot target: strong bug-fixing lifecycle coverage with ' || n_closed_bug_issues || ' closed bug issues, ' || n_issue_comments || ' issue comments, ' || n_issue_events || ' issue events, ' || n_linked_commits || ' linked commits, ' || n_pull_requests || ' pull requests, ' || n_reviews || ' reviews, and ' || n_actors_estimated || ' observed actors.' AS selection_reason FROM prj")),
     "preflight_linkage": (lambda s, d: _preflight(s, d).groupBy("project_name").agg(F.count("*").alias("n_issues"), *[F.count_if(F.col(f"n_{k}") > 0).alias(f"with_{k}") for k in _KINDS]), over(_PRE, select="SELECT project_name, count(*) AS n_issues, " + ", ".join(f"count(*) FILTER (WHERE n_{k} > 0) AS with_{k}" for k in _KINDS) + " FROM pre GROUP BY 1")),
     "preflight_sample": (lambda s, d: extract.sample_issues(_preflight(s, d), "project_name"), over(_PRE, select=f"SELECT * FROM (SELECT *, {_SCORE} AS linkage_score, row_number() OVER (PARTITION BY project_name ORDER BY {_SCORE} DESC, created_at DESC NULLS LAST, issue_id DESC) AS sample_rank FROM pre) WHERE sample_rank <= 5")),
-    "metadata_union": (lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ";").alias("roles")), "SELECT conv_id, string_agg(role, ';' ORDER BY role) AS roles FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY 1"),
+    "metadata_union": (lambda s, d: actors.value_union(table(s, d, "conversations"), "conv_id", "role", "roles"), "SELECT conv_id, string_agg(role, ';' ORDER BY role) AS roles FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY 1"),
     "identity_catalog": (lambda s, d: _identity(s, d).groupBy(F.substring("actor_raw", 1, 1).alias("kind")).agg(F.count("*").alias("n_values"), F.count_distinct("actor_raw").alias("n_actors")), f"WITH {_IDENT} SELECT substr(actor_raw, 1, 1) AS kind, count(*) AS n_values, count(DISTINCT actor_raw) AS n_actors FROM md GROUP BY 1"),
     "actor_metadata": (lambda s, d: _identity(s, d).groupBy("actor_raw").agg(F.array_join(F.array_sort(F.collect_set("value")), ";").alias("identity_values")), f"WITH {_IDENT} SELECT actor_raw, string_agg(value, ';' ORDER BY value) AS identity_values FROM (SELECT DISTINCT * FROM md) GROUP BY 1"),
     "actor_reference_counts": (lambda s, d: actors.reference_counts(table(s, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("refs")), "refs", s.createDataFrame([("F",), ("P",)], "actor_raw string"), True), "SELECT count(DISTINCT o_custkey) AS n_documents FROM orders WHERE o_orderstatus IN ('F', 'P')"),
     "enriched_bot_flags": (lambda s, d: actors.enrich_bots(le(s, d).withColumnRenamed("actor_id", "actor_id_raw"), _identity(s, d).withColumn("value", F.when(F.col("value") == "BUILDING", "x-build-x").otherwise(F.col("value")))).groupBy("bot_reason", "is_bot").agg(F.count("*").alias("n")), over(select="SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'build' ELSE '' END AS bot_reason, coalesce(c_mktsegment = 'BUILDING', false) AS is_bot, count(*) AS n FROM le LEFT JOIN customer ON actor_id = 'c' || c_custkey GROUP BY 1, 2")),
     "metadata_coverage": (lambda s, d: _flat(actors.metadata_coverage(le(s, d).where("actor_id is not null").select(F.col("actor_id").alias("actor_raw")).distinct(), _identity(s, d).where("actor_raw like 's%'"))), over(_IDENT, select="SELECT count(*) AS actors, count(*) FILTER (WHERE a IN (SELECT actor_raw FROM md WHERE actor_raw LIKE 's%')) AS resolved, round(count(*) FILTER (WHERE a IN (SELECT actor_raw FROM md WHERE actor_raw LIKE 's%')) / count(*), 6) AS rate FROM (SELECT DISTINCT actor_id AS a FROM le WHERE actor_id IS NOT NULL)")),
-    "id_validation": (lambda s, d: table(s, d, "pages").select("page_id", F.md5("url").rlike("^[0-9a-fA-F]{24}$").alias("is_id"), F.substring(F.md5("url"), 1, 24).rlike("^[0-9a-fA-F]{24}$").alias("is_short_id")), "SELECT page_id, regexp_full_match(md5(url), '[0-9a-fA-F]{24}') AS is_id, regexp_full_match(substr(md5(url), 1, 24), '[0-9a-fA-F]{24}') AS is_short_id FROM pages"),
-    "bool_normalize": (lambda s, d: table(s, d, "orders").groupBy(F.lower(F.trim(F.expr("CASE o_orderstatus WHEN 'F' THEN 'True ' WHEN 'O' THEN '0' ELSE 'YES' END"))).isin("true", "1", "yes").alias("flag")).agg(F.count("*").alias("n")), "SELECT o_orderstatus <> 'O' AS flag, count(*) AS n FROM orders GROUP BY 1"),
-    "split_join_list": (lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.slice(F.filter(F.transform(F.split("p_name", " "), F.trim), lambda x: x != ""), 1, 2), ";").alias("first_two")), "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: trim(x) <> '')[1:2], ';') AS first_two FROM part"),
-    "id_stringify": (lambda s, d: table(s, d, "orders").groupBy(F.length(F.col("o_orderkey").cast("string")).cast("long").alias("digits")).agg(F.count("*").alias("n")), "SELECT length(CAST(o_orderkey AS VARCHAR)) AS digits, count(*) AS n FROM orders GROUP BY 1"),
+    "id_validation": (lambda s, d: table(s, d, "pages").select("page_id", review.is_id(F.md5("url")).alias("is_id"), review.is_id(F.substring(F.md5("url"), 1, 24)).alias("is_short_id")), "SELECT page_id, regexp_full_match(md5(url), '[0-9a-fA-F]{24}') AS is_id, regexp_full_match(substr(md5(url), 1, 24), '[0-9a-fA-F]{24}') AS is_short_id FROM pages"),
+    "bool_normalize": (lambda s, d: table(s, d, "orders").groupBy(review.truth(F.expr("CASE o_orderstatus WHEN 'F' THEN 'True ' WHEN 'O' THEN '0' ELSE 'YES' END")).alias("flag")).agg(F.count("*").alias("n")), "SELECT o_orderstatus <> 'O' AS flag, count(*) AS n FROM orders GROUP BY 1"),
+    "split_join_list": (lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.slice(review.split_list(F.col("p_name"), " "), 1, 2), ";").alias("first_two")), "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: trim(x) <> '')[1:2], ';') AS first_two FROM part"),
+    "id_stringify": (lambda s, d: table(s, d, "orders").select("o_orderkey", review.id_text(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey"))).alias("id")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS id FROM orders"),
     "metadata_json": (lambda s, d: table(s, d, "orders").select("o_orderkey", extract._json("o_orderstatus", "o_orderpriority").alias("metadata_json")), "SELECT o_orderkey, '{\"o_orderpriority\":\"' || o_orderpriority || '\",\"o_orderstatus\":\"' || o_orderstatus || '\"}' AS metadata_json FROM orders"),
-    "file_sha256_manifest": (lambda s, d: table(s, d, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("bytes")), "SELECT page_id, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages"),
+    "file_sha256_manifest": (lambda s, d: report.manifest_of(table(s, d, "pages"), "page_id", F.col("html")), "SELECT page_id, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages"),
     "cohort_filter": (lambda s, d: prep.cohort(_features(s, d)).select("actor_id", "total_events", "n_unique_issues"), over(AF, select="SELECT actor_id, total_events, n_unique_issues FROM af WHERE NOT is_bot AND NOT is_low_activity")),
     "imputed_features": (lambda s, d: _flat(prep.impute(prep.cohort(_features(s, d))).select("actor_id", *_MODELLED)), over(AF, _COHORT, select=f"SELECT actor_id, {_round(SHOWN)}, {prep.FLAG} FROM co")),
     "winsorized_log_features": (lambda s, d: _flat(prep.transformed(prep.impute(prep.cohort(_features(s, d)))).select("actor_id", *_MODELLED)), over(AF, _COHORT, _LOGGED, _CAPPED, select=f"SELECT actor_id, {_round(_MODELLED)} FROM cp")),
@@ -288,7 +311,9 @@ QUERIES: dict = {
     "hdbscan_grid": (lambda s, d: cluster.parameter_grid(_small_vec(s, d), "vec_id", GRID), None),
     "ward_clusters": (lambda s, d: cluster.one_task(_small_vec(s, d), "vec_id", lambda x: cluster.ward(x, 6)), None),
     "method_comparison": (_methods, None),
-    "subsample_stability": (lambda s, d: _stability(s, d, lambda x: cluster.hdbscan(x, 20, 5)[0]), None),
-    "pattern_stability": (lambda s, d: _stability(s, d, lambda x: cluster.ward((x - x.mean(axis=0)) / x.std(axis=0), 6)), None),
+    "subsample_stability": (lambda s, d: _by_label(s, d, _DENSE), None),
+    "subsample_agreement": (lambda s, d: _agreements(s, d, _DENSE), None),
+    "pattern_stability": (lambda s, d: _agreements(s, d, _KMEANS), None),
+    "pattern_stability_by_label": (lambda s, d: _by_label(s, d, _KMEANS), None),
     "monte_carlo_chi2": (lambda s, d: stats.permutation_p(table(s, d, "documents"), "lang", "source", 10_000), None),
 }

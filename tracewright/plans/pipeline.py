@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.report import write_table
-from tracewright.operators import actors, cluster, extract, features, issues, prep, quality, stats
-from tracewright.schemas import CLUSTER_ROLES
+from tracewright.operators import actors, cluster, extract, features, issues, prep, profiles, quality, review, stats
+from tracewright.schemas import ROLE_SIGNALS
 
 
 def _stage(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -26,17 +26,30 @@ def build_log(spark: SparkSession, collections: dict[str, DataFrame], projects:
     return normalized
 
 
-def build_roles(spark: SparkSession, events: DataFrame, folder: str, pca: int = 12, min_cluster_size: int = 20, min_samples: int = 10) -> DataFrame:
-    """(actor_id, cluster_label, candidate_role_label) of the cohort, by density clusters of the model matrix."""
+def build_roles(spark: SparkSession, events: DataFrame, folder: str, pca: int = 12, min_cluster_size: int = 20, min_samples: int = 10, labels: dict[int, str] | None = None) -> DataFrame:
+    """(actor_id, cluster_label, cluster_probability, viz_x, viz_y, candidate_role_label) of the cohort, by density clusters of the model matrix.
+
+    labels: names that a review of the profiles has given this run's clusters. Without them, each cluster gets the draft
+    name of its own signals, as cluster numbers of another run mean nothing here. viz_x and viz_y are the first two
+    principal components.
+    """
     f = _stage(spark, features.actor_features(events), folder, "actor_features")
     matrix = _stage(spark, prep.standardized(prep.transformed(prep.impute(prep.cohort(f)))), folder, "model_input")
     columns = [c for c in matrix.columns if c != "actor_id"]
     quality.require_complete(matrix, columns)
     vec = cluster.as_array(cluster.project(cluster.vectors(matrix, "actor_id", columns), min(pca, len(columns))))
-    labels = cluster.grid_labels(vec, "actor_id", [(pca, min_cluster_size, min_samples)])
-    names = F.create_map(*[F.lit(x) for kv in CLUSTER_ROLES.items() for x in kv])
-    named = labels.select("actor_id", F.col("label").alias("cluster_label"), F.coalesce(names[F.col("label")], F.concat(F.lit("Role "), F.col("label"))).alias("candidate_role_label"))
-    return _stage(spark, named, folder, "actor_roles")
+    found = _stage(spark, cluster.grid_labels(vec, "actor_id", [(pca, min_cluster_size, min_samples)]), folder, "labels")
+    prep.require_model_input(matrix, found, f)
+    plane = vec.select("actor_id", F.get("features", F.lit(0)).alias("viz_x"), F.get("features", F.lit(1)).alias("viz_y"))
+    placed = found.select("actor_id", F.col("label").alias("cluster_label"), F.col("strength").alias("cluster_probability")).join(plane, "actor_id")
+    if labels is None:
+        signals = sorted({x for v in ROLE_SIGNALS.values() for x in v})
+        names = profiles.role_name(profiles.cluster_means(f.join(placed, "actor_id"), signals)).withColumnRenamed("candidate_role_name", "candidate_role_label")
+    else:
+        names = spark.createDataFrame(list(labels.items()), "cluster_label int, candidate_role_label string")
+    roles = _stage(spark, placed.join(F.broadcast(names), "cluster_label", "left"), folder, "actor_roles")  # a row a cluster
+    review.require_allowed(roles, "candidate_role_label")
+    return roles
 
 
 def build_patterns(spark: SparkSession, events: DataFrame, roles: DataFrame, folder: str, ks: range = range(2, 7)) -> DataFrame:

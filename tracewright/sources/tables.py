@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,14 +89,40 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = table(spark, sf_dir, "events").join(place, F.col("user_id") == F.col("custkey"))
     s = lambda c: F.col(c).cast("string")
     created = _emit(orders, event_id=F.concat(F.lit("issue:issue_created:"), s("o_orderkey")), project_name=F.col("project_name"), issue_id=s("o_orderkey"), actor_id=F.concat(F.lit("c"), s("o_custkey")), ts=F.col("o_orderdate"), source=F.lit("issue"), event_type=F.lit("issue_created"), text_length=F.length("o_orderpriority").cast("long"))
-    commit = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    commits = _emit(lines, event_id=F.concat(F.lit("commit:commit_authored:issue:"), s("l_orderkey"), F.lit(":commit:"), commit), project_name=F.col("project_name"), issue_id=s("l_orderkey"), actor_id=F.concat(F.lit("s"), s("l_suppkey")), ts=F.col("l_shipdate"), source=F.lit("commit"), event_type=F.lit("commit_authored"), files_changed=F.col("l_linenumber").cast("long"), lines_added=F.col("l_quantity").cast("long"), lines_deleted=F.round(F.col("l_discount") * 100).cast("long"), commit_id=commit)
+    # a line is a commit, and a returned one a resolution too: one pass over the lines
+    line = lines.withColumn("kind", F.explode(F.filter(F.array(F.lit("commit"), F.when(F.col("l_returnflag") == "R", "resolved")), lambda x: x.isNotNull())))
+    is_commit = F.col("kind") == "commit"
+    either = lambda a, b: F.when(is_commit, a).otherwise(b)
+    commit, resolved = F.concat_ws("-", "l_orderkey", "l_linenumber"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    zero = F.lit(0).cast("long")
+    of_lines = _emit(
+        line,
+        event_id=either(F.concat(F.lit("commit:commit_authored:issue:"), s("l_orderkey"), F.lit(":commit:"), commit), F.concat(F.lit("event:issue_resolved:"), resolved)),
+        project_name=F.col("project_name"),
+        issue_id=s("l_orderkey"),
+        actor_id=F.concat(F.lit("s"), s("l_suppkey")),
+        ts=F.col("l_shipdate"),
+        source=either(F.lit("commit"), F.lit("event")),
+        event_type=either(F.lit("commit_authored"), F.lit("issue_resolved")),
+        files_changed=either(F.col("l_linenumber").cast("long"), zero),
+        lines_added=either(F.col("l_quantity").cast("long"), zero),
+        lines_deleted=either(F.round(F.col("l_discount") * 100).cast("long"), zero),
+        commit_id=F.when(is_commit, commit),
+    )
     kinds = {"view": ("issue_comment", "issue_comment_added"), "click": ("event", "status_changed"), "purchase": ("pull_request", "pr_opened"), "error": ("pull_request_review", "review_submitted"), "signup": ("event", "issue_closed")}
     pick = lambda i: F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v[i])])[F.col("event_type")]
     loose = F.col("value") > 100
     activity = _emit(acts, event_id=F.concat_ws(":", F.lit("activity"), "event_type", "event_id"), project_name=F.col("project_name"), issue_id=F.when(~loose, F.get_json_object("props", "$.k")), actor_id=F.when(F.col("user_id") % 50 != 0, F.concat(F.lit("c"), s("user_id"))), ts=F.when(F.col("event_id") % 97 != 0, F.col("ts")), source=pick(0), event_type=pick(1), event_scope=F.when(loose, "project_level").otherwise("issue_linked"), text_length=F.floor("value").cast("long"))
-    resolved = _emit(lines.where("l_returnflag = 'R'"), event_id=F.concat(F.lit("event:issue_resolved:"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), project_name=F.col("project_name"), issue_id=s("l_orderkey"), actor_id=F.concat(F.lit("s"), s("l_suppkey")), ts=F.col("l_shipdate"), source=F.lit("event"), event_type=F.lit("issue_resolved"))
-    return reduce(DataFrame.unionByName, [created, commits, activity, resolved])
+    return reduce(DataFrame.unionByName, [created, of_lines, activity])
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lifecycle log as a kept stage: evaluated once a session and folder, on memory and disk, and read by every query."""
+    logs = spark.__dict__.setdefault("_tracewright_logs", {})
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in logs:
+        logs[key] = lifecycle_events(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return logs[key]
 
 
 def role_dimension(actors: DataFrame) -> DataFrame:
