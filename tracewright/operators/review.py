@@ -73,7 +73,7 @@ def non_empty(array: Column) -> Column:
 
 def split_list(text: Column, separator: str = ";") -> Column:
     """Trimmed parts of a text that aren't empty; null gives none."""
-    return F.coalesce(F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def truth(text: Column) -> Column:
