@@ -38,8 +38,6 @@ from tracewright.llm.components import connected_components
 SAMPLES = 12
 #: Members that one task compares with a group's first text, and keys that are broadcast (some 40 bytes each).
 MEMBERS, BROADCAST_KEYS = 2048, 200_000
-#: Rounds in which a node apart meets one node of the largest group under each of its shingles.
-STARS = 2
 #: Of one in so many rows, the shingles that occur this often, and at most so many of them, are last in the prefix order.
 SAMPLE_ROWS, COMMON_COUNT, COMMON_MOST = 16, 3, 200_000
 _PICKS = 3
@@ -203,10 +201,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     tree = lambda roots: roots.where("n <> root").select(F.col("n").alias("a"), F.col("root").alias("b"))
     roots = grouped(edges(pairs, "dup-early"), "dup-roots")
     tokens = _shared_tokens(nodes.join(roots, "n"))
-    # under each shingle first with some texts of its largest group, which leaves few groups apart, then with all the others
-    for number in range(STARS):
-        roots = grouped(tree(roots).unionByName(edges(_stars(tokens, number), "dup-stars")), "dup-roots")
-        tokens = _shared_rows(tokens.drop("root").join(roots, "n"))
     rest = edges(_apart(tokens, similarity), "dup-rest")
     roots = connected_components(tree(roots).unionByName(rest))
     placed = nodes.select("n", "row", "copies").join(roots.withColumnRenamed("node", "n"), "n", "left")
@@ -258,33 +252,22 @@ def _compared(pairs: DataFrame, data: DataFrame, test: Callable, similarity: flo
 
 def _shared_tokens(nodes: DataFrame) -> DataFrame:
     """(token, n, root, size, place) of the prefix shingles that nodes of different roots have. Most shingles have one root and end in a narrow aggregate."""
-    return _shared_rows(nodes.select("n", "root", "size", F.posexplode("prefix").alias("place", "token")))
-
-
-def _shared_rows(tokens: DataFrame) -> DataFrame:
+    tokens = nodes.select("n", "root", "size", F.posexplode("prefix").alias("place", "token"))
     split = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     # one plan at every size: which shingles are shared grows with the input
     return materialize(tokens.join(split.hint("merge"), "token"), "dup-tokens")
 
 
-def _with_largest(tokens: DataFrame, number: int = 0) -> DataFrame:
-    """tokens with the root that most of a shingle's nodes have, and one node of it, another for each shingle and number."""
-    any_node = F.min(F.struct(F.xxhash64("n", "token", F.lit(number)), "n"))["n"].alias("first")
-    sizes = tokens.groupBy("token", "root").agg(F.count("*").alias("c"), any_node)
-    largest = F.max_by(F.struct("root", "first"), F.struct("c", "root")).alias("m")
-    groups = sizes.groupBy("token").agg(largest, F.sum("c").alias("c")).select("token", F.col("m.root").alias("largest"), F.col("m.first").alias("first"), "c")
+def _with_largest(tokens: DataFrame) -> DataFrame:
+    """tokens with the root that most of a shingle's nodes have."""
+    sizes = tokens.groupBy("token", "root").agg(F.count("*").alias("c"))
+    groups = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("c").alias("c"))
     return join_hot(tokens, groups, ["token"], "c", tokens.count())
 
 
-def _stars(tokens: DataFrame, number: int) -> DataFrame:
-    """(a, b): each node outside a shingle's largest root with one node of that root."""
-    met = _with_largest(tokens, number).where("root <> largest")
-    return met.select(F.greatest("n", "first").alias("a"), F.least("n", "first").alias("b")).distinct()
-
-
 def _apart(tokens: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of nodes of different roots that can reach the similarity by their shared prefix shingles and sizes."""
-    members = materialize(_with_largest(tokens).drop("first"), "dup-members")
+    members = materialize(_with_largest(tokens), "dup-members")
     side = lambda x: members.select("token", F.col("n").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "place", "largest")])
     met = side("a").where("root_a <> largest_a").join(side("b"), "token").where("root_a <> root_b and (root_b = largest_b or a < b)")
     # no shingle before the first common one is shared, which bounds what the sets can share
