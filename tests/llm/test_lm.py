@@ -163,6 +163,21 @@ def test_scores_are_those_of_the_whole_tree_wherever_trunk_and_branches_part(spa
             assert d == e and abs(x - y) < 0.02, (state_share, word_share, d, x, y)
 
 
+def test_scores_do_not_depend_on_where_trunk_and_branches_part(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET", 700)
+    monkeypatch.setattr(lm, "BUFFER", 300)
+    rows = [x for x in corpus() if x[0] != 503]
+    rows += [(800 + i, f"of the day of once{i} in a twice{i // 2} of the pair{i // 3} of the day") for i in range(90)]
+    want, _ = brute_tree(rows, 4, 2.0, 0.0)
+    for state_share, word_share, entry_share in ((None, 1e-6, 2e-6), (0.02, 1e-6, 1e-3), (0.005, 4e-4, 3e-3), (0.01, 5e-3, 0.02), (0.02, 1e-6, 1.0)):
+        monkeypatch.setattr(lm, "ENTRY_SHARE", entry_share, raising=False)
+        model, got = run(spark, rows, state_share=state_share, word_share=word_share)
+        assert bool(model.levels) == (state_share is not None)
+        have = sorted(((r["doc_id"], r["score"]) for r in got), key=str)
+        for (d, x), (e, y) in zip(have, sorted(want, key=str), strict=True):
+            assert d == e and abs(x - y) < 0.02, (state_share, word_share, entry_share, d, x, y)
+
+
 def test_repeated_texts_score_above_their_like(spark):
     r = random.Random(5)
     words = [f"v{i}" for i in range(300)]

@@ -7,8 +7,10 @@ in total. Next symbols are discounted by a constant; the mass that this leaves g
 distribution sums to 1. A text is scored by the longest suffix state at each word.
 
 The tree is kept in two parts, and what it holds grows with the corpus. Its trunk, the contexts of GROUP occurrences or
-more, travels in a broadcast; of a trunk state's next symbols those with a joint probability of entry_share or more are
-kept. All other contexts are branches: each place in a text goes to the task of its shortest suffix that is no trunk
+more, travels in a broadcast, with those of its next symbols that have a joint probability of ENTRY_SHARE or more. Places
+where any other known word follows a trunk state first go to the task of that state and word, which counts them; how many
+such words a state has and how far they diverge is counted in tables as the trunk grows. So where trunk and branches part
+changes the plan, not the tree. All other contexts are branches: each place in a text goes to the task of its shortest suffix that is no trunk
 context. That task sees every place with this suffix, so it counts all longer contexts, tests them and scores the places,
 with one shuffle for all lengths. GROUP bounds what one suffix brings there. A trunk has at most 2**BITS contexts of each
 length, so from GROUP * 2**BITS training tokens on the bound is their 2**-BITS-th part.
@@ -21,8 +23,8 @@ off or approximated.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,10 @@ ROW_WORDS = 16_384
 LONG = 128
 #: Training places that one branch may have; places that a task buffers before it hands them on, and that a bucket has.
 GROUP, BUFFER, BUCKET = 1 << 19, 1 << 20, 1 << 19
+#: Joint probability from which a trunk state's next symbol is in the broadcast.
+ENTRY_SHARE = 2e-6
+#: Length of a branch where there is none.
+NONE = 255
 #: Mark of an end that has no number, as in a corpus of one text.
 END_MARK = -(1 << 62)
 
@@ -59,7 +65,7 @@ def tokens_of(data: bytes | None) -> list[bytes]:
 
 @dataclass
 class Level:
-    """States of one context length: sorted keys, the mass that goes to the suffix, and entry keys with their share; all trunk contexts, retained or not.
+    """States of one context length: sorted keys, the mass that goes to the suffix, and entry keys with their share; all trunk contexts, retained or not; the states' occurrences, and the mass that goes to the suffix where only entries count.
 
     A key is the word for one word, else the first word and the number of the suffix's state; an entry's is the state's
     number and the symbol.
@@ -70,11 +76,20 @@ class Level:
     entries: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     share: np.ndarray = field(default_factory=lambda: np.empty(0))
     tried: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
+    sizes: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
+    alone: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def state(self, keys: np.ndarray) -> np.ndarray:
         """Number of each key's state, or -1."""
         return _find(self.states, keys)
 
+    def apart(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Whether there is a state that doesn't have the symbol (0: one without a number) as an entry."""
+        out = state >= 0
+        at = np.flatnonzero(out)
+        out[at] = (symbol[at] == 0) | (_find(self.entries, state[at] << BITS | symbol[at]) < 0)
+        return out
+
     def step(self, state: np.ndarray, symbol: np.ndarray, below: np.ndarray) -> np.ndarray:
         """Probabilities of the symbols at the states, given those at their suffixes; symbol 0 is a word outside the tree."""
         at = np.flatnonzero(state >= 0)
@@ -96,7 +111,7 @@ def _find(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """numbers: word to number (from 1; END is one of them); base: probability per number, 1 for number 0; min_count: None for the trunk alone."""
+    """numbers: word to number (from 1; END is one of them); base: probability per number, 1 for number 0; min_count: None for the trunk alone; whole: next words outside the entries count."""
 
     tokens: int
     kinds: int
@@ -107,6 +122,7 @@ class Model:
     min_count: int | None = 2
     min_nats: float = 10.0
     discount: float = 0.75
+    whole: bool = False
 
     @property
     def total(self) -> int:
@@ -179,62 +195,65 @@ def count_words(docs: DataFrame, where: Column, text_col: str = "text") -> DataF
 
 
 def _numbered(docs: DataFrame, where: Column, text_col: str, model: Model) -> DataFrame:
-    """(ids): word numbers of whole training texts, each with its end, ROW_WORDS or more in a row (32 bits each), so that each level reads numbers, not texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.numbers, model.end))
+    """(ids, odd): word numbers of whole training texts, each with its end, ROW_WORDS or more in a row (32 bits each; -i for the i-th of the row's words that have none), so that each level reads numbers, not texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, end = shared.value
-        get = numbers.get
+        get, ending = shared.value.get, END.encode()
         for batch in batches:
-            ids, rows = [], []
-            for text in batch.column(0).to_pylist():
-                ids += [get(w, 0) for w in tokens_of(text)]
-                ids.append(end)
-                if len(ids) >= ROW_WORDS:
+            rows, odd, ids, other = [], [], [], {}
+            texts = batch.column(0).to_pylist()
+            for i, text in enumerate(texts):
+                ids += [get(w) or other.setdefault(w, -len(other) - 1) for w in [*tokens_of(text), ending]]
+                if len(ids) >= ROW_WORDS or i + 1 == len(texts):
                     rows.append(np.array(ids, dtype=np.int32).tobytes())
-                    ids = []
-            rows.append(np.array(ids, dtype=np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+                    odd.append([w.decode("utf-8", "replace") for w in other])
+                    ids, other = [], {}
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(odd, pa.list_(pa.string()))], names=["ids", "odd"])
 
-    return materialize(_texts(docs, where, text_col).mapInArrow(run, "ids binary"), "lm-numbers")
+    return materialize(_texts(docs, where, text_col).mapInArrow(run, "ids binary, odd array<string>"), "lm-numbers")
 
 
-def _count_groups(numbered: DataFrame, model: Model, wanted: np.ndarray, entry: float, longer: float | None) -> tuple[list, list]:
-    """Of the wanted contexts (sorted keys of the next level): (context number << BITS | symbol, count) of entry or more, and the same with the word before the context, of longer or more (None: none)."""
+def _count_groups(numbered: DataFrame, model: Model, wanted: np.ndarray, longer: float | None) -> DataFrame:
+    """(key, w, n), written down: of the wanted contexts (sorted keys of the next level), how often each symbol follows (context number << BITS | symbol; symbol 0 and the word w, if it has no number) and, of longer or more, each numbered word comes before (the complement of context number << BITS | word; None: none)."""
     shared = numbered.sparkSession.sparkContext.broadcast((model, wanted))
 
-    def out(keys: list[np.ndarray]) -> pa.RecordBatch:
+    def out(keys: list[np.ndarray], odd: dict[tuple[int, str], int]) -> pa.RecordBatch:
         k, n = np.unique(np.concatenate([*keys, np.empty(0, dtype=np.int64)]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "n"])
+        cols = [[*k.tolist(), *(x for x, _ in odd)], [*[""] * len(k), *(w for _, w in odd)], [*n.tolist(), *odd.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["key", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, wanted = shared.value
-        keys, held = [], 0
+        keys, odd, held = [], {}, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(0)[i].as_py(), dtype=np.int32).astype(np.int64)
-                keys.append(_pairs(ids, model, wanted, longer is not None))
+                raw, words = np.frombuffer(batch.column(0)[i].as_py(), dtype=np.int32).astype(np.int64), batch.column(1)[i].as_py()
+                keys.append(_pairs(raw, words, model, wanted, longer is not None, odd))
                 held += len(keys[-1])
-                if held > 8 * HELD:
-                    yield out(keys)
-                    keys, held = [], 0
-        yield out(keys)
-
-    counted = numbered.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    ahead, least = F.col("key") >= 0, F.lit(entry)
-    rows = counted.where(F.col("n") >= (least if longer is None else F.when(ahead, least).otherwise(F.lit(longer)))).collect()
-    return [(r["key"], r["n"]) for r in rows if r["key"] >= 0], [(~r["key"], r["n"]) for r in rows if r["key"] < 0]
-
-
-def _pairs(ids: np.ndarray, model: Model, wanted: np.ndarray, longer: bool) -> np.ndarray:
-    """context number << BITS | symbol wherever a wanted context is followed by a numbered symbol, and the complement of context number << BITS | word wherever a numbered word comes before it; ids: whole texts, joined, each with its end."""
-    if not len(ids):
-        return ids
-    first, depth = np.r_[True, ids[:-1] == model.end], len(model.levels)
+                if held > 8 * HELD or len(odd) > HELD:
+                    yield out(keys, odd)
+                    keys, odd, held = [], {}, 0
+        yield out(keys, odd)
+
+    counted = numbered.mapInArrow(run, "key long, w string, n long").groupBy("key", "w").agg(F.sum("n").alias("n"))
+    return materialize(counted if longer is None else counted.where((F.col("key") >= 0) | (F.col("n") >= F.lit(longer))), "lm-groups")
+
+
+def _pairs(raw: np.ndarray, words: list[str], model: Model, wanted: np.ndarray, longer: bool, odd: dict[tuple[int, str], int]) -> np.ndarray:
+    """context number << BITS | symbol wherever a wanted context is followed by a numbered symbol, and the complement of context number << BITS | word wherever a numbered word comes before it; other followers are counted in odd. raw: whole texts, joined, each with its end; -i for the i-th of the words."""
+    if not len(raw):
+        return raw
+    end = model.end or (-1 - words.index(END) if END in words else 0)
+    ids, first, depth = np.maximum(raw, 0), np.r_[True, raw[:-1] == end], len(model.levels)
     suffix = model.states(ids, first)[-1] if depth else None
     c = _find(wanted, _keys(_before(ids, first, depth + 1, model.end), suffix))
     at = np.flatnonzero((c >= 0) & (ids > 0))
     pairs = c[at] << BITS | ids[at]
+    if model.whole:
+        at = np.flatnonzero((c >= 0) & (raw < 0))
+        for key, i in zip((c[at] << BITS).tolist(), (-1 - raw[at]).tolist(), strict=True):
+            odd[key, words[i]] = odd.get((key, words[i]), 0) + 1
     if not longer:
         return pairs
     far = _before(ids, first, depth + 2, model.end)
@@ -242,12 +261,8 @@ def _pairs(ids: np.ndarray, model: Model, wanted: np.ndarray, longer: bool) -> n
     return np.r_[pairs, ~(c[on] << BITS | far[on])]
 
 
-def _level(model: Model, contexts: np.ndarray, sizes: np.ndarray, counted: list[tuple[int, int]], min_nats: float, discount: float) -> tuple[Level, np.ndarray]:
-    """The retained states among the contexts of one length, and each context's state number (-1: not retained)."""
-    if not counted:
-        return Level(tried=contexts), np.full(len(contexts), -1, dtype=np.int64)
-    keys, n = (np.array(x, dtype=np.int64) for x in zip(*sorted(counted), strict=True))
-    s, symbol = keys >> BITS, keys & MASK
+def _below(model: Model, contexts: np.ndarray, s: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of symbols at the suffixes of contexts s (by number) of the next level, and those suffixes' states (-1: the root)."""
     chain, state = [], contexts[s] & MASK  # the suffixes' states, longest first
     for level in reversed(model.levels):
         chain.append(state)
@@ -255,21 +270,72 @@ def _level(model: Model, contexts: np.ndarray, sizes: np.ndarray, counted: list[
     below = model.base[symbol]
     for level, state in zip(model.levels, reversed(chain), strict=True):
         below = level.step(state, symbol, below)
-    nats = np.bincount(s, n * np.log(np.maximum(n / sizes[s] / below, 1e-300)), len(contexts))
-    keep = nats >= min_nats
+    return below, chain[0] if chain else np.full(len(s), -1, dtype=np.int64)
+
+
+def _apart(counted: DataFrame, model: Model, contexts: np.ndarray, entry: float, above: DataFrame) -> DataFrame:
+    """(c, s, w, n, below), written down: the next symbols of each context that are no entries, and their probabilities at the suffix. above: (u, s, w, p), those of the level before by state."""
+    shared = counted.sparkSession.sparkContext.broadcast((model, contexts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, contexts = shared.value
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            c, s = key >> BITS, key & MASK
+            below, u = _below(model, contexts, c, s)
+            lost = model.levels[-1].apart(u, s) if model.levels else s == 0
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(u), pa.array(s), *batch.columns[1:], pa.array(below, mask=lost)], names=["c", "u", "s", "w", "n", "near"])
+
+    rare = counted.where((F.col("key") >= 0) & ((F.col("n") < F.lit(entry)) | (F.col("w") != "")))
+    rows = rare.mapInArrow(run, "c long, u long, s long, w string, n long, near double").join(above, ["u", "s", "w"], "left")
+    return materialize(rows.select("c", "s", "w", "n", F.coalesce("near", "p").alias("below")), "lm-apart")
+
+
+def _probabilities(apart: DataFrame, level: Level, number: np.ndarray, discount: float) -> DataFrame:
+    """(u, s, w, p), written down: what the level's states give the symbols that are no entries."""
+    shared = apart.sparkSession.sparkContext.broadcast((level, number))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, number = shared.value
+        for batch in batches:
+            u = number[batch.column(0).to_numpy()]
+            batch, u = batch.filter(pa.array(u >= 0)), u[u >= 0]
+            p = (batch.column(3).to_numpy() - discount) / level.sizes[u] + level.rest[u] * batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(u), batch.column(1), batch.column(2), pa.array(p)], names=["u", "s", "w", "p"])
+
+    return materialize(apart.mapInArrow(run, "u long, s long, w string, p double"), "lm-above")
+
+
+def _level(model: Model, contexts: np.ndarray, sizes: np.ndarray, counted: list[tuple[int, int]], apart: list[tuple]) -> tuple[Level, np.ndarray]:
+    """The retained states among the contexts of one length, and each context's state number (-1: not retained). apart: of each context's next symbols that are no entries, (context number, symbols, occurrences, sum of n log(n / below)); these count in a whole model only."""
+    if not counted and not apart:
+        return Level(tried=contexts), np.full(len(contexts), -1, dtype=np.int64)
+    keys, n = np.array(sorted(counted), dtype=np.int64).reshape(-1, 2).T
+    s, symbol = keys >> BITS, keys & MASK
+    below, _ = _below(model, contexts, s, symbol)
+    nats = np.bincount(s, n * np.log(np.maximum(n / sizes[s] / below, 1e-300)), len(contexts)).astype(np.float64)
+    kinds = np.bincount(s, minlength=len(contexts))
+    if apart:
+        c, more, times, gain = (np.array(x) for x in zip(*apart, strict=True))
+        nats[c] += gain - times * np.log(sizes[c])
+        kinds[c] += more
+    keep = nats >= model.min_nats
     number = np.where(keep, np.cumsum(keep) - 1, -1)
     kept = keep[s]
-    share = (n[kept] - discount) / sizes[s[kept]]
-    rest = 1 - np.bincount(number[s[kept]], share, int(keep.sum()))
-    return Level(contexts[keep], rest, number[s[kept]] << BITS | symbol[kept], share, contexts), number
+    share = (n[kept] - model.discount) / sizes[s[kept]]
+    alone = 1.0 - np.bincount(number[s[kept]], share, int(keep.sum()))
+    rest = model.discount * kinds[keep] / sizes[keep] if model.whole else alone
+    return Level(contexts[keep], rest, number[s[kept]] << BITS | symbol[kept], share, contexts, sizes[keep], alone), number
 
 
-def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: float = 1e-6, state_share: float | None = None, entry_share: float = 2e-6, min_nats: float = 10.0, discount: float = 0.75, depth: int = 4, min_count: int | None = 2) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: float = 1e-6, state_share: float | None = None, entry_share: float | None = None, min_nats: float = 10.0, discount: float = 0.75, depth: int = 4, min_count: int | None = 2) -> tuple[Model, DataFrame]:
     """The model, and the table of all words' counts and marks (token, n, id), which the join of rare words reads.
 
     state_share: the share of the training tokens that makes a context one of the trunk; None: GROUP occurrences.
+    entry_share: the joint probability below which a trunk state's next symbol is left out, as words without a number are
+    (a bounded trunk; the mass goes to its suffix); None: all next symbols count.
     Null texts count as empty. No text that meets the condition: every probability is 1 over 1. What comes to the driver
-    is bounded, however long the corpus is: 1/word_share words and 1/entry_share entries a level. Branches,
+    is bounded, however long the corpus is: 1/word_share words, 1/ENTRY_SHARE entries and 2**BITS contexts a level. Branches,
     the contexts of min_count occurrences or more that are too rare for that, are counted as texts are scored.
     """
     if min(word_share, state_share or 1.0) < 2.0**-BITS:
@@ -281,25 +347,38 @@ def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: floa
     common.sort(key=lambda x: (-x["n"], x["token"]))
     numbers = {x["token"].encode(): i + 1 for i, x in enumerate(common)}
     base = np.r_[1.0, (np.array([x["n"] for x in common]) + 1) / (tokens + kinds + 1)]
-    model = Model(tokens, kinds, numbers, base, [], depth, min_count, min_nats, discount)
+    model = Model(tokens, kinds, numbers, base, [], depth, min_count, min_nats, discount, entry_share is None)
     counts = np.r_[0, np.array([x["n"] for x in common], dtype=np.int64)].astype(np.int64)
     least = max(GROUP, 2.0**-BITS * tokens) if state_share is None else max(state_share * tokens, float(min_count or 2))
-    entry = max(entry_share * tokens, 1.0)
+    entry = max((ENTRY_SHARE if entry_share is None else entry_share) * tokens, 1.0)
     contexts = np.flatnonzero(counts >= least).astype(np.int64)
     contexts, sizes = contexts[contexts > 0], counts[contexts[contexts > 0]]
     numbered = _numbered(docs, where, text_col, model) if len(contexts) else None
+    above = vocabulary.select(F.lit(-1).cast("long").alias("u"), F.lit(0).cast("long").alias("s"), F.col("token").alias("w"), ((F.col("n") + 1) / F.lit(float(model.total))).alias("p"))
+    written = [numbered] if numbered is not None else []
     while len(contexts) and len(model.levels) < depth:
         last = len(model.levels) + 1 == depth
-        counted, longer = _count_groups(numbered, model, contexts, entry, None if last else least)
-        level, number = _level(model, contexts, sizes, counted, min_nats, discount)
+        groups = _count_groups(numbered, model, contexts, None if last else least)
+        rows = groups.where((F.col("key") < 0) | ((F.col("w") == "") & (F.col("n") >= F.lit(entry)))).collect()
+        counted, longer = [(r["key"], r["n"]) for r in rows if r["key"] >= 0], [(~r["key"], r["n"]) for r in rows if r["key"] < 0]
+        sums = []
+        if model.whole:
+            apart = _apart(groups, model, contexts, entry, above)
+            written.append(apart)
+            sums = [tuple(x) for x in apart.groupBy("c").agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.log(F.col("n") / F.col("below")))).collect()]
+        discard(groups)
+        level, number = _level(model, contexts, sizes, counted, sums)
         model.levels.append(level)
         keys, sizes = (np.array([x[j] for x in longer], dtype=np.int64) for j in (0, 1))
         kept = number[keys >> BITS] >= 0
         keys, sizes = (keys[kept] & MASK) << BITS | number[keys[kept] >> BITS], sizes[kept]
         order = np.argsort(keys)
         contexts, sizes = keys[order], sizes[order]
-    if numbered is not None:
-        discard(numbered)
+        if model.whole and len(contexts) and not last:
+            above = _probabilities(apart, level, number, discount)
+            written.append(above)
+    for df in written:
+        discard(df)
     return model, vocabulary
 
 
@@ -320,7 +399,7 @@ def _numbers_of(batches: Iterator[pa.RecordBatch], numbers: dict[bytes, int]) ->
 
 @dataclass
 class Walk:
-    """Texts of a batch, joined: of each token its number (0: none), mark, whether it begins a text, whether training has it and has it often enough for a branch, its probability at the root and in the trunk, and the trunk's states before it."""
+    """Texts of a batch, joined: of each token its number (0: none), mark, whether it begins a text, whether training has it and has it often enough for a branch, its probability at the root and in the trunk, the trunk's states before it, and the length of the first that has it, but not as an entry (0: none)."""
 
     starts: np.ndarray
     sizes: np.ndarray
@@ -332,6 +411,7 @@ class Walk:
     base: np.ndarray
     p: np.ndarray
     states: list[np.ndarray]
+    apart: np.ndarray
 
 
 def _walk(ids: list[bytes], marks: list[list[int] | None], counts: list[list[int] | None], m: Model) -> Walk:
@@ -351,25 +431,55 @@ def _walk(ids: list[bytes], marks: list[list[int] | None], counts: list[list[int
     often[odd] = n[place] >= (m.min_count or 0)
     first = np.zeros(len(raw), dtype=bool)
     first[starts] = True
-    states, p = m.states(every, first), base
-    for level, state in zip(m.levels, states, strict=True):
+    states, p, apart = m.states(every, first), base, np.zeros(len(raw), dtype=np.uint8)
+    for k, (level, state) in enumerate(zip(m.levels, states, strict=True)):
         p = level.step(state, every, p)
-    return Walk(starts, sizes, every, mark, first, known, often, base, p, states)
+        if m.whole:
+            apart[(apart == 0) & known & level.apart(state, every)] = k + 1
+    return Walk(starts, sizes, every, mark, first, known, often, base, p, states, apart)
+
 
+def _places(walk: Walk, rows: np.ndarray, train: np.ndarray, m: Model, apart: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(hash, columns) of each place that may have a branch, or of each that is apart: length of the shortest branch, words before it, symbol, probability so far, whether it is training, row.
 
-def _places(walk: Walk, rows: np.ndarray, train: np.ndarray, m: Model) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(hash of its shortest branch, columns) of each place that may have a branch: length, words before it, symbol, probability so far, whether it is training, row."""
+    The hash is that of the shortest branch; of a place apart, which has its probability at the root, that of the first
+    state without the symbol as an entry, and of the symbol.
+    """
     end = m.end or END_MARK
     words = np.where(walk.often, walk.marks, 0)  # a context with a word that is too rare is too rare
     before = [_before(words, walk.first, k + 1, end) for k in range(m.depth)]
-    length = m.starts_of_branches(walk.ids, walk.first, before, walk.states)
-    at = np.flatnonzero(length)
+    length = m.starts_of_branches(walk.ids, walk.first, before, walk.states) if m.min_count is not None else np.zeros(len(words), dtype=np.uint8)
+    at = np.flatnonzero(walk.apart if apart else (length > 0) & (walk.apart == 0))
     length, before = length[at], [b[at] for b in before]
+    upto = walk.apart[at] if apart else length
     key = np.zeros(len(at), dtype=np.uint64)
     for k, word in enumerate(before):
-        key = np.where(length > k, _longer(key, word), key)
+        key = np.where(upto > k, _longer(key, word), key)
+    if apart:
+        key = _longer(key, walk.marks[at])
     text = np.repeat(np.arange(len(rows)), walk.sizes)[at]
-    return key, [length, *before, walk.marks[at], walk.p[at].astype(np.float32), train[text], rows[text]]
+    p = walk.base if apart else walk.p
+    return key, [np.where(length > 0, length, NONE), *before, walk.marks[at], p[at].astype(np.float32), train[text].astype(np.uint8), rows[text]]
+
+
+def _settle(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(hash, columns) of places apart, all those of whole pairs of state and symbol, as they go on: probabilities from the trunk, and marked (2) as such that nothing was added for."""
+    length, before, symbol, train, row = columns[0], columns[1 : m.depth + 1], columns[m.depth + 1], columns[-2], columns[-1]
+    p, numbered, state = columns[-3].astype(np.float64), np.maximum(symbol, 0), None
+    for word, level in zip(before, m.levels, strict=False):
+        state = level.state(_keys(word, state))
+        p = level.step(state, numbered, p)
+        at = np.flatnonzero(level.apart(state, numbered))
+        at = at[np.lexsort((symbol[at], state[at]))]
+        c, s = state[at], symbol[at]
+        of_pair = np.cumsum(np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])][: len(at)]) - 1
+        n = np.bincount(of_pair, train[at])[of_pair]
+        p[at] += np.where(n > 0, (n - m.discount) / level.sizes[c], 0.0)
+    key = np.zeros(len(row), dtype=np.uint64)
+    for k, word in enumerate(before):
+        key = np.where((length > k) & (length != NONE), _longer(key, word), key)
+    key = np.where(length == NONE, splitmix(row.view(np.uint64)), key)
+    return key, [length, *before, symbol, p.astype(np.float32), train | 2, row]
 
 
 def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -379,7 +489,7 @@ def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _kinds(depth: int) -> list[type]:
-    return [np.uint8, *[np.int64] * (depth + 1), np.float32, np.bool_, np.int64]
+    return [np.uint8, *[np.int64] * (depth + 1), np.float32, np.uint8, np.int64]
 
 
 def _pack(columns: list[np.ndarray], kinds: list[type]) -> bytes:
@@ -402,7 +512,7 @@ def _unpack(raw: bytes, size: int, kinds: list[type]) -> list[np.ndarray]:
 
 def _grow(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(rows, what their branches add to the decimal logarithm) of all places of whole groups: at each length the contexts are counted, tested and stepped through."""
-    length, before, symbol, train, row = columns[0], columns[1 : m.depth + 1], columns[m.depth + 1], columns[-2], columns[-1]
+    length, before, symbol, train, row = columns[0], columns[1 : m.depth + 1], columns[m.depth + 1], columns[-2] & 1, columns[-1]
     start = columns[-3].astype(np.float64)
     p, alive, key = start.copy(), np.ones(len(row), dtype=bool), np.zeros(len(row), dtype=np.uint64)
     for k in range(m.depth):
@@ -429,60 +539,77 @@ def _grow(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray]:
         on, pairs = at[kept], of_pair[kept]
         p[on] = share[pairs] + rest[context[pairs]] * p[on]
         alive[at[~kept]] = False
+    start = np.where(columns[-2] > 1, 1.0, start)  # of settled places, nothing is in the trunk's sum
     changed = np.flatnonzero(p != start)
     rows, to = np.unique(row[changed], return_inverse=True)
     return rows, np.bincount(to, np.log10(p[changed] / start[changed]), len(rows))
 
 
 def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
-    """(row, gain): what branches add to the score of each text. Each task holds one bucket of whole groups at a time."""
+    """(row, gain): what branches and places apart add to the score of each text. Each task holds one bucket of whole groups at a time."""
     shared, buckets = full.sparkSession.sparkContext.broadcast(model), -(-places // BUCKET)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, squeeze = shared.value, zstandard.ZstdCompressor(level=1)
-
-        def out(held: list) -> pa.RecordBatch:
-            key = np.concatenate([k for k, _ in held])
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cols = [np.concatenate(c)[order] for c in zip(*(c for _, c in held), strict=True)]
-            names, at = np.unique(bucket[order], return_index=True)
-            blobs = [squeeze.compress(_pack([c[i:j] for c in cols], _kinds(m.depth))) for i, j in zip(at, [*at[1:], len(key)], strict=True)]
-            sizes = np.diff([*at, len(key)])
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "places", "blob"])
-
-        held, size = [], 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows, train = (part.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-                held.append(_places(_walk(*(part.column(j).to_pylist() for j in (2, 3, 4)), m), rows, train.astype(bool), m))
-                size += len(held[-1][0])
-                if size > BUFFER:
-                    yield out(held)
-                    held, size = [], 0
-        if size:
-            yield out(held)
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, stretch = shared.value, zstandard.ZstdDecompressor()
-
-        def out(held: list) -> pa.RecordBatch:
-            rows, gain = _grow([np.concatenate(c) for c in zip(*held, strict=True)], m)
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(gain)], names=["row", "gain"])
-
-        now, held = None, []
+    def out(held: list, depth: int) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        key = np.concatenate([k for k, _ in held])
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cols = [np.concatenate(c)[order] for c in zip(*(c for _, c in held), strict=True)]
+        names, at = np.unique(bucket[order], return_index=True)
+        blobs = [squeeze.compress(_pack([c[i:j] for c in cols], _kinds(depth))) for i, j in zip(at, [*at[1:], len(key)], strict=True)]
+        sizes = np.diff([*at, len(key)])
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "places", "blob"])
+
+    def sender(apart: bool) -> Callable:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, held, size = shared.value, [], 0
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
+                    rows, train = (part.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+                    held.append(_places(_walk(*(part.column(j).to_pylist() for j in (2, 3, 4)), m), rows, train.astype(bool), m, apart))
+                    size += len(held[-1][0])
+                    if size > BUFFER:
+                        yield out(held, m.depth)
+                        held, size = [], 0
+            if size:
+                yield out(held, m.depth)
+
+        return send
+
+    def bucketwise(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[list[np.ndarray]]:
+        stretch, now, held = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
             for bucket, size, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if held and bucket != now:
-                    yield out(held)
+                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
                     held = []
                 now = bucket
-                held.append(_unpack(stretch.decompress(blob.as_buffer()), size, _kinds(m.depth)))
+                held.append(_unpack(stretch.decompress(blob.as_buffer()), size, _kinds(depth)))
         if held:
-            yield out(held)
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, held, size = shared.value, [], 0
+        for columns in bucketwise(batches, m.depth):
+            held.append(_settle(columns, m))
+            size += len(columns[0])
+            if size > BUFFER:
+                yield out(held, m.depth)
+                held, size = [], 0
+        if size:
+            yield out(held, m.depth)
 
-    sent = full.select("row", "train", "ids", "marks", "counts").mapInArrow(send, "bucket long, places long, blob binary")
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for columns in bucketwise(batches, m.depth):
+            rows, gain = _grow(columns, m)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(gain)], names=["row", "gain"])
+
+    texts, blobs = full.select("row", "train", "ids", "marks", "counts"), "bucket long, places long, blob binary"
+    sent = texts.mapInArrow(sender(False), blobs)
+    if model.whole and model.levels:
+        sent = sent.unionByName(texts.mapInArrow(sender(True), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, blobs))
     grown = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(grow, "row long, gain double")
     return grown.groupBy("row").agg(F.sum("gain").alias("gain"))
 
@@ -491,11 +618,13 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[st
     """id_cols, n_tokens, n_known, train_tokens, base_score, score of every row of docs, over its whole text.
 
     where: the condition that fit had. Branches are counted in the rows of docs that meet it, so docs holds the training
-    rows too (None: no row does, and the trunk alone scores). A null text counts as empty: its only token is the end.
+    rows too (None: no row does, and the trunk's entries alone score). A null text counts as empty: its only token is the end.
     Repeated rows and null ids are kept apart by a row number that is written down before it is used. Words outside the
     broadcast are looked up by a join in which frequent ones, such as a word that every held-out text has and no training
     text, are broadcast. An empty table gives an empty result.
     """
+    if where is None:
+        model = replace(model, levels=[replace(x, rest=x.alone) for x in model.levels], whole=False)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     train = F.coalesce(where, F.lit(True)) if where is not None else F.lit(False)
     names = [f"__id{i}" for i in range(len(id_cols))]
@@ -522,12 +651,12 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[st
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 walk = _walk(*(part.column(j).to_pylist() for j in range(part.num_columns - 3, part.num_columns)), shared.value)
-                sums = [np.add.reduceat(x, walk.starts) for x in (walk.known.astype(np.int64), np.log10(walk.base), np.log10(walk.p))]
+                sums = [np.add.reduceat(x, walk.starts) for x in (walk.known.astype(np.int64), np.log10(walk.base), np.where(walk.apart, 0.0, np.log10(walk.p)))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(walk.sizes), *map(pa.array, sums)], names=[*part.schema.names[:-3], "n_tokens", "n_known", "base", "tree"])
 
     sums = full.select("row", *names, "ids", "marks", "counts").mapInArrow(measure, ", ".join(["row long", *types, "n_tokens long, n_known long, base double, tree double"]))
     gain = F.lit(0.0)
-    if model.min_count is not None and where is not None:
+    if where is not None and (model.min_count is not None or model.whole and model.levels):
         places = full.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 4
         if places:
             sums, gain = sums.join(_branch_gains(full, model, places), "row", "left"), F.coalesce("gain", F.lit(0.0))
