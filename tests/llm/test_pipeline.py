@@ -2,7 +2,10 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from tracewright.llm import common, neardup
+import pyarrow as pa
+import pyspark.sql.classic.dataframe
+from pyspark.sql import functions as F
+from tracewright.llm import common, langid, neardup, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -128,3 +131,19 @@ def test_many_null_ids_are_not_joined_with_each_other(spark):
     rows = [(None, f"text number {i} of many others") for i in range(3000)] + [(1, "text number 5 of many others")]
     got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 3000 and sum(r["doc_id"] == 1 for r in got) == 1
+
+
+def test_classifiers_hand_back_whole_texts_a_few_hundred_at_a_time(spark, monkeypatch):
+    made, kind = [], pyspark.sql.classic.dataframe.DataFrame
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, **kw: made.append(run) or real(self, run, *a, **kw))
+    rows = [(i, f"some text of number {i}", "en" if i % 2 else "de") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    langid.identify(docs, model)
+    quality.classify(docs, quality.train([], []))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["doc_id", "text", "lang"])
+    for run in made[1:]:
+        got = list(run(iter([batch, batch.slice(0, 0)])))
+        assert [x.num_rows for x in got] == [256, 256, 256, 232]
+        assert pa.Table.from_batches(got).select(["doc_id", "text", "lang"]).equals(pa.Table.from_batches([batch]))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -72,6 +75,31 @@ def join_hot(rows: DataFrame, side: DataFrame, on: list[str], count_col: str, to
     return rows.join(few, on).unionByName(rest)
 
 
+#: Rows of an Arrow batch of texts that a function turns into Python values, and hands back, at once.
+PART = 256
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of PART rows, so that neither the worker nor the JVM holds results of thousands of texts in one piece."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PART):
+            yield batch.slice(i, PART)
+
+
+def sparing(run: Callable) -> Callable:
+    """run, a function for mapInArrow, whose worker gives freed memory back to the system when its task ends: workers live on between tasks."""
+
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return spared
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracewright.llm.common import byte_ngrams, hashed_sample
+from tracewright.llm.common import byte_ngrams, hashed_sample, parts, sparing
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -176,11 +176,11 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             got = [pack(*counted(t)).tobytes() for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["__h", "id", "lang", "counts"])
 
-    got = hashed_sample(rows, "id", "lang", max_rows, ["lang", "text"], run, "counts binary")
+    got = hashed_sample(rows, "id", "lang", max_rows, ["lang", "text"], sparing(run), "counts binary")
     return train_counted([unpack(r["counts"]) for r in got], [r["lang"] for r in got], **options)
 
 
@@ -198,9 +198,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             said = [m.predict(t) for t in batch.column(at).to_pylist()]
             a, b, c = zip(*said, strict=True) if said else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.bool_())], names=names)
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, *StructType.fromDDL(added).fields]))
+    return base.mapInArrow(sparing(run), StructType([*base.schema.fields, *StructType.fromDDL(added).fields]))

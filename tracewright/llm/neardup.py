@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tracewright.llm import simhash
-from tracewright.llm.common import join_hot, materialize, splitmix, words_of
+from tracewright.llm.common import join_hot, materialize, parts, sparing, splitmix, words_of
 from tracewright.llm.components import connected_components
 
 #: Sampled fingerprints a text: they link most groups early; the prefix filter finds what they miss.
@@ -104,7 +104,7 @@ def _common(rows: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_ROWS)) == 0).select("t")
-    got = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect()
+    got = some.mapInArrow(sparing(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect()
     h, n = (np.array([r[c] for r in got], dtype=np.int64) for c in ("h", "n"))
     h = h.view(np.uint64)
     rank = np.empty(len(h), dtype=np.int64)
@@ -154,7 +154,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     kind = docs.schema[id_col].dataType
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
@@ -165,7 +165,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             fp = pa.array(np.array(cols[1], dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cols[0], pa.binary()), fp, pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary())], names=["id", "text_key", "words", "fp", "samples", "size", "prefix", "sketch"])
 
-    marks = rows.mapInArrow(digest, StructType([StructField("id", kind), *StructType.fromDDL("text_key binary, words binary, fp long, samples array<long>, size int, prefix array<long>, sketch binary").fields]))
+    marks = rows.mapInArrow(sparing(digest), StructType([StructField("id", kind), *StructType.fromDDL("text_key binary, words binary, fp long, samples array<long>, size int, prefix array<long>, sketch binary").fields]))
     # one node per distinct sequence of words, numbered as it is written down; row is its smallest id and a text of that
     row = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
     nodes = marks.groupBy("words").agg(F.min(row).alias("row"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("fp", "samples", "size", "prefix", "sketch")])
@@ -180,7 +180,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     pairs = stars.unionByName(ends).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(words_of(t), shingle_words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["n", "data"])
 
     def edges(pairs: DataFrame, name: str) -> DataFrame:
@@ -190,7 +190,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         need = close.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         need = materialize(nodes.join(need, "n").select("n", _key("row.id"), F.col("row.text_key").alias("__text_key")), f"{name}-need")
         texts = marked.select(*keys, F.col(text_col).cast("binary").alias("t")).join(_few(need), keys)
-        shingles = texts.select("n", "t").dropDuplicates(["n"]).mapInArrow(sets, "n long, data binary")
+        shingles = texts.select("n", "t").dropDuplicates(["n"]).mapInArrow(sparing(sets), "n long, data binary")
         return _compared(close, materialize(shingles, f"{name}-sets"), _linked, similarity)
 
     def grouped(links: DataFrame, name: str) -> DataFrame:
@@ -247,7 +247,7 @@ def _compared(pairs: DataFrame, data: DataFrame, test: Callable, similarity: flo
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
     rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "a")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(sparing(run), "a long, b long")
 
 
 def _shared_tokens(nodes: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from tracewright.llm.common import byte_ngrams, hashed_sample
+from tracewright.llm.common import byte_ngrams, hashed_sample, parts, sparing
 
 #: Symbols of a recurrence: no earlier occurrence, then octaves of the distance; words of an n-gram of them.
 OCTAVES, ORDER = 8, 4
@@ -183,12 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = [indicators(t).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["id", "y", "at"])
 
     schema = StructType([*ids.schema.fields, StructField("at", BinaryType())])
-    rows = sorted(found.select("id", "y", "t").mapInArrow(run, schema).collect(), key=lambda r: r["id"])
+    rows = sorted(found.select("id", "y", "t").mapInArrow(sparing(run), schema).collect(), key=lambda r: r["id"])
     total = sum(counts.values())
     return train_indicators([np.frombuffer(r["at"], dtype=np.int32) for r in rows], [r["y"] for r in rows], counts.get(1, 0) / total, **options)
 
@@ -205,8 +205,8 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             s = [m.score(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=names)
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, *StructType.fromDDL("quality_score double, quality_pred int").fields]))
+    return base.mapInArrow(sparing(run), StructType([*base.schema.fields, *StructType.fromDDL("quality_score double, quality_pred int").fields]))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracewright.llm.common import splitmix
+from tracewright.llm.common import sparing, splitmix
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -404,7 +404,7 @@ def encode_samples(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
                 yield part(batch.slice(at, to - at), v)
                 at = to
 
-    return rows.mapInArrow(run, StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(SAMPLES + ", decoded_sha256 string" * digest).fields]))
+    return rows.mapInArrow(sparing(run), StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(SAMPLES + ", decoded_sha256 string" * digest).fields]))
 
 
 def decode_column(df: DataFrame, pieces_col: str = "pieces", out_col: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
