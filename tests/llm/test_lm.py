@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -209,3 +210,16 @@ def test_no_training_text_and_empty_table(spark):
     r = lm.score(df, model, words, ["doc_id"]).collect()[0]
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (3, 0, 0, 0.0, 0.0)
     assert lm.score(df.limit(0), model, words, ["doc_id"]).collect() == []
+
+
+def test_no_shuffle_files_stay_behind_written_tables(spark):
+    df = spark.createDataFrame([(i, f"a b{i} c{i // 2}") for i in range(50)], "doc_id long, text string")
+    common.release_shuffles(spark) if hasattr(common, "release_shuffles") else spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = shuffles.size()
+    where = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    model, words = lm.fit(df, where)
+    lm.score(df, model, words, ["doc_id"], where=where)
+    time.sleep(2)
+    assert shuffles.size() <= before + 2  # those of what ran last

@@ -5,13 +5,16 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -55,6 +58,16 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):  # what ran last is held by events that listeners still have to see
+        with contextlib.suppress(Py4JJavaError):
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 #: A key is hot if it has a share of this or more of the rows; so at most its inverse of keys are hot.
 HOT_SHARE = 1e-4
 #: Of fewer rows in all, no key's rows are more than one task bears.

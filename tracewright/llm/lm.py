@@ -32,7 +32,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import discard, join_hot, materialize, splitmix, words_of
+from tracewright.llm import common
+from tracewright.llm.common import discard, materialize, release_shuffles, splitmix, words_of
 
 #: The end of a text as a token: white space can't be a word.
 END = "\n"
@@ -341,6 +342,7 @@ def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: floa
     if min(word_share, state_share or 1.0) < 2.0**-BITS:
         raise ValueError(f"word_share and state_share are at least 2**-{BITS}")
     vocabulary = materialize(count_words(docs, where, text_col).withColumn("id", F.monotonically_increasing_id()), "lm-words")
+    release_shuffles(docs.sparkSession)
     r = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = int(r["n"]), int(r["v"])
     common = vocabulary.where((F.col("n") >= F.lit(max(word_share * tokens, 2.0)))).collect()
@@ -379,22 +381,24 @@ def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: floa
             written.append(above)
     for df in written:
         discard(df)
+    release_shuffles(docs.sparkSession)
     return model, vocabulary
 
 
 def _numbers_of(batches: Iterator[pa.RecordBatch], numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """The last column (a text) replaced by word numbers (32 bits; -i for the i-th of the text's words that have none) and those words."""
-    get, ending = numbers.get, END.encode()
+    """The last column (a text) replaced by its number of tokens, their word numbers (-i for the i-th of the text's words that have none; squeezed) and those words."""
+    get, ending, squeeze = numbers.get, END.encode(), zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        ids, odd = [], []
+        sizes, ids, odd = [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             other: dict[bytes, int] = {}
             row = [get(w) or other.setdefault(w, -len(other) - 1) for w in tokens_of(text)]
             row.append(get(ending) or other.setdefault(ending, -len(other) - 1))
-            ids.append(np.array(row, dtype=np.int32).tobytes())
+            sizes.append(len(row))
+            ids.append(squeeze.compress(np.array(row, dtype=np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()))
             odd.append([w.decode("utf-8", "replace") for w in other])
-        cols = [pa.array(ids, pa.binary()), pa.array(odd, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*batch.schema.names[:-1], "ids", "odd"])
+        cols = [pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(odd, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*batch.schema.names[:-1], "size", "ids", "odd"])
 
 
 @dataclass
@@ -415,7 +419,9 @@ class Walk:
 
 
 def _walk(ids: list[bytes], marks: list[list[int] | None], counts: list[list[int] | None], m: Model) -> Walk:
-    texts = [np.frombuffer(x, dtype=np.int32) for x in ids]
+    stretch = zstandard.ZstdDecompressor()
+    planes = (np.frombuffer(stretch.decompress(x), dtype=np.uint8).reshape(4, -1) for x in ids)
+    texts = [np.ascontiguousarray(x.T).view(np.int32).ravel() for x in planes]
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     raw = np.concatenate(texts).astype(np.int64)
@@ -451,6 +457,8 @@ def _places(walk: Walk, rows: np.ndarray, train: np.ndarray, m: Model, apart: bo
     length = m.starts_of_branches(walk.ids, walk.first, before, walk.states) if m.min_count is not None else np.zeros(len(words), dtype=np.uint8)
     at = np.flatnonzero(walk.apart if apart else (length > 0) & (walk.apart == 0))
     length, before = length[at], [b[at] for b in before]
+    for k in range(1, m.depth):  # no context goes beyond a word that is too rare
+        before[k] = np.where(before[k - 1] == 0, 0, before[k])
     upto = walk.apart[at] if apart else length
     key = np.zeros(len(at), dtype=np.uint64)
     for k, word in enumerate(before):
@@ -458,8 +466,8 @@ def _places(walk: Walk, rows: np.ndarray, train: np.ndarray, m: Model, apart: bo
     if apart:
         key = _longer(key, walk.marks[at])
     text = np.repeat(np.arange(len(rows)), walk.sizes)[at]
-    p = walk.base if apart else walk.p
-    return key, [np.where(length > 0, length, NONE), *before, walk.marks[at], p[at].astype(np.float32), train[text].astype(np.uint8), rows[text]]
+    p = walk.base[at] if apart else np.where((length == 1) & (walk.ids[at] > 0), 0.0, walk.p[at])  # known from the symbol
+    return key, [np.where(length > 0, length, NONE), *before, walk.marks[at], p.astype(np.float32), train[text].astype(np.uint8), rows[text]]
 
 
 def _settle(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -513,7 +521,7 @@ def _unpack(raw: bytes, size: int, kinds: list[type]) -> list[np.ndarray]:
 def _grow(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(rows, what their branches add to the decimal logarithm) of all places of whole groups: at each length the contexts are counted, tested and stepped through."""
     length, before, symbol, train, row = columns[0], columns[1 : m.depth + 1], columns[m.depth + 1], columns[-2] & 1, columns[-1]
-    start = columns[-3].astype(np.float64)
+    start = np.where((length == 1) & (symbol > 0), m.base[np.maximum(symbol, 0)], columns[-3])
     p, alive, key = start.copy(), np.ones(len(row), dtype=bool), np.zeros(len(row), dtype=np.uint64)
     for k in range(m.depth):
         alive &= before[k] != 0
@@ -620,8 +628,8 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[st
     where: the condition that fit had. Branches are counted in the rows of docs that meet it, so docs holds the training
     rows too (None: no row does, and the trunk's entries alone score). A null text counts as empty: its only token is the end.
     Repeated rows and null ids are kept apart by a row number that is written down before it is used. Words outside the
-    broadcast are looked up by a join in which frequent ones, such as a word that every held-out text has and no training
-    text, are broadcast. An empty table gives an empty result.
+    broadcast are looked up by a join in which frequent ones are broadcast. Only words that no training text has, such as one
+    that every held-out text has, can be frequent there. An empty table gives an empty result.
     """
     if where is None:
         model = replace(model, levels=[replace(x, rest=x.alone) for x in model.levels], whole=False)
@@ -634,17 +642,25 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[st
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _numbers_of(batches, shared.value.numbers)
 
-    local = materialize(given.mapInArrow(number, ", ".join(["row long, train boolean", *types, "ids binary, odd array<string>"])), "lm-local")
-    odd = local.select("row", F.posexplode("odd").alias("pos", "token"))
-    met = odd.groupBy("token").agg(F.count("*").alias("c")).join(vocabulary, "token", "left")
+    local = materialize(given.mapInArrow(number, ", ".join(["row long, train boolean", *types, "size long, ids binary, odd array<string>"])), "lm-local")
+    odd = local.select("row", "train", F.posexplode("odd").alias("pos", "token"))
     mark = F.when(F.col("id").isNull(), F.lit(-1)).when(F.col("token") == END, F.lit(END_MARK)).otherwise(F.lit(-2) - F.col("id"))
-    met = materialize(met.select("token", "c", F.coalesce("n", F.lit(0).cast("long")).alias("n"), mark.cast("long").alias("mark")), "lm-met")
-    found = join_hot(odd, met, ["token"], "c", local.agg(F.coalesce(F.sum(F.size("odd")), F.lit(0))).first()[0])
+    look = lambda rows, side: rows.join(side, "token", "left").select(*rows.columns, F.coalesce("n", F.lit(0).cast("long")).alias("n"), mark.cast("long").alias("mark"))
+    total = local.agg(F.coalesce(F.sum(F.size("odd")), F.lit(0))).first()[0]
+    found, met = look(odd, vocabulary), None
+    if total >= common.SMALL:
+        counted = odd.where(~F.col("train")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= F.lit(max(2.0, common.HOT_SHARE * total)))
+        met = materialize(look(counted.select("token"), vocabulary), "lm-met")
+        hot = F.broadcast(met)
+        found = look(odd.join(hot.select("token"), "token", "left_anti"), vocabulary).unionByName(odd.join(hot, "token"))
     listed = F.array_sort(F.collect_list(F.struct("pos", "n", "mark")))
     counts = found.groupBy("row").agg(listed.alias("x")).select("row", F.col("x.mark").alias("marks"), F.col("x.n").alias("counts"))
     full = materialize(local.drop("odd").join(counts, "row", "left"), "lm-full")
     discard(local)
-    discard(met)
+    if met is not None:
+        discard(met)
+    del odd, found, counts
+    release_shuffles(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -657,7 +673,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[st
     sums = full.select("row", *names, "ids", "marks", "counts").mapInArrow(measure, ", ".join(["row long", *types, "n_tokens long, n_known long, base double, tree double"]))
     gain = F.lit(0.0)
     if where is not None and (model.min_count is not None or model.whole and model.levels):
-        places = full.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 4
+        places = full.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         if places:
             sums, gain = sums.join(_branch_gains(full, model, places), "row", "left"), F.coalesce("gain", F.lit(0.0))
     return sums.select(*[F.col(x).alias(c) for c, x in zip(id_cols, names, strict=True)], "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("tree") + gain).alias("score"))
