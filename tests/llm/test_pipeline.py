@@ -147,3 +147,50 @@ def test_classifiers_hand_back_whole_texts_a_few_hundred_at_a_time(spark, monkey
         got = list(run(iter([batch, batch.slice(0, 0)])))
         assert [x.num_rows for x in got] == [256, 256, 256, 232]
         assert pa.Table.from_batches(got).select(["doc_id", "text", "lang"]).equals(pa.Table.from_batches([batch]))
+
+
+def test_a_large_group_of_texts_apart_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    base, rows = [word() for _ in range(100)], []
+    for i in range(200):  # two words of each are its own: any two texts are below 0.8
+        copy = list(base)
+        copy[rng.randrange(10, 45)], copy[rng.randrange(55, 90)] = word(), word()
+        rows.append((i, " ".join(copy)))
+    rows += [(200 + i, " ".join([*base[:30], *(word() for _ in range(5)), *base[35:]])) for i in range(2)] + [(300, " ".join([*base, "end"])), (301, " ".join(base))]
+    compared, real = [], neardup._compared
+    monkeypatch.setattr(neardup, "_compared", lambda pairs, *a: compared.append(pairs.count()) or real(pairs, *a))
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == near_groups(rows)
+    assert max(compared) < 4000, compared
+
+
+def test_packed_cells_pair_what_all_pairs_do():
+    r = np.random.default_rng(6)
+    count = r.integers(0, 40, 300)
+    count[:2] = 0, 500
+    n, root = np.cumsum(r.integers(1, 4, 300)) + (5 << 33), r.integers(0, 250, 300)
+    size, own = count * 3 + 70_000 * (np.arange(300) == 7), np.repeat(np.arange(300), count)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    place[:500] += 65_400
+    token = r.integers(0, 2**63, 400, dtype=np.uint64)[(400 * r.random(len(own)) ** 2).astype(int)]
+    data = neardup.pack(n, root, size, own, place, token)
+    assert len(data) < 12 * len(own)
+    n2, root2, size2, own2, place2, token2 = neardup.unpack(data)
+    some = np.flatnonzero(count)
+    assert (n2 == n[some]).all() and (root2 == root[some]).all() and (size2 == size[some]).all() and (some[own2] == own).all()
+    assert (place2 == np.minimum(place, 65535)).all() and (token2 == (token & np.uint64(2**48 - 1)).astype(np.int64)).all()
+    left, right, large = neardup.cell_pairs(root2, size2, own2, place2, token2, 0.8, 12)
+    want, big = set(), set()
+    for t in np.unique(token2):
+        at = np.flatnonzero(token2 == t)
+        if len(set(root2[own2[at]])) > 1 and len(at) > 12:
+            big |= set(at.tolist())
+        elif len(at) <= 12:
+            for i in at:
+                for j in at:
+                    both = min(size2[own2[i]] - place2[i], size2[own2[j]] - place2[j])
+                    if own2[i] > own2[j] and root2[own2[i]] != root2[own2[j]] and (both + 1e-9) * 1.8 >= 0.8 * (size2[own2[i]] + size2[own2[j]]):
+                        want.add((int(own2[i]), int(own2[j])))
+    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want and want
+    assert set(large.tolist()) == big and big

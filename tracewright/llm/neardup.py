@@ -10,9 +10,10 @@ have unlike shingles can't be a link; of the others, the exact similarity of the
 
 What these leave apart is found exactly, by a prefix filter: two sets of that similarity share one of the first shingles
 in any common order (a fifth of each set at 0.8). Common shingles, as a sample of the rows has them, come last in the
-order, which costs or saves candidates but never loses one. Under each shingle the members outside its largest component
-are compared with all members of other components, so a group that is linked already makes no pairs. The two steps
-together lose no link.
+order, which costs or saves candidates but never loses one. Prefixes go to the cells of their shingles once, packed, and
+members of different components meet there, so a group that is linked already makes no pairs. A cell of few members
+pairs them all; in a cell of many, two members become a pair only if parity sketches folded to 512 bits let them. The
+two steps together lose no link.
 
 Texts with the same words are one node with a number of its own; documents are never joined on a null or repeated id
 alone. In every join on a key that may be hot (a sample, a shingle, a group's first text), the hot keys' side is broadcast
@@ -22,11 +23,13 @@ or the key is dealt to several tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -40,7 +43,12 @@ SAMPLES = 12
 MEMBERS, BROADCAST_KEYS = 2048, 200_000
 #: Of one in so many rows, the shingles that occur this often, and at most so many of them, are last in the prefix order.
 SAMPLE_ROWS, COMMON_COUNT, COMMON_MOST = 16, 3, 200_000
+#: Members of a shingle's cell that are paired as they are (so at most 32 pairs a member); nodes to a bucket of cells.
+CELL, BUCKET_NODES = 64, 16384
+#: Known roots that are broadcast (two longs each).
+BROADCAST_ROOTS = 1_000_000
 _PICKS = 3
+_FOLD = 8
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = 42) -> np.ndarray:
@@ -67,7 +75,7 @@ def sampled_simhashes(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
 
 def sketch(hashes: np.ndarray) -> bytes:
     """A bit per bucket of hashes: whether it holds an odd number of them. Sketches of two sets differ in no more bits than the sets in members."""
-    bits = 1 << min(16, max(6, (2 * len(hashes)).bit_length()))
+    bits = 1 << min(16, max(9, (2 * len(hashes)).bit_length()))
     return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -135,9 +143,10 @@ def _text_key(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it has no more than BROADCAST_KEYS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+def _few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df marked for broadcast if it has no more than most (BROADCAST_KEYS) rows."""
+    most = BROADCAST_KEYS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
@@ -174,8 +183,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     fps = nodes.groupBy("fp").agg(F.min("n").alias("n"))
     links = simhash.anchor_links(fps, "fp", threshold)
     tables = nodes.select("n", F.posexplode("samples").alias("s", "key")).unionByName(nodes.select("n", F.lit(-1).alias("s"), F.col("fp").alias("key")))
-    groups = tables.groupBy("s", "key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("c")).where("c > 1")
-    stars = join_hot(tables, groups, ["s", "key"], "c", count).select(F.col("n").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    stars = _stars(tables.select("n", F.xxhash64("s", "key").alias("key")))
     ends = links.join(fps.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pairs = stars.unionByName(ends).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -193,16 +201,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         shingles = texts.select("n", "t").dropDuplicates(["n"]).mapInArrow(sparing(sets), "n long, data binary")
         return _compared(close, materialize(shingles, f"{name}-sets"), _linked, similarity)
 
-    def grouped(links: DataFrame, name: str) -> DataFrame:
-        """(n, root) of every node."""
-        found = connected_components(links).withColumnRenamed("node", "n")
-        return materialize(nodes.select("n").join(found, "n", "left").select("n", F.coalesce("root", "n").alias("root")), name)
-
-    tree = lambda roots: roots.where("n <> root").select(F.col("n").alias("a"), F.col("root").alias("b"))
-    roots = grouped(edges(pairs, "dup-early"), "dup-roots")
-    tokens = _shared_tokens(nodes.join(roots, "n"))
-    rest = edges(_apart(tokens, similarity), "dup-rest")
-    roots = connected_components(tree(roots).unionByName(rest))
+    # (n, root) of the nodes that are not their own root
+    moved = materialize(connected_components(edges(pairs, "dup-early")).where("node <> root").select(F.col("node").alias("n"), "root"), "dup-roots")
+    known = nodes.select("n", "size", "prefix").join(_few(moved, min(BROADCAST_ROOTS, 5 * BROADCAST_KEYS)), "n", "left")
+    met = materialize(_cells(known.select("n", F.coalesce("root", "n").alias("root"), "size", "prefix"), max(64, count // BUCKET_NODES), similarity), "dup-cells")
+    apart = met.where("token is null").select("a", "b")
+    crowded = met.where("token is not null")
+    if crowded.head(1):
+        apart = apart.unionByName(_apart(crowded.select("token", F.col("a").alias("n"), F.col("b").alias("root"), "size", "place"), nodes, similarity))
+    rest = edges(apart.distinct(), "dup-rest")
+    roots = connected_components(moved.select(F.col("n").alias("a"), F.col("root").alias("b")).unionByName(rest))
     placed = nodes.select("n", "row", "copies").join(roots.withColumnRenamed("node", "n"), "n", "left")
     chosen = placed.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min(F.struct("row", "n", "copies")).alias("m"))
     stay = materialize(chosen.select(_key("m.row.id"), F.col("m.row.text_key").alias("__text_key"), "m.copies"), "dup-stay")
@@ -250,12 +258,124 @@ def _compared(pairs: DataFrame, data: DataFrame, test: Callable, similarity: flo
     return rows.mapInArrow(sparing(run), "a long, b long")
 
 
-def _shared_tokens(nodes: DataFrame) -> DataFrame:
-    """(token, n, root, size, place) of the prefix shingles that nodes of different roots have. Most shingles have one root and end in a narrow aggregate."""
-    tokens = nodes.select("n", "root", "size", F.posexplode("prefix").alias("place", "token"))
-    split = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    # one plan at every size: which shingles are shared grows with the input
-    return materialize(tokens.join(split.hint("merge"), "token"), "dup-tokens")
+def _stars(tables: DataFrame) -> DataFrame:
+    """(a, b): every n under a key with the first and the last n of that key; keys of one n have none. One shuffle."""
+    under = Window.partitionBy("key")
+    groups = tables.withColumns({"low": F.min("n").over(under), "high": F.max("n").over(under)})
+    return groups.where("low <> high").select(F.col("n").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+_CODEC = "zstd"
+
+
+def pack(n: np.ndarray, root: np.ndarray, size: np.ndarray, own: np.ndarray, place: np.ndarray, token: np.ndarray) -> bytes:
+    """Some nodes' shingles in a few bytes each. own: which node, ascending; 48 bits of a token are kept, places stop at 65,535.
+
+    Both only add candidates: shingles of equal bits are taken for one, and a smaller place rules less out.
+    """
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    some = own[first]
+    count = np.diff(np.r_[first, len(own)]).astype(np.uint32)
+    parts_ = [np.diff(n[some], prepend=np.int64(0)), root[some] - n[some], size[some].astype(np.uint32), count, np.minimum(place, 65535).astype(np.uint16)]
+    raw = b"".join([len(some).to_bytes(4), len(own).to_bytes(4), *map(_planes, parts_), token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()])
+    return len(raw).to_bytes(4) + pa.compress(raw, _CODEC, asbytes=True)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    """n, root, size of the nodes; own, place, token (48 bits) of the shingles."""
+    raw = pa.decompress(data[4:], int.from_bytes(data[:4]), _CODEC, asbytes=True)
+    nodes, tokens, at, out = int.from_bytes(raw[:4]), int.from_bytes(raw[4:8]), 8, []
+    for length, kind in ((nodes, np.int64), (nodes, np.int64), (nodes, np.uint32), (nodes, np.uint32), (tokens, np.uint16)):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length).T).view(kind).ravel())
+        at += length * width
+    token = np.zeros((tokens, 8), dtype=np.uint8)
+    token[:, :6] = np.frombuffer(raw, np.uint8, tokens * 6, at).reshape(tokens, 6)
+    n = np.cumsum(out[0])
+    return n, n + out[1], out[2].astype(np.int64), np.repeat(np.arange(nodes), out[3]), out[4].astype(np.int64), token.view("<u8").ravel().astype(np.int64)
+
+
+def cell_pairs(root: np.ndarray, size: np.ndarray, own: np.ndarray, place: np.ndarray, token: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole cells: the pairs (left, right) of nodes of different roots that meet in a cell of at most so many members and can reach the similarity; the shingles in larger cells of several roots."""
+    order = np.argsort(token, kind="stable")
+    t, o = token[order], own[order]
+    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    count = np.diff(np.r_[start, len(t)])
+    several = np.minimum.reduceat(root[o], start) != np.maximum.reduceat(root[o], start)
+    large = order[np.repeat(several & (count > most), count)]
+    here = np.flatnonzero(np.repeat(several & (count <= most), count))
+    after = (np.repeat(start + count, count)[here] - here - 1).astype(np.int64)
+    costs, at, found, keep = np.cumsum(after), 0, [], len(root)
+    while at < len(here):
+        to = max(at + 1, int(np.searchsorted(costs, (costs[at - 1] if at else 0) + 2_000_000, side="right")))
+        some, m = here[at:to], after[at:to]
+        left = np.repeat(some, m)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
+        x, y = o[left], o[right]
+        # no shingle before the first common one is shared, which bounds what the sets can share
+        both = np.minimum(size[x] - place[order[left]], size[y] - place[order[right]])
+        near = (root[x] != root[y]) & ((both + 1e-9) * (1 + similarity) >= similarity * (size[x] + size[y]))
+        found.append(np.unique(np.maximum(x[near], y[near]) * keep + np.minimum(x[near], y[near])))
+        at = to
+    code = np.unique(np.concatenate([*found, np.empty(0, dtype=np.int64)]))
+    return code // max(1, keep), code % max(1, keep), large
+
+
+def _cells(nodes: DataFrame, buckets: int, similarity: float) -> DataFrame:
+    """(token, a, b, size, place): of (n, root, size, prefix) the pairs a, b of cells of few members, with a null token; else a member a of root b of a larger cell.
+
+    Prefixes are shuffled once, packed by bucket of cells; only cells of several roots make rows.
+    """
+    buckets = min(buckets, 1 << 14)
+    shape = "token long, a long, b long, size int, place int"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, root, size = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            count = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            token = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            own = np.repeat(np.arange(len(n)), count)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            to = (token >> np.uint64(48)).astype(np.int64) % buckets
+            order = np.argsort(to, kind="stable")
+            bounds = np.searchsorted(to[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(bounds))
+            data = []
+            for i in full:
+                mine = order[bounds[i] : bounds[i + 1]]
+                data.append(pack(n, root, size, own[mine], place[mine], token[mine]))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    def out(token: np.ndarray | None, a: np.ndarray, b: np.ndarray, size: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.nulls(len(a), pa.int64()) if token is None else pa.array(token), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["token", "a", "b", "size", "place"])
+
+    def meet(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        got = [unpack(x) for x in held]
+        before = np.cumsum([0, *(len(x[0]) for x in got)])
+        n, root, size, own, place, token = (np.concatenate([x[i] + before[j] * (i == 3) for j, x in enumerate(got)]) for i in range(6))
+        left, right, large = cell_pairs(root, size, own, place, token, similarity, CELL)
+        yield out(None, np.maximum(n[left], n[right]), np.minimum(n[left], n[right]), np.zeros(len(left)), np.zeros(len(left)))
+        yield out(token[large], n[own[large]], root[own[large]], size[own[large]], place[large])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and bucket != at:
+                    yield from meet(held)
+                    held = []
+                at = bucket
+                held.append(data)
+        if held:
+            yield from meet(held)
+
+    dealt = nodes.mapInArrow(sparing(deal), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(sparing(run), shape)
 
 
 def _with_largest(tokens: DataFrame) -> DataFrame:
@@ -265,12 +385,28 @@ def _with_largest(tokens: DataFrame) -> DataFrame:
     return join_hot(tokens, groups, ["token"], "c", tokens.count())
 
 
-def _apart(tokens: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of nodes of different roots that can reach the similarity by their shared prefix shingles and sizes."""
-    members = materialize(_with_largest(tokens), "dup-members")
-    side = lambda x: members.select("token", F.col("n").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "place", "largest")])
+def _folded(nodes: DataFrame) -> DataFrame:
+    """(n, s0 .. s7): the sketches of nodes, folded to 512 bits."""
+    names = ["n", *(f"s{i}" for i in range(_FOLD))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.int64, offset=4).reshape(-1, _FOLD), axis=0) for x in batch.column(1).to_pylist()]
+            cols = np.array(bits, dtype=np.int64).reshape(-1, _FOLD).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
+
+    return nodes.select("n", "sketch").mapInArrow(sparing(run), ", ".join(f"{c} long" for c in names))
+
+
+def _apart(tokens: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes of different roots that can reach the similarity by their shared prefix shingles, sizes and folded sketches."""
+    bits = [f"s{i}" for i in range(_FOLD)]
+    members = materialize(_with_largest(tokens).join(_folded(nodes), "n"), "dup-members")
+    side = lambda x: members.select("token", F.col("n").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "place", "largest", *bits)])
     met = side("a").where("root_a <> largest_a").join(side("b"), "token").where("root_a <> root_b and (root_b = largest_b or a < b)")
-    # no shingle before the first common one is shared, which bounds what the sets can share
     both = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    met = met.where((both + 1e-9) * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")))
+    size = F.col("size_a") + F.col("size_b")
+    met = met.where((both + 1e-9) * (1 + similarity) >= similarity * size)
+    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits])
+    met = met.where(unlike <= size * ((1 - similarity) / (1 + similarity)) + 1e-9)
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
