@@ -135,3 +135,25 @@ def test_library_decodes_the_pieces_alike(v):
     for t in ["the day", "Hello  world", "é🙂\n\tfoo", "日本語"]:
         for s in next(spm.sample(v, [t], np.array([1], dtype=np.uint64), k=2)):
             assert sp.decode(s[0].tolist()) == t
+
+
+def test_sums_of_chunks_agree_with_sums_in_logarithms(v, monkeypatch):
+    words = list(dict.fromkeys(c for t in [*TEXTS, "the day was long", "🙂" * 60, "x" * 900, "▁" * 30] for c in spm.chunks(t)))
+    calls, real = [], np.exp
+    monkeypatch.setattr(spm.np, "exp", lambda x, *a, **kw: calls.append(np.size(x)) or real(x, *a, **kw))
+    mixed = spm.Lattice(v, words)
+    assert len(calls) < 2000  # only the deep chunks' places take logarithms
+    monkeypatch.setattr(spm, "DEEP_LOG", 0.0)
+    logs = spm.Lattice(v, words)
+    assert np.allclose(mixed.share, logs.share, rtol=0, atol=1e-9) and np.allclose(np.log(mixed.wait), np.minimum(-mixed.share, 690.0), rtol=0, atol=1e-9)
+    few = spm.Lattice(v, [w for w in words if len(w) < 40])
+    calls.clear()
+    monkeypatch.setattr(spm, "DEEP_LOG", -600.0)
+    spm.Lattice(v, [w for w in words if len(w) < 10])
+    assert len(calls) == 2 and len(few.share)
+    spm.Lattice(v, [])
+
+
+def test_white_space_and_lines_begin_chunks():
+    s = spm.SPACE
+    assert spm.chunks(f"a  b\n c{s}\n\n d ") == [f"{s}a", f"{s}{s}b", "\n", f"{s}c{spm.LITERAL}", "\n", "\n", f"{s}d", s]

@@ -19,7 +19,6 @@ as does a literal U+2581, so decoding gives every text back.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,6 +38,8 @@ SPACE = "▁"
 LITERAL = "\ud800"
 #: Characters of text and rows that are walked at once.
 BATCH_CHARS, BATCH_ROWS = 350_000, 512
+#: A chunk whose segmentations may have a smaller log-probability, or with more characters, is summed up in logarithms.
+DEEP_LOG, DEEP_CHARS = -600.0, 400
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +63,9 @@ class Vocabulary:
         spelled = [b"" if special[i] else self.pieces[i].replace(SPACE, " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte_ids):
             spelled[i] = bytes([b])
-        self.spelled = spelled
+        self.spelled = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        self.spelled_len = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.spelled_at = np.cumsum(self.spelled_len) - self.spelled_len
         found: dict[int, int] = {}
         for i in usable:
             h = 0
@@ -100,27 +103,32 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-_CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+#: Where texts are cut; no valid text holds it.
+_CUT = "\udffe"
 
 
 def chunks(text: str) -> list[str]:
     """Maximal pieces of a text that no vocabulary piece reaches over; joined, they are the normalized text."""
     if not text:
         return []
-    return _CHUNK.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
+    marked = (SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)).replace("\n", _CUT + "\n" + _CUT).replace(SPACE, _CUT + SPACE)
+    run = SPACE + _CUT + SPACE
+    while run in marked:  # a run of white space begins one chunk
+        marked = marked.replace(run, SPACE + SPACE)
+    return [c for c in marked.split(_CUT) if c]
 
 
 class Lattice:
     """Lattices of distinct chunks, compiled together. Node = a character's place; edges are sorted by node.
 
-    first, count: a node's edges; to: where an edge ends; share: its log-probability given its node; token0, tokens:
-    its place and number in pool, the piece numbers.
+    first, count: a node's edges; to: where an edge ends; share: its log-probability given its node; wait: the inverse of
+    that probability; token0, tokens: its place and number in pool, the piece numbers.
     """
 
     def __init__(self, v: Vocabulary, words: list[str]):
         # a mark that no piece holds follows each chunk, so that prefixes end with it
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        code = np.frombuffer("".join([w + "\udfff" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        code = np.frombuffer(("\udfff".join(words) + "\udfff" * bool(words)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         n = len(code)
         self.start = np.cumsum(lengths + 1) - lengths - 1
         end = np.repeat(self.start + lengths, lengths + 1)
@@ -156,17 +164,40 @@ class Lattice:
         self.count = np.bincount(node, minlength=n)
         self.first = np.cumsum(self.count) - self.count
         self.last = end  # per node: where its chunk ends
-        beta = np.zeros(n + 1)
+        # sums over all completions: as they are, but for chunks where doubles may not hold them
+        every = np.exp(weight)
+        least = lengths * v.weight.min()
+        np.add.at(least, np.searchsorted(self.start, odd, side="right") - 1, v.byte_weight * spelled)
+        deep = (least < DEEP_LOG) | (lengths > DEEP_CHARS)
+        total, beta = np.ones(n + 1), np.zeros(n + 1)
         left = end - np.arange(n)
-        by = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by], np.arange(1, int(left.max()) + 2)) if n else []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=False):
-            nodes = by[a:b]
-            e, at = _ranges(self.first[nodes], self.count[nodes])
-            x = weight[e] + beta[self.to[e]]
-            top = np.maximum.reduceat(x, at)
-            beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, self.count[nodes])), at))
+        for by, in_logs in ((np.flatnonzero(~np.repeat(deep, lengths + 1)), False), (np.flatnonzero(np.repeat(deep, lengths + 1)), True)):
+            if not len(by):
+                continue
+            by = by[np.argsort(left[by] if in_logs else left[by].astype(np.int16), kind="stable")]
+            bounds = np.searchsorted(left[by], np.arange(1, int(left[by[-1]]) + 2))
+            nodes = by[bounds[0] :]
+            if not len(nodes):
+                continue
+            edges, begins = _ranges(self.first[nodes], self.count[nodes])
+            begins = np.r_[begins, len(edges)]
+            to, step, count = self.to[edges], (weight if in_logs else every)[edges], self.count[nodes]
+            bounds -= bounds[0]
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                if i == j:
+                    continue
+                a, b = begins[i], begins[j]
+                at = begins[i:j] - a
+                if in_logs:
+                    x = step[a:b] + beta[to[a:b]]
+                    top = np.maximum.reduceat(x, at)
+                    beta[nodes[i:j]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[i:j])), at))
+                else:
+                    total[nodes[i:j]] = np.add.reduceat(step[a:b] * total[to[a:b]], at)
+            if not in_logs:
+                beta[nodes] = np.log(total[nodes])
         self.share = weight + beta[self.to] - beta[node]
+        self.wait = np.exp(np.minimum(-self.share, 690.0))
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +208,10 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _race(counter: np.ndarray) -> np.ndarray:
     """Exponential variables of rate 1, one per counter: a Gumbel variable is minus the logarithm of one."""
-    u = ((splitmix(counter) >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / float(1 << 53))
-    return -np.log(u)
+    u = (splitmix(counter) >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u *= 1.0 / float(1 << 53)
+    return np.negative(np.log(u, out=u), out=u)
 
 
 def _least(time: np.ndarray, doc: np.ndarray, n: int, keep: int) -> np.ndarray:
@@ -196,21 +229,38 @@ def _least(time: np.ndarray, doc: np.ndarray, n: int, keep: int) -> np.ndarray:
     return np.concatenate(out) if out else left[:0]
 
 
-def _log_times(lat: Lattice, node: np.ndarray, step: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all edges of some nodes: the edge, which node it leaves, the logarithm of its time since the node; and where each node's edges start."""
-    count = lat.count[node]
-    e, at = _ranges(lat.first[node], count)
+def _first(time: np.ndarray, begin: np.ndarray, keep: int) -> np.ndarray:
+    """_least of times that are in the order of their docs, of which each begins at its place."""
+    count = np.diff(np.r_[begin, len(time)])
+    docs = np.flatnonzero(count)
+    out: list[np.ndarray] = []
+    for _ in range(keep if len(docs) else 0):
+        best = np.minimum.reduceat(time, begin[docs])
+        hit = np.flatnonzero((time == np.repeat(best, count[docs])) & (time < np.inf))
+        doc = np.searchsorted(begin[docs], hit, side="right")
+        out.append(hit[np.r_[True, doc[1:] != doc[:-1]][: len(hit)]])
+        time = time.copy()
+        time[out[-1]] = np.inf
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+
+
+def _times(lat: Lattice, node: np.ndarray, step: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all edges of some nodes: the edge, which node it leaves, its time since the node; and where each node's edges start."""
+    first, count = lat.first[node], lat.count[node]
+    e, at = _ranges(first, count)
     own = np.repeat(np.arange(len(node)), count)
+    mult = np.uint64(0xD6E8FEB86659FD93)
     with np.errstate(over="ignore"):
-        base = seed + step.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-        race = _race(base[own] + (np.arange(len(own)) - at[own]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return e, own, np.log(race) - lat.share[e], at
+        base = seed + step.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) - first.astype(np.uint64) * mult
+        time = _race(base[own] + e.view(np.uint64) * mult)
+    time *= lat.wait[e]
+    return e, own, time, at
 
 
-def _later(time: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log(exp(time) - exp(first)), infinite where time is."""
+def _delay(time: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log(time - first), infinite where time is."""
     with np.errstate(divide="ignore"):
-        return time + np.log1p(-np.exp(first - time))
+        return np.log(time - first)
 
 
 def _walk(lat: Lattice, occ: np.ndarray, node: np.ndarray, step: np.ndarray, seed: np.ndarray) -> list[np.ndarray]:
@@ -223,13 +273,13 @@ def _walk(lat: Lattice, occ: np.ndarray, node: np.ndarray, step: np.ndarray, see
     """
     took: list[tuple[np.ndarray, ...]] = []
     while len(occ):
-        e, own, time, at = _log_times(lat, node, step, seed)
+        e, own, time, at = _times(lat, node, step, seed)
         first = np.minimum.reduceat(time, at)
         pick = np.flatnonzero(time == first[own])
         if len(pick) > len(occ):
             pick = pick[np.unique(own[pick], return_index=True)[1]]
         time[pick] = np.inf
-        took.append((occ, step, e[pick], node, _later(np.minimum.reduceat(time, at), first)))
+        took.append((occ, step, e[pick], node, _delay(np.minimum.reduceat(time, at), first)))
         node = lat.to[e[pick]]
         go = node < lat.last[node - 1]
         occ, node, step, seed = occ[go], node[go], step[go] + 1, seed[go]
@@ -250,11 +300,11 @@ def _siblings(lat: Lattice, path: dict[str, np.ndarray], time: np.ndarray, seeds
         if b > a + 1:
             np.cumsum(share[a : b - 1], out=before[a + 1 : b])
     # the steps with the keep least first siblings have the keep least of all
-    some = _least(path["gap"] - before, owner[o], n, keep)
+    some = _first(path["gap"] - before, path["begin"], keep)
     if not len(some):
         return np.empty(0), *[np.empty(0, dtype=np.int64)] * 3
-    e, own, t, at = _log_times(lat, path["node"][some], s[some], seeds(o[some]))
-    late = _later(t, np.minimum.reduceat(t, at)[own])
+    e, own, t, at = _times(lat, path["node"][some], s[some], seeds(o[some]))
+    late = _delay(t, np.minimum.reduceat(t, at)[own])
     late[e == path["e"][some][own]] = np.inf
     at, late = some[own], late - before[some][own]
     arrive = np.logaddexp(time[owner[o[at]]], late)
@@ -272,8 +322,9 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = 2,
     cut = [chunks(t or "") for t in texts]
     sizes = np.array([len(x) for x in cut], dtype=np.int64)
     every = [c for x in cut for c in x]
-    known = {c: i for i, c in enumerate(dict.fromkeys(every))}
-    lat, word = Lattice(v, list(known)), np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+    words = list(dict.fromkeys(every))
+    known = dict(zip(words, range(len(words)), strict=True))
+    lat, word = Lattice(v, words), np.fromiter(map(known.__getitem__, every), np.int64, len(every))
     n, owner = len(texts), np.repeat(np.arange(len(texts)), sizes)
     begin = np.cumsum(sizes) - sizes
     place = np.arange(len(word)) - begin[owner]
@@ -351,15 +402,16 @@ def _log_arrived(x: float) -> float:
 
 
 def _ordered(tokens: list[np.ndarray], owner: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Tokens in text order, and where each text's begin. Only tokens with a finite gap have a node that counts."""
-    order = np.lexsort((tokens[1], tokens[0]))
+    """Tokens in text order, and where each text's begin; those of an occurrence come with rising steps. Only tokens with a finite gap have a node that counts."""
+    order = np.argsort(tokens[0], kind="stable")
     o, s, e, node, gap = (x[order] for x in tokens)
     return {"o": o, "s": s, "e": e, "node": node, "gap": gap, "begin": np.searchsorted(owner[o], np.arange(n)) if len(o) else np.zeros(n, dtype=np.int64)}
 
 
 def decode(v: Vocabulary, ids: np.ndarray | list[int]) -> str:
     """The text of piece numbers: byte pieces joined, white space marks turned back, the added first one taken off."""
-    return b"".join(map(v.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
+    ids = np.asarray(ids, dtype=np.int64)
+    return v.spelled[_ranges(v.spelled_at[ids], v.spelled_len[ids])[0]].tobytes().decode("utf-8", "replace")[1:]
 
 
 SAMPLES = "sample int, pieces array<int>, log_prob double, perturbed double, log_inclusion double"
@@ -390,7 +442,7 @@ def encode_samples(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
         numbers = pa.array(np.concatenate([*[np.arange(1, len(x) + 1) for x in got], np.empty(0, dtype=np.int64)]).astype(np.int32))
         cols += [numbers, pieces, *(pa.array([s[j] for s in flat], pa.float64()) for j in (1, 2, 3))]
         if digest:
-            cols.append(pa.array([hashlib.sha256(decode(v, s[0].tolist()).encode()).hexdigest() for s in flat], pa.string()))
+            cols.append(pa.array([hashlib.sha256(decode(v, s[0]).encode()).hexdigest() for s in flat], pa.string()))
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
