@@ -223,3 +223,16 @@ def test_no_shuffle_files_stay_behind_written_tables(spark):
     lm.score(df, model, words, ["doc_id"], where=where)
     time.sleep(2)
     assert shuffles.size() <= before + 2  # those of what ran last
+
+
+def test_places_are_sent_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET", 700)
+    labels, real, rows, got = [], lm.materialize, corpus(), []
+    monkeypatch.setattr(lm, "materialize", lambda df, label, *a: labels.append(label) or real(df, label, *a))
+    for turns in (1, 3):
+        monkeypatch.setattr(lm, "PASSES", turns)
+        labels.clear()
+        _, said = run(spark, rows, state_share=0.01, word_share=1e-6)
+        got.append(sorted(((r["doc_id"], r["score"]) for r in said), key=str))
+        assert labels.count("lm-gains") == turns and labels.count("lm-settled") == 1
+    assert all(d == e and abs(x - y) < 1e-9 for (d, x), (e, y) in zip(*got, strict=True))

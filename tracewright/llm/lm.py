@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ ROW_WORDS = 16_384
 LONG = 128
 #: Training places that one branch may have; places that a task buffers before it hands them on, and that a bucket has.
 GROUP, BUFFER, BUCKET = 1 << 19, 1 << 20, 1 << 19
+#: Turns in which the buckets' places are sent, so that a part of them is on disk at a time.
+PASSES = 2
 #: Joint probability from which a trunk state's next symbol is in the broadcast.
 ENTRY_SHARE = 2e-6
 #: Length of a branch where there is none.
@@ -550,25 +553,31 @@ def _grow(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray]:
     start = np.where(columns[-2] > 1, 1.0, start)  # of settled places, nothing is in the trunk's sum
     changed = np.flatnonzero(p != start)
     rows, to = np.unique(row[changed], return_inverse=True)
-    return rows, np.bincount(to, np.log10(p[changed] / start[changed]), len(rows))
+    return rows, np.bincount(to, np.log10(p[changed] / start[changed]), len(rows)).astype(np.float64)  # of nothing it counts in integers
 
 
 def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
-    """(row, gain): what branches and places apart add to the score of each text. Each task holds one bucket of whole groups at a time."""
-    shared, buckets = full.sparkSession.sparkContext.broadcast(model), -(-places // BUCKET)
+    """(row, gain): what branches and places apart add to the score of each text. Each task holds one bucket of whole groups at a time.
 
-    def out(held: list, depth: int) -> pa.RecordBatch:
+    All buckets are sent, in PASSES turns: the shuffled places of one turn are deleted before the next, at the price of
+    walking the texts once a turn.
+    """
+    shared, buckets, turns = full.sparkSession.sparkContext.broadcast(model), -(-places // BUCKET), PASSES
+
+    def out(held: list, depth: int, turn: int | None = None) -> pa.RecordBatch:
         squeeze = zstandard.ZstdCompressor(level=1)
         key = np.concatenate([k for k, _ in held])
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
+        if turn is not None:
+            order = order[bucket[order] % turns == turn]
         cols = [np.concatenate(c)[order] for c in zip(*(c for _, c in held), strict=True)]
         names, at = np.unique(bucket[order], return_index=True)
-        blobs = [squeeze.compress(_pack([c[i:j] for c in cols], _kinds(depth))) for i, j in zip(at, [*at[1:], len(key)], strict=True)]
-        sizes = np.diff([*at, len(key)])
+        blobs = [squeeze.compress(_pack([c[i:j] for c in cols], _kinds(depth))) for i, j in zip(at, [*at[1:], len(order)][: len(at)], strict=True)]
+        sizes = np.diff([*at, len(order)])
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "places", "blob"])
 
-    def sender(apart: bool) -> Callable:
+    def sender(apart: bool, turn: int | None = None) -> Callable:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, held, size = shared.value, [], 0
             for batch in batches:
@@ -578,10 +587,10 @@ def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
                     held.append(_places(_walk(*(part.column(j).to_pylist() for j in (2, 3, 4)), m), rows, train.astype(bool), m, apart))
                     size += len(held[-1][0])
                     if size > BUFFER:
-                        yield out(held, m.depth)
+                        yield out(held, m.depth, turn)
                         held, size = [], 0
             if size:
-                yield out(held, m.depth)
+                yield out(held, m.depth, turn)
 
         return send
 
@@ -615,11 +624,22 @@ def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(gain)], names=["row", "gain"])
 
     texts, blobs = full.select("row", "train", "ids", "marks", "counts"), "bucket long, places long, blob binary"
-    sent = texts.mapInArrow(sender(False), blobs)
+    settled = None
     if model.whole and model.levels:
-        sent = sent.unionByName(texts.mapInArrow(sender(True), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, blobs))
-    grown = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(grow, "row long, gain double")
-    return grown.groupBy("row").agg(F.sum("gain").alias("gain"))
+        settled = materialize(texts.mapInArrow(sender(True), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, blobs), "lm-settled")
+        release_shuffles(full.sparkSession)
+    gains = []
+    for turn in range(turns):
+        sent = texts.mapInArrow(sender(False, turn), blobs)
+        if settled is not None:
+            sent = sent.unionByName(settled.where(F.col("bucket") % turns == turn))
+        grown = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(grow, "row long, gain double")
+        gains.append(materialize(grown.groupBy("row").agg(F.sum("gain").alias("gain")), "lm-gains"))
+        del sent, grown
+        release_shuffles(full.sparkSession)
+    if settled is not None:
+        discard(settled)
+    return reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[str], text_col: str = "text", where: Column | None = None) -> DataFrame:
