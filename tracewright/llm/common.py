@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import shutil
 import tempfile
@@ -99,6 +100,13 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, PART)
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sparing(run: Callable) -> Callable:
     """run, a function for mapInArrow, whose worker gives freed memory back to the system when its task ends: workers live on between tasks."""
 
@@ -106,9 +114,21 @@ def sparing(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
+
+    return spared
+
+
+def spared_driver(fit: Callable) -> Callable:
+    """fit, after which the driver gives freed memory back to the system: the sampled rows' many small arrays else stay with it for the rest of the session."""
+
+    @functools.wraps(fit)
+    def spared(*args, **options):
+        try:
+            return fit(*args, **options)
+        finally:
+            gc.collect()
+            give_back()
 
     return spared
 

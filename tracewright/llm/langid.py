@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracewright.llm.common import byte_ngrams, hashed_sample, parts, sparing
+from tracewright.llm.common import byte_ngrams, hashed_sample, parts, spared_driver, sparing
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -168,6 +168,7 @@ def train_counted(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], d
     return model
 
 
+@spared_driver
 def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, **options) -> Model:
     """Train on at most max_rows rows of docs that meet the condition and have a text and a language, evenly by language.
 

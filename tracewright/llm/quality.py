@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from tracewright.llm.common import byte_ngrams, hashed_sample, parts, sparing
+from tracewright.llm.common import byte_ngrams, hashed_sample, parts, spared_driver, sparing
 
 #: Symbols of a recurrence: no earlier occurrence, then octaves of the distance; words of an n-gram of them.
 OCTAVES, ORDER = 8, 4
@@ -164,6 +164,7 @@ def train_indicators(docs: list[np.ndarray], labels: list[int], prior: float | N
     return model
 
 
+@spared_driver
 def fit(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, **options) -> Model:
     """Train on at most max_rows labelled rows (evenly by class, lowest seeded hash first) that meet the condition on the id.
 
