@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracewright.llm import common, lm
@@ -236,3 +237,31 @@ def test_places_are_sent_in_turns(spark, monkeypatch):
         got.append(sorted(((r["doc_id"], r["score"]) for r in said), key=str))
         assert labels.count("lm-gains") == turns and labels.count("lm-settled") == 1
     assert all(d == e and abs(x - y) < 1e-9 for (d, x), (e, y) in zip(*got, strict=True))
+
+
+def test_tokens_are_the_words_that_bytes_are_cut_into():
+    texts = [None, b"", b" \n\x0b", b" The\tthe\x0cEND ", b"\xff\xfe Bad \x85x\xc2\xa0 y", "ÄÖ İx".encode(), b"W" * 200 + b" a " + b"w" * 200, b"x " * 50_000, b"last"]
+    for kind in (pa.binary(), pa.large_binary()):
+        got = []
+        for first, sizes, codes, words in lm.tokens_of(pa.array([b"cut off", *texts], kind).slice(1)):
+            assert first == len(got)
+            for part in np.split(codes, np.cumsum(sizes)[:-1]):
+                got.append([words[c] for c in part])
+        want = [[*(t or b"").lower().split(), b"\n"] for t in texts]
+        assert [[b"long" if w[:1] == b"\n" and len(w) > 1 else w for w in t] for t in got] == [[w if len(w) <= lm.LONG else b"long" for w in t] for t in want]
+        assert got[6][0] == got[6][2] != got[6][1] and len(got[6][0]) <= lm.LONG
+
+
+def test_texts_are_numbered_once_for_the_trunk_and_the_scores(spark, monkeypatch):
+    rows, calls, numbered = corpus(), [], lm._numbered
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    where = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    monkeypatch.setattr(lm, "_numbered", lambda *a: calls.append(a) or numbered(*a))
+    model, words = lm.fit(df, where, state_share=1e-2, depth=2)
+    assert len(model.levels)
+    apart = lm.score(df, model, words, ["doc_id"], where=where).collect()
+    calls.clear()
+    together = lm.fit_and_score(df, where, ["doc_id"], state_share=1e-2, depth=2).collect()
+    assert len(calls) == 1
+    rounded = [sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in x), key=str) for x in (apart, together)]
+    assert rounded[0] == rounded[1]

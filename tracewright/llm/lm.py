@@ -26,15 +26,17 @@ import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
-from tracewright.llm.common import discard, materialize, release_shuffles, splitmix, words_of
+from tracewright.llm.common import discard, materialize, release_shuffles, splitmix
 
 #: The end of a text as a token: white space can't be a word.
 END = "\n"
@@ -43,10 +45,10 @@ BITS = 20
 MASK = (1 << BITS) - 1
 #: Distinct words or word groups that a task holds before it hands partial counts on.
 HELD = 400_000
-#: Word numbers in a row of the numbered texts, or a text's if it has more.
-ROW_WORDS = 16_384
 #: Longer words are counted and looked up by a digest, so keys are short.
 LONG = 128
+#: Bytes of texts, or a text's if it has more, whose words are told apart at once.
+PIECE = 1 << 22
 #: Training places that one branch may have; places that a task buffers before it hands them on, and that a bucket has.
 GROUP, BUFFER, BUCKET = 1 << 19, 1 << 20, 1 << 19
 #: Turns in which the buckets' places are sent, so that a part of them is on disk at a time.
@@ -59,12 +61,44 @@ NONE = 255
 END_MARK = -(1 << 62)
 
 
-def tokens_of(data: bytes | None) -> list[bytes]:
-    """The words of a text, a long one as a digest that no word can be equal to."""
-    words = words_of(data)
-    if data and len(data) > LONG and max(map(len, words), default=0) > LONG:
-        words = [w if len(w) <= LONG else END.encode() + hashlib.md5(w).hexdigest().encode() for w in words]
-    return words
+def tokens_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """Tokens of binary texts, a piece of whole texts at a time: the first text's place, each text's number of tokens, the joined tokens as places in a list of distinct ones, and that list.
+
+    A long word stands there as a digest that no word can be equal to; the end of a text is its last token.
+    """
+    texts, kind = texts.fill_null(b""), pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    piece = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if i == j:
+            continue
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, j - i).view(kind)))  # bytes are not checked, nor need they be UTF-8
+        told = cut.flatten().dictionary_encode()
+        codes, words = told.indices.to_numpy().astype(np.int64), told.dictionary.view(texts.type).to_pylist()
+        text = np.repeat(np.arange(j - i), pc.list_value_length(cut).to_numpy())
+        if b"" in words:  # beside white space at a text's edges
+            real = codes != words.index(b"")
+            codes, text = codes[real], text[real]
+        sizes = np.bincount(text, minlength=j - i)
+        codes = np.insert(codes, np.cumsum(sizes), len(words))
+        if max(map(len, words), default=0) > LONG:
+            words = [w if len(w) <= LONG else END.encode() + hashlib.md5(w).hexdigest().encode() for w in words]
+        yield i, sizes + 1, codes, [*words, END.encode()]
+
+
+def _ids_of(codes: np.ndarray, words: list[bytes], numbers: dict[bytes, int], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of the tokens of rows of these sizes: their numbers (-i for the i-th of the row's words that have none), as planes of bytes, where each row begins, and those words of each row."""
+    ids = np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))[codes]
+    at = np.flatnonzero(ids == 0)
+    pairs, which = np.unique(np.repeat(np.arange(len(sizes)), sizes)[at] * len(words) + codes[at], return_inverse=True)
+    row, code = pairs // len(words), pairs % len(words)
+    of_row = np.bincount(row, minlength=len(sizes))
+    begin = np.cumsum(of_row) - of_row
+    ids[at] = (begin[row] - np.arange(len(pairs)) - 1)[which]
+    named, where = np.unique(code, return_inverse=True)
+    names = pa.array([words[c].decode("utf-8", "replace") for c in named.tolist()], pa.string())
+    odd = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(pairs)], pa.int32()), names.take(pa.array(where)))
+    return np.ascontiguousarray(ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T), np.r_[0, np.cumsum(sizes)], odd
 
 
 @dataclass
@@ -184,12 +218,11 @@ def count_words(docs: DataFrame, where: Column, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
-        end = END.encode()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in tokens_of(text):
-                    held[w] = held.get(w, 0) + 1
-                held[end] = held.get(end, 0) + 1
+            for _, _, codes, words in tokens_of(batch.column(0)):
+                for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                    if n:
+                        held[w] = held.get(w, 0) + n
                 if len(held) > HELD:
                     yield out(held)
                     held = {}
@@ -198,24 +231,21 @@ def count_words(docs: DataFrame, where: Column, text_col: str = "text") -> DataF
     return _texts(docs, where, text_col).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _numbered(docs: DataFrame, where: Column, text_col: str, model: Model) -> DataFrame:
-    """(ids, odd): word numbers of whole training texts, each with its end, ROW_WORDS or more in a row (32 bits each; -i for the i-th of the row's words that have none), so that each level reads numbers, not texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.numbers)
+def _given(docs: DataFrame, id_cols: list[str]) -> tuple[list[str], list[str]]:
+    """Names and declared types of the id columns in tables of numbered texts."""
+    names = [f"__id{i}" for i in range(len(id_cols))]
+    return names, [f"{x} {dict(docs.dtypes)[c]}" for c, x in zip(id_cols, names, strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, ending = shared.value.get, END.encode()
-        for batch in batches:
-            rows, odd, ids, other = [], [], [], {}
-            texts = batch.column(0).to_pylist()
-            for i, text in enumerate(texts):
-                ids += [get(w) or other.setdefault(w, -len(other) - 1) for w in [*tokens_of(text), ending]]
-                if len(ids) >= ROW_WORDS or i + 1 == len(texts):
-                    rows.append(np.array(ids, dtype=np.int32).tobytes())
-                    odd.append([w.decode("utf-8", "replace") for w in other])
-                    ids, other = [], {}
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(odd, pa.list_(pa.string()))], names=["ids", "odd"])
 
-    return materialize(_texts(docs, where, text_col).mapInArrow(run, "ids binary, odd array<string>"), "lm-numbers")
+def _numbered(docs: DataFrame, train: Column, id_cols: list[str], text_col: str, numbers: dict[bytes, int]) -> DataFrame:
+    """(row, train, ids, size, ids, odd), written down: the texts' word numbers as _numbers_of gives them, which the levels of the trunk and the scores read instead of texts."""
+    shared, (names, types) = docs.sparkSession.sparkContext.broadcast(numbers), _given(docs, id_cols)
+    given = docs.select(F.monotonically_increasing_id().alias("row"), train.alias("train"), *[F.col(c).alias(x) for c, x in zip(id_cols, names, strict=True)], F.col(text_col).cast("binary").alias("__t"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _numbers_of(batches, shared.value)
+
+    return materialize(given.mapInArrow(number, ", ".join(["row long, train boolean", *types, "size long, ids binary, odd array<string>"])), "lm-local")
 
 
 def _count_groups(numbered: DataFrame, model: Model, wanted: np.ndarray, longer: float | None) -> DataFrame:
@@ -231,33 +261,35 @@ def _count_groups(numbered: DataFrame, model: Model, wanted: np.ndarray, longer:
         model, wanted = shared.value
         keys, odd, held = [], {}, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw, words = np.frombuffer(batch.column(0)[i].as_py(), dtype=np.int32).astype(np.int64), batch.column(1)[i].as_py()
-                keys.append(_pairs(raw, words, model, wanted, longer is not None, odd))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                raw, sizes = _raw(part.column(0).to_pylist())
+                words = part.column(1)
+                offset = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+                raw = np.where(raw < 0, raw - np.repeat(np.r_[0, offset[:-1]], sizes), raw)
+                keys.append(_pairs(raw, sizes, words.flatten(), model, wanted, longer is not None, odd))
                 held += len(keys[-1])
                 if held > 8 * HELD or len(odd) > HELD:
                     yield out(keys, odd)
                     keys, odd, held = [], {}, 0
         yield out(keys, odd)
 
-    counted = numbered.mapInArrow(run, "key long, w string, n long").groupBy("key", "w").agg(F.sum("n").alias("n"))
+    counted = numbered.where("train").select("ids", "odd").mapInArrow(run, "key long, w string, n long").groupBy("key", "w").agg(F.sum("n").alias("n"))
     return materialize(counted if longer is None else counted.where((F.col("key") >= 0) | (F.col("n") >= F.lit(longer))), "lm-groups")
 
 
-def _pairs(raw: np.ndarray, words: list[str], model: Model, wanted: np.ndarray, longer: bool, odd: dict[tuple[int, str], int]) -> np.ndarray:
-    """context number << BITS | symbol wherever a wanted context is followed by a numbered symbol, and the complement of context number << BITS | word wherever a numbered word comes before it; other followers are counted in odd. raw: whole texts, joined, each with its end; -i for the i-th of the words."""
-    if not len(raw):
-        return raw
-    end = model.end or (-1 - words.index(END) if END in words else 0)
-    ids, first, depth = np.maximum(raw, 0), np.r_[True, raw[:-1] == end], len(model.levels)
+def _pairs(raw: np.ndarray, sizes: np.ndarray, words: pa.Array, model: Model, wanted: np.ndarray, longer: bool, odd: dict[tuple[int, str], int]) -> np.ndarray:
+    """context number << BITS | symbol wherever a wanted context is followed by a numbered symbol, and the complement of context number << BITS | word wherever a numbered word comes before it; other followers are counted in odd. raw: whole texts of these sizes, joined, each with its end; -i for the i-th of the words."""
+    ids, first, depth = np.maximum(raw, 0), np.zeros(len(raw), dtype=bool), len(model.levels)
+    first[np.cumsum(sizes) - sizes] = True
     suffix = model.states(ids, first)[-1] if depth else None
     c = _find(wanted, _keys(_before(ids, first, depth + 1, model.end), suffix))
     at = np.flatnonzero((c >= 0) & (ids > 0))
     pairs = c[at] << BITS | ids[at]
     if model.whole:
         at = np.flatnonzero((c >= 0) & (raw < 0))
-        for key, i in zip((c[at] << BITS).tolist(), (-1 - raw[at]).tolist(), strict=True):
-            odd[key, words[i]] = odd.get((key, words[i]), 0) + 1
+        for x in zip((c[at] << BITS).tolist(), words.take(pa.array(-1 - raw[at])).to_pylist(), strict=True):
+            odd[x] = odd.get(x, 0) + 1
     if not longer:
         return pairs
     far = _before(ids, first, depth + 2, model.end)
@@ -342,6 +374,22 @@ def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: floa
     is bounded, however long the corpus is: 1/word_share words, 1/ENTRY_SHARE entries and 2**BITS contexts a level. Branches,
     the contexts of min_count occurrences or more that are too rare for that, are counted as texts are scored.
     """
+    model, vocabulary, numbered = _fit(docs, where, None, text_col, word_share, state_share, entry_share, min_nats, discount, depth, min_count)
+    if numbered is not None:
+        discard(numbered)
+    return model, vocabulary
+
+
+def fit_and_score(docs: DataFrame, where: Column, id_cols: list[str], text_col: str = "text", word_share: float = 1e-6, state_share: float | None = None, entry_share: float | None = None, min_nats: float = 10.0, discount: float = 0.75, depth: int = 4, min_count: int | None = 2) -> DataFrame:
+    """What score gives with a model that fit learns from the same rows: the words of a text are told apart and numbered once for both."""
+    model, vocabulary, numbered = _fit(docs, where, id_cols, text_col, word_share, state_share, entry_share, min_nats, discount, depth, min_count)
+    said = _score(docs, model, vocabulary, id_cols, text_col, where, numbered)
+    discard(vocabulary)  # looked up when scores return
+    return said
+
+
+def _fit(docs: DataFrame, where: Column, id_cols: list[str] | None, text_col: str, word_share: float, state_share: float | None, entry_share: float | None, min_nats: float, discount: float, depth: int, min_count: int | None) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model, the table of words and, if a trunk needed them, the numbered texts: with id columns those of all rows, else of the training rows."""
     if min(word_share, state_share or 1.0) < 2.0**-BITS:
         raise ValueError(f"word_share and state_share are at least 2**-{BITS}")
     vocabulary = materialize(count_words(docs, where, text_col).withColumn("id", F.monotonically_increasing_id()), "lm-words")
@@ -358,9 +406,11 @@ def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: floa
     entry = max((ENTRY_SHARE if entry_share is None else entry_share) * tokens, 1.0)
     contexts = np.flatnonzero(counts >= least).astype(np.int64)
     contexts, sizes = contexts[contexts > 0], counts[contexts[contexts > 0]]
-    numbered = _numbered(docs, where, text_col, model) if len(contexts) else None
+    train, numbered = F.coalesce(where, F.lit(True)), None
+    if len(contexts):
+        numbered = _numbered(docs.where(train), F.lit(True), [], text_col, numbers) if id_cols is None else _numbered(docs, train, id_cols, text_col, numbers)
     above = vocabulary.select(F.lit(-1).cast("long").alias("u"), F.lit(0).cast("long").alias("s"), F.col("token").alias("w"), ((F.col("n") + 1) / F.lit(float(model.total))).alias("p"))
-    written = [numbered] if numbered is not None else []
+    written = []
     while len(contexts) and len(model.levels) < depth:
         last = len(model.levels) + 1 == depth
         groups = _count_groups(numbered, model, contexts, None if last else least)
@@ -385,23 +435,18 @@ def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: floa
     for df in written:
         discard(df)
     release_shuffles(docs.sparkSession)
-    return model, vocabulary
+    return model, vocabulary, numbered
 
 
 def _numbers_of(batches: Iterator[pa.RecordBatch], numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """The last column (a text) replaced by its number of tokens, their word numbers (-i for the i-th of the text's words that have none; squeezed) and those words."""
-    get, ending, squeeze = numbers.get, END.encode(), zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        sizes, ids, odd = [], [], []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            other: dict[bytes, int] = {}
-            row = [get(w) or other.setdefault(w, -len(other) - 1) for w in tokens_of(text)]
-            row.append(get(ending) or other.setdefault(ending, -len(other) - 1))
-            sizes.append(len(row))
-            ids.append(squeeze.compress(np.array(row, dtype=np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()))
-            odd.append([w.decode("utf-8", "replace") for w in other])
-        cols = [pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(odd, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*batch.schema.names[:-1], "size", "ids", "odd"])
+        for first, sizes, codes, words in tokens_of(batch.column(batch.num_columns - 1)):
+            planes, at, odd = _ids_of(codes, words, numbers, sizes)
+            ids = [squeeze.compress(planes[:, i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
+            kept = [c.slice(first, len(sizes)) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), odd], names=[*batch.schema.names[:-1], "size", "ids", "odd"])
 
 
 @dataclass
@@ -421,13 +466,17 @@ class Walk:
     apart: np.ndarray
 
 
-def _walk(ids: list[bytes], marks: list[list[int] | None], counts: list[list[int] | None], m: Model) -> Walk:
+def _raw(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Squeezed texts of numbers, joined, and the size of each."""
     stretch = zstandard.ZstdDecompressor()
     planes = (np.frombuffer(stretch.decompress(x), dtype=np.uint8).reshape(4, -1) for x in ids)
     texts = [np.ascontiguousarray(x.T).view(np.int32).ravel() for x in planes]
-    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    return np.concatenate(texts).astype(np.int64), np.array([len(x) for x in texts], dtype=np.int64)
+
+
+def _walk(ids: list[bytes], marks: list[list[int] | None], counts: list[list[int] | None], m: Model) -> Walk:
+    raw, sizes = _raw(ids)
     starts = np.cumsum(sizes) - sizes
-    raw = np.concatenate(texts).astype(np.int64)
     offset = np.repeat(np.cumsum([0, *(len(x or ()) for x in marks[:-1])]), sizes)
     odd = np.flatnonzero(raw < 0)
     place = offset[odd] - raw[odd] - 1
@@ -507,7 +556,7 @@ def _pack(columns: list[np.ndarray], kinds: list[type]) -> bytes:
     """Columns as planes of bytes, which compress well: the row as differences, probabilities with 16 bits of fraction."""
     p, row = columns[-3].view(np.uint32) & np.uint32(0xFFFFFF80), np.diff(columns[-1], prepend=0)
     out = [*columns[:-3], p, columns[-2], row]
-    return b"".join(c.astype(t if t is not np.float32 else np.uint32, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in zip(out, kinds, strict=True))
+    return b"".join(np.ascontiguousarray(c.astype(t if t is not np.float32 else np.uint32, copy=False).view(np.uint8).reshape(len(c), -1).T).tobytes() for c, t in zip(out, kinds, strict=True))
 
 
 def _unpack(raw: bytes, size: int, kinds: list[type]) -> list[np.ndarray]:
@@ -532,12 +581,12 @@ def _grow(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(alive & (length <= k + 1))
         if not len(at):
             continue
-        at = at[np.lexsort((symbol[at], key[at]))]
-        c, s = key[at], symbol[at]
-        new = np.r_[True, c[1:] != c[:-1]]
-        pair = np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])]
+        both = _longer(key[at], symbol[at])  # one sort by a hash of context and symbol, then one of the contexts of its distinct values
+        order = np.argsort(both)
+        at, both = at[order], both[order]
+        pair = np.r_[True, both[1:] != both[:-1]]
         of_pair, heads = np.cumsum(pair) - 1, np.flatnonzero(pair)
-        context = (np.cumsum(new) - 1)[heads]
+        context = np.unique(key[at[heads]], return_inverse=True)[1]
         n = np.bincount(of_pair, train[at], len(heads))
         size = np.bincount(context, n)
         seen = n > 0
@@ -566,11 +615,10 @@ def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
 
     def out(held: list, depth: int, turn: int | None = None) -> pa.RecordBatch:
         squeeze = zstandard.ZstdCompressor(level=1)
-        key = np.concatenate([k for k, _ in held])
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        if turn is not None:
-            order = order[bucket[order] % turns == turn]
+        bucket = (np.concatenate([k for k, _ in held]) % np.uint64(buckets)).astype(np.int64)
+        order = np.arange(len(bucket)) if turn is None else np.flatnonzero(bucket % turns == turn)
+        few = bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+        order = order[np.argsort(few, kind="stable")]
         cols = [np.concatenate(c)[order] for c in zip(*(c for _, c in held), strict=True)]
         names, at = np.unique(bucket[order], return_index=True)
         blobs = [squeeze.compress(_pack([c[i:j] for c in cols], _kinds(depth))) for i, j in zip(at, [*at[1:], len(order)][: len(at)], strict=True)]
@@ -651,18 +699,18 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[st
     broadcast are looked up by a join in which frequent ones are broadcast. Only words that no training text has, such as one
     that every held-out text has, can be frequent there. An empty table gives an empty result.
     """
+    return _score(docs, model, vocabulary, id_cols, text_col, where, None)
+
+
+def _score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[str], text_col: str, where: Column | None, local: DataFrame | None) -> DataFrame:
+    """local: the numbered texts of docs with the id columns, if they are there already."""
     if where is None:
         model = replace(model, levels=[replace(x, rest=x.alone) for x in model.levels], whole=False)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     train = F.coalesce(where, F.lit(True)) if where is not None else F.lit(False)
-    names = [f"__id{i}" for i in range(len(id_cols))]
-    given = docs.select(F.monotonically_increasing_id().alias("row"), train.alias("train"), *[F.col(c).alias(x) for c, x in zip(id_cols, names, strict=True)], F.col(text_col).cast("binary").alias("__t"))
-    types = [f"{x} {dict(docs.dtypes)[c]}" for c, x in zip(id_cols, names, strict=True)]
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _numbers_of(batches, shared.value.numbers)
-
-    local = materialize(given.mapInArrow(number, ", ".join(["row long, train boolean", *types, "size long, ids binary, odd array<string>"])), "lm-local")
+    names, types = _given(docs, id_cols)
+    if local is None:
+        local = _numbered(docs, train, id_cols, text_col, model.numbers)
     odd = local.select("row", "train", F.posexplode("odd").alias("pos", "token"))
     mark = F.when(F.col("id").isNull(), F.lit(-1)).when(F.col("token") == END, F.lit(END_MARK)).otherwise(F.lit(-2) - F.col("id"))
     look = lambda rows, side: rows.join(side, "token", "left").select(*rows.columns, F.coalesce("n", F.lit(0).cast("long")).alias("n"), mark.cast("long").alias("mark"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import chat, jpeg, langid, lm, mix, quality, simhash, spm, srs, warc
-from tracewright.llm.common import crc_mod, discard, table
+from tracewright.llm.common import crc_mod, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +37,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learnt = crc_mod("doc_id", 7) != 2
-    model, words = lm.fit(docs, learnt)
-    said = lm.score(docs, model, words, ["doc_id"], where=learnt)
-    discard(words)  # looked up when score returns
+    said = lm.fit_and_score(docs, learnt, ["doc_id"])
     return said.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
