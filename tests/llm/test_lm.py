@@ -265,3 +265,35 @@ def test_texts_are_numbered_once_for_the_trunk_and_the_scores(spark, monkeypatch
     assert len(calls) == 1
     rounded = [sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in x), key=str) for x in (apart, together)]
     assert rounded[0] == rounded[1]
+
+
+def test_next_words_of_the_trunk_are_counted_in_buckets_not_in_a_row_each(spark, monkeypatch):
+    rows = [(i, f"of the once{i} of b{i % 5}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, real = [], lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, label, *a: tables.append((label, real(df, label, *a))) or tables[-1][1])
+    monkeypatch.setattr(lm, "discard", lambda df: None)
+    model, _ = lm.fit(df, F.lit(True), state_share=0.1, depth=3)
+    assert len(model.levels[0].tried) == 3  # the end, of, the
+    numbers, level = model.numbers, model.levels[0]
+    kinds = {b"of": 1 + 5, b"the": 3000, b"\n": 1}
+    for word, n in kinds.items():
+        state = level.state(np.array([numbers[word]]))[0]
+        if state >= 0:
+            assert abs(level.rest[state] * level.sizes[state] - 0.75 * n) < 1e-6
+    assert level.state(np.array([numbers[b"the"]]))[0] >= 0
+    trunk = [(label, df.count()) for label, df in tables if label not in ("lm-words", "lm-local", "lm-full")]
+    assert trunk and max(n for _, n in trunk) < 100, trunk
+
+
+def test_gains_of_a_text_come_back_in_blobs_not_in_a_row_from_each_bucket(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET", 700)
+    kind = type(spark.range(1))
+    sent, real = [], kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema, *a, **kw: sent.append((schema, real(df, f, schema, *a, **kw))) or sent[-1][1])
+    monkeypatch.setattr(lm, "discard", lambda df: None)
+    rows = corpus()
+    _, got = run(spark, rows, state_share=0.01)
+    gains = [df for schema, df in sent if schema == "row long, gain double"]
+    assert len(gains) == lm.PASSES and all(df.count() <= len(rows) for df in gains)
+    assert len(got) == len(rows)

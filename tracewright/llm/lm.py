@@ -9,7 +9,7 @@ distribution sums to 1. A text is scored by the longest suffix state at each wor
 The tree is kept in two parts, and what it holds grows with the corpus. Its trunk, the contexts of GROUP occurrences or
 more, travels in a broadcast, with those of its next symbols that have a joint probability of ENTRY_SHARE or more. Places
 where any other known word follows a trunk state first go to the task of that state and word, which counts them; how many
-such words a state has and how far they diverge is counted in tables as the trunk grows. So where trunk and branches part
+such words a state has and how far they diverge is counted in packed buckets as the trunk grows. So where trunk and branches part
 changes the plan, not the tree. All other contexts are branches: each place in a text goes to the task of its shortest suffix that is no trunk
 context. That task sees every place with this suffix, so it counts all longer contexts, tests them and scores the places,
 with one shuffle for all lengths. GROUP bounds what one suffix brings there. A trunk has at most 2**BITS contexts of each
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
-from tracewright.llm.common import discard, materialize, release_shuffles, splitmix
+from tracewright.llm.common import discard, materialize, release_shuffles, sparing, splitmix
 
 #: The end of a text as a token: white space can't be a word.
 END = "\n"
@@ -55,6 +55,8 @@ GROUP, BUFFER, BUCKET = 1 << 19, 1 << 20, 1 << 19
 PASSES = 2
 #: Joint probability from which a trunk state's next symbol is in the broadcast.
 ENTRY_SHARE = 2e-6
+#: What is sent in buckets.
+BLOBS = "bucket long, places long, blob binary"
 #: Length of a branch where there is none.
 NONE = 255
 #: Mark of an end that has no number, as in a corpus of one text.
@@ -228,7 +230,7 @@ def count_words(docs: DataFrame, where: Column, text_col: str = "text") -> DataF
                     held = {}
         yield out(held)
 
-    return _texts(docs, where, text_col).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return _texts(docs, where, text_col).mapInArrow(sparing(run), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _given(docs: DataFrame, id_cols: list[str]) -> tuple[list[str], list[str]]:
@@ -245,56 +247,111 @@ def _numbered(docs: DataFrame, train: Column, id_cols: list[str], text_col: str,
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _numbers_of(batches, shared.value)
 
-    return materialize(given.mapInArrow(number, ", ".join(["row long, train boolean", *types, "size long, ids binary, odd array<string>"])), "lm-local")
+    return materialize(given.mapInArrow(sparing(number), ", ".join(["row long, train boolean", *types, "size long, ids binary, odd array<string>"])), "lm-local")
 
 
-def _count_groups(numbered: DataFrame, model: Model, wanted: np.ndarray, longer: float | None) -> DataFrame:
-    """(key, w, n), written down: of the wanted contexts (sorted keys of the next level), how often each symbol follows (context number << BITS | symbol; symbol 0 and the word w, if it has no number) and, of longer or more, each numbered word comes before (the complement of context number << BITS | word; None: none)."""
-    shared = numbered.sparkSession.sparkContext.broadcast((model, wanted))
+def _count_groups(full: DataFrame, model: Model, contexts: np.ndarray, longer: float | None, entry: float, above: DataFrame | None) -> DataFrame:
+    """(key, n, times, gain, bucket, places, blob), written down: of the contexts (sorted keys of the next level), next symbols that are entries (context number << BITS | symbol) and words of longer or more occurrences before them (the complement of context number << BITS | word; None: none).
 
-    def out(keys: list[np.ndarray], odd: dict[tuple[int, str], int]) -> pa.RecordBatch:
-        k, n = np.unique(np.concatenate([*keys, np.empty(0, dtype=np.int64)]), return_counts=True)
-        cols = [[*k.tolist(), *(x for x, _ in odd)], [*[""] * len(k), *(w for _, w in odd)], [*n.tolist(), *odd.values()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["key", "w", "n"])
+    In a whole model also sums over all other next symbols, a row with a gain for each context and bucket: key is the
+    context's number, n the symbols, times their occurrences, gain the sum of n log(n / probability at the suffix). Blobs
+    hold (context, symbol, n, probability at the suffix) of these; symbols without a number go by their marks. Counts
+    travel packed, in buckets by suffix and symbol, to which the suffixes' own probabilities (above) come as well.
+    """
+    shared, buckets = full.sparkSession.sparkContext.broadcast((model, contexts)), -(-model.tokens // (4 * BUCKET))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, wanted = shared.value
-        keys, odd, held = [], {}, 0
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, contexts = shared.value
+        held, size = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                raw, sizes = _raw(part.column(0).to_pylist())
-                words = part.column(1)
-                offset = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
-                raw = np.where(raw < 0, raw - np.repeat(np.r_[0, offset[:-1]], sizes), raw)
-                keys.append(_pairs(raw, sizes, words.flatten(), model, wanted, longer is not None, odd))
-                held += len(keys[-1])
-                if held > 8 * HELD or len(odd) > HELD:
-                    yield out(keys, odd)
-                    keys, odd, held = [], {}, 0
-        yield out(keys, odd)
-
-    counted = numbered.where("train").select("ids", "odd").mapInArrow(run, "key long, w string, n long").groupBy("key", "w").agg(F.sum("n").alias("n"))
-    return materialize(counted if longer is None else counted.where((F.col("key") >= 0) | (F.col("n") >= F.lit(longer))), "lm-groups")
-
-
-def _pairs(raw: np.ndarray, sizes: np.ndarray, words: pa.Array, model: Model, wanted: np.ndarray, longer: bool, odd: dict[tuple[int, str], int]) -> np.ndarray:
-    """context number << BITS | symbol wherever a wanted context is followed by a numbered symbol, and the complement of context number << BITS | word wherever a numbered word comes before it; other followers are counted in odd. raw: whole texts of these sizes, joined, each with its end; -i for the i-th of the words."""
-    ids, first, depth = np.maximum(raw, 0), np.zeros(len(raw), dtype=bool), len(model.levels)
+                held.append(_pairs(*batch.slice(i, 256).columns, model, contexts, longer is not None))
+                size += sum(map(len, held[-1][:2]))
+                if size > 4 * HELD:
+                    yield _blobs(*_summed(held, model, contexts), buckets, _planes)
+                    held, size = [], 0
+        if size:
+            yield _blobs(*_summed(held, model, contexts), buckets, _planes)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, contexts = shared.value
+        for bucket, columns in _bucketwise(batches, _columns):
+            keys, n, sums, rest = _merged(columns, model, contexts, longer, entry)
+            blank = len(keys) + len(sums[0])
+            blob = [zstandard.ZstdCompressor(level=1).compress(_planes(rest))] if longer is not None and len(rest[0]) else []
+            cols = [[*keys.tolist(), *sums[0].tolist()], [*n.tolist(), *sums[1].tolist()], [None] * len(keys) + sums[2].tolist(), [None] * len(keys) + sums[3].tolist()]
+            cols = [*(x + [None] * len(blob) for x in cols), *([None] * blank + x for x in ([bucket] * len(blob), [len(rest[0])] * len(blob), blob))]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names=["key", "n", "times", "gain", "bucket", "places", "blob"])
+
+    sent = full.where("train").select("ids", "marks", "counts").mapInArrow(sparing(send), BLOBS)
+    sent = sent if above is None else sent.unionByName(above)
+    return materialize(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sparing(merge), f"key long, n long, times long, gain double, {BLOBS}"), "lm-groups")
+
+
+def _pairs(squeezed: pa.Array, marks: pa.Array, counts: pa.Array, model: Model, contexts: np.ndarray, longer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """context number << BITS | symbol wherever a context is followed by a numbered symbol, and the complement of context number << BITS | word wherever a numbered word comes before it; of other followers the context's number, mark and training count."""
+    ids, mark, odd, n, sizes = _looked(squeezed, marks, counts)
+    first, depth = np.zeros(len(ids), dtype=bool), len(model.levels)
     first[np.cumsum(sizes) - sizes] = True
     suffix = model.states(ids, first)[-1] if depth else None
-    c = _find(wanted, _keys(_before(ids, first, depth + 1, model.end), suffix))
+    c = _find(contexts, _keys(_before(ids, first, depth + 1, model.end), suffix))
     at = np.flatnonzero((c >= 0) & (ids > 0))
     pairs = c[at] << BITS | ids[at]
-    if model.whole:
-        at = np.flatnonzero((c >= 0) & (raw < 0))
-        for x in zip((c[at] << BITS).tolist(), words.take(pa.array(-1 - raw[at])).to_pylist(), strict=True):
-            odd[x] = odd.get(x, 0) + 1
-    if not longer:
-        return pairs
-    far = _before(ids, first, depth + 2, model.end)
-    on = np.flatnonzero((c >= 0) & (far > 0))
-    return np.r_[pairs, ~(c[on] << BITS | far[on])]
+    if longer:
+        far = _before(ids, first, depth + 2, model.end)
+        on = np.flatnonzero((c >= 0) & (far > 0))
+        pairs = np.r_[pairs, ~(c[on] << BITS | far[on])]
+    met = c[odd] >= 0 if model.whole else np.zeros(len(odd), dtype=bool)
+    return pairs, c[odd[met]], mark[odd[met]], n[met]
+
+
+def _hash(head: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return _longer(_longer(np.zeros(len(head), dtype=np.uint64), head), symbol)
+
+
+def _summed(held: list[tuple], model: Model, contexts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(hash, columns) of what _pairs gave: context number (the complement of it for words before), symbol, occurrences, training count (0: numbered). The hash is that of the suffix's state (at the root, the context) and the symbol."""
+    keys, c, mark, count = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, n = np.unique(keys, return_counts=True)
+    before, pair = keys < 0, np.where(keys < 0, ~keys, keys)
+    marks, which = np.unique(mark, return_inverse=True)
+    odd, at, times = np.unique(c << 40 | which, return_index=True, return_counts=True)
+    c = np.r_[np.where(before, ~(pair >> BITS), pair >> BITS), odd >> 40]
+    symbol = np.r_[pair & MASK, marks[odd & (1 << 40) - 1]]
+    head = np.where(c >= 0, contexts[np.maximum(c, 0)] & MASK, c) if model.levels else c
+    return _hash(head, symbol), [c, symbol, np.r_[n, times], np.r_[np.zeros(len(n), dtype=np.int64), count[at]]]
+
+
+def _merged(columns: list[np.ndarray], model: Model, contexts: np.ndarray, longer: float | None, entry: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of one whole bucket: keys and occurrences of entries and longer contexts; sums (context, symbols, occurrences, gain) of all other next symbols, and these. Rows without occurrences are the probabilities of a symbol at a suffix's state."""
+    given = columns[2] == 0
+    state, of, _, p = (x[given] for x in columns)
+    c, symbol, n, count = (x[~given] for x in columns)
+    order = np.lexsort((symbol, c))
+    c, symbol, count = c[order], symbol[order], count[order]
+    heads = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (symbol[1:] != symbol[:-1])][: len(c)])
+    n = np.add.reduceat(n[order], heads) if len(heads) else n
+    c, symbol, count = c[heads], symbol[heads], count[heads]
+    far, near = (c < 0) & (n >= (longer or 0)), (c >= 0) & (symbol > 0) & (n >= entry)
+    keys, times = np.r_[c[near] << BITS | symbol[near], ~(~c[far] << BITS | symbol[far])], np.r_[n[near], n[far]]
+    rest = np.flatnonzero((c >= 0) & ~near) if model.whole else np.empty(0, dtype=np.int64)
+    c, symbol, n, count = c[rest], symbol[rest], n[rest], count[rest]
+    numbered = np.maximum(symbol, 0)
+    below, u = _below(model, contexts, c, numbered)
+    if model.levels:
+        lost = np.flatnonzero(model.levels[-1].apart(u, numbered))
+        found = _hash(state, of)
+        order = np.argsort(found)
+        at = _find(found[order], _hash(u[lost], symbol[lost]))
+        if (at < 0).any():
+            raise ValueError("a next symbol of a context is none of its suffix")
+        below[lost] = p.view(np.float64)[order[at]]
+    else:
+        below = np.where(symbol > 0, below, (count + 1) / model.total)
+    named, which = np.unique(c, return_inverse=True)
+    sums = [np.bincount(which, x, len(named)) for x in (np.ones(len(c)), n, n * np.log(n / below))]
+    return keys, times, [named, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2].astype(np.float64)], [c, symbol, n, below]
 
 
 def _below(model: Model, contexts: np.ndarray, s: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,37 +366,22 @@ def _below(model: Model, contexts: np.ndarray, s: np.ndarray, symbol: np.ndarray
     return below, chain[0] if chain else np.full(len(s), -1, dtype=np.int64)
 
 
-def _apart(counted: DataFrame, model: Model, contexts: np.ndarray, entry: float, above: DataFrame) -> DataFrame:
-    """(c, s, w, n, below), written down: the next symbols of each context that are no entries, and their probabilities at the suffix. above: (u, s, w, p), those of the level before by state."""
-    shared = counted.sparkSession.sparkContext.broadcast((model, contexts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, contexts = shared.value
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            c, s = key >> BITS, key & MASK
-            below, u = _below(model, contexts, c, s)
-            lost = model.levels[-1].apart(u, s) if model.levels else s == 0
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(u), pa.array(s), *batch.columns[1:], pa.array(below, mask=lost)], names=["c", "u", "s", "w", "n", "near"])
-
-    rare = counted.where((F.col("key") >= 0) & ((F.col("n") < F.lit(entry)) | (F.col("w") != "")))
-    rows = rare.mapInArrow(run, "c long, u long, s long, w string, n long, near double").join(above, ["u", "s", "w"], "left")
-    return materialize(rows.select("c", "s", "w", "n", F.coalesce("near", "p").alias("below")), "lm-apart")
-
-
-def _probabilities(apart: DataFrame, level: Level, number: np.ndarray, discount: float) -> DataFrame:
-    """(u, s, w, p), written down: what the level's states give the symbols that are no entries."""
-    shared = apart.sparkSession.sparkContext.broadcast((level, number))
+def _probabilities(groups: DataFrame, model: Model, number: np.ndarray) -> DataFrame:
+    """Blobs of (state, symbol, 0, probability): what the last level's states give the symbols that are no entries, in the next level's buckets. number: each context's state, or -1."""
+    shared, buckets = groups.sparkSession.sparkContext.broadcast((model.levels[-1], number)), -(-model.tokens // (4 * BUCKET))
+    discount = model.discount
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, number = shared.value
-        for batch in batches:
-            u = number[batch.column(0).to_numpy()]
-            batch, u = batch.filter(pa.array(u >= 0)), u[u >= 0]
-            p = (batch.column(3).to_numpy() - discount) / level.sizes[u] + level.rest[u] * batch.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(u), batch.column(1), batch.column(2), pa.array(p)], names=["u", "s", "w", "p"])
+        for _, (c, symbol, n, below) in _bucketwise(batches, _columns):
+            kept = np.flatnonzero(number[c] >= 0)
+            if not len(kept):
+                continue
+            u, symbol = number[c[kept]], symbol[kept]
+            p = (n[kept] - discount) / level.sizes[u] + level.rest[u] * below.view(np.float64)[kept]
+            yield _blobs(_hash(u, symbol), [u, symbol, np.zeros(len(u), dtype=np.int64), p], buckets, _planes)
 
-    return materialize(apart.mapInArrow(run, "u long, s long, w string, p double"), "lm-above")
+    return groups.where(F.col("blob").isNotNull()).select("bucket", "places", "blob").mapInArrow(sparing(run), BLOBS)
 
 
 def _level(model: Model, contexts: np.ndarray, sizes: np.ndarray, counted: list[tuple[int, int]], apart: list[tuple]) -> tuple[Level, np.ndarray]:
@@ -374,22 +416,22 @@ def fit(docs: DataFrame, where: Column, text_col: str = "text", word_share: floa
     is bounded, however long the corpus is: 1/word_share words, 1/ENTRY_SHARE entries and 2**BITS contexts a level. Branches,
     the contexts of min_count occurrences or more that are too rare for that, are counted as texts are scored.
     """
-    model, vocabulary, numbered = _fit(docs, where, None, text_col, word_share, state_share, entry_share, min_nats, discount, depth, min_count)
-    if numbered is not None:
-        discard(numbered)
+    model, vocabulary, full = _fit(docs, where, None, text_col, word_share, state_share, entry_share, min_nats, discount, depth, min_count)
+    if full is not None:
+        discard(full)
     return model, vocabulary
 
 
 def fit_and_score(docs: DataFrame, where: Column, id_cols: list[str], text_col: str = "text", word_share: float = 1e-6, state_share: float | None = None, entry_share: float | None = None, min_nats: float = 10.0, discount: float = 0.75, depth: int = 4, min_count: int | None = 2) -> DataFrame:
     """What score gives with a model that fit learns from the same rows: the words of a text are told apart and numbered once for both."""
-    model, vocabulary, numbered = _fit(docs, where, id_cols, text_col, word_share, state_share, entry_share, min_nats, discount, depth, min_count)
-    said = _score(docs, model, vocabulary, id_cols, text_col, where, numbered)
+    model, vocabulary, full = _fit(docs, where, id_cols, text_col, word_share, state_share, entry_share, min_nats, discount, depth, min_count)
+    said = _score(docs, model, vocabulary, id_cols, text_col, where, full)
     discard(vocabulary)  # looked up when scores return
     return said
 
 
 def _fit(docs: DataFrame, where: Column, id_cols: list[str] | None, text_col: str, word_share: float, state_share: float | None, entry_share: float | None, min_nats: float, discount: float, depth: int, min_count: int | None) -> tuple[Model, DataFrame, DataFrame | None]:
-    """The model, the table of words and, if a trunk needed them, the numbered texts: with id columns those of all rows, else of the training rows."""
+    """The model, the table of words and, if a trunk needed them, the numbered texts as _look_up gives them: with id columns those of all rows, else of the training rows."""
     if min(word_share, state_share or 1.0) < 2.0**-BITS:
         raise ValueError(f"word_share and state_share are at least 2**-{BITS}")
     vocabulary = materialize(count_words(docs, where, text_col).withColumn("id", F.monotonically_increasing_id()), "lm-words")
@@ -406,22 +448,18 @@ def _fit(docs: DataFrame, where: Column, id_cols: list[str] | None, text_col: st
     entry = max((ENTRY_SHARE if entry_share is None else entry_share) * tokens, 1.0)
     contexts = np.flatnonzero(counts >= least).astype(np.int64)
     contexts, sizes = contexts[contexts > 0], counts[contexts[contexts > 0]]
-    train, numbered = F.coalesce(where, F.lit(True)), None
+    train, full = F.coalesce(where, F.lit(True)), None
     if len(contexts):
         numbered = _numbered(docs.where(train), F.lit(True), [], text_col, numbers) if id_cols is None else _numbered(docs, train, id_cols, text_col, numbers)
-    above = vocabulary.select(F.lit(-1).cast("long").alias("u"), F.lit(0).cast("long").alias("s"), F.col("token").alias("w"), ((F.col("n") + 1) / F.lit(float(model.total))).alias("p"))
-    written = []
+        full = _look_up(numbered, vocabulary)
+    above, written = None, []
     while len(contexts) and len(model.levels) < depth:
         last = len(model.levels) + 1 == depth
-        groups = _count_groups(numbered, model, contexts, None if last else least)
-        rows = groups.where((F.col("key") < 0) | ((F.col("w") == "") & (F.col("n") >= F.lit(entry)))).collect()
+        groups = _count_groups(full, model, contexts, None if last else least, entry, above)
+        written.append(groups)
+        rows = groups.where(F.col("gain").isNull() & F.col("blob").isNull()).select("key", "n").collect()
         counted, longer = [(r["key"], r["n"]) for r in rows if r["key"] >= 0], [(~r["key"], r["n"]) for r in rows if r["key"] < 0]
-        sums = []
-        if model.whole:
-            apart = _apart(groups, model, contexts, entry, above)
-            written.append(apart)
-            sums = [tuple(x) for x in apart.groupBy("c").agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.log(F.col("n") / F.col("below")))).collect()]
-        discard(groups)
+        sums = [tuple(x) for x in groups.where(F.col("gain").isNotNull()).groupBy("key").agg(F.sum("n"), F.sum("times"), F.sum("gain")).collect()]
         level, number = _level(model, contexts, sizes, counted, sums)
         model.levels.append(level)
         keys, sizes = (np.array([x[j] for x in longer], dtype=np.int64) for j in (0, 1))
@@ -429,13 +467,11 @@ def _fit(docs: DataFrame, where: Column, id_cols: list[str] | None, text_col: st
         keys, sizes = (keys[kept] & MASK) << BITS | number[keys[kept] >> BITS], sizes[kept]
         order = np.argsort(keys)
         contexts, sizes = keys[order], sizes[order]
-        if model.whole and len(contexts) and not last:
-            above = _probabilities(apart, level, number, discount)
-            written.append(above)
+        above = _probabilities(groups, model, number) if model.whole and len(contexts) and not last else None
     for df in written:
         discard(df)
     release_shuffles(docs.sparkSession)
-    return model, vocabulary, numbered
+    return model, vocabulary, full
 
 
 def _numbers_of(batches: Iterator[pa.RecordBatch], numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
@@ -474,22 +510,29 @@ def _raw(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts).astype(np.int64), np.array([len(x) for x in texts], dtype=np.int64)
 
 
-def _walk(ids: list[bytes], marks: list[list[int] | None], counts: list[list[int] | None], m: Model) -> Walk:
-    raw, sizes = _raw(ids)
-    starts = np.cumsum(sizes) - sizes
-    offset = np.repeat(np.cumsum([0, *(len(x or ()) for x in marks[:-1])]), sizes)
+def _looked(ids: pa.Array, marks: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts that were looked up, joined: each token's number (0: none) and mark; the places of those without a number and their words' training counts; the size of each text."""
+    raw, sizes = _raw(ids.to_pylist())
+    listed = pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False)
     odd = np.flatnonzero(raw < 0)
-    place = offset[odd] - raw[odd] - 1
-    n, other = (np.array([c for x in lists for c in x or ()], dtype=np.int64) for lists in (counts, marks))
+    place = np.repeat(np.cumsum(listed) - listed, sizes)[odd] - raw[odd] - 1
+    n, other = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (counts, marks))
     every = np.maximum(raw, 0)
-    known, base, mark = np.ones(len(raw), dtype=bool), m.base[every], every.copy()
-    known[odd], base[odd] = n[place] > 0, (n[place] + 1) / m.total
+    mark = every.copy()
     mark[odd] = other[place]
-    often = np.ones(len(raw), dtype=bool)
-    often[odd] = n[place] >= (m.min_count or 0)
-    first = np.zeros(len(raw), dtype=bool)
+    return every, mark, odd, n[place], sizes
+
+
+def _walk(ids: pa.Array, marks: pa.Array, counts: pa.Array, m: Model) -> Walk:
+    every, mark, odd, n, sizes = _looked(ids, marks, counts)
+    starts = np.cumsum(sizes) - sizes
+    known, base = np.ones(len(every), dtype=bool), m.base[every]
+    known[odd], base[odd] = n > 0, (n + 1) / m.total
+    often = np.ones(len(every), dtype=bool)
+    often[odd] = n >= (m.min_count or 0)
+    first = np.zeros(len(every), dtype=bool)
     first[starts] = True
-    states, p, apart = m.states(every, first), base, np.zeros(len(raw), dtype=np.uint8)
+    states, p, apart = m.states(every, first), base, np.zeros(len(every), dtype=np.uint8)
     for k, (level, state) in enumerate(zip(m.levels, states, strict=True)):
         p = level.step(state, every, p)
         if m.whole:
@@ -570,6 +613,44 @@ def _unpack(raw: bytes, size: int, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
+def _planes(columns: list[np.ndarray]) -> bytes:
+    """Columns of 8 bytes as planes of bytes."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+
+
+def _columns(raw: bytes, size: int) -> list[np.ndarray]:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8, size)
+    return [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes]
+
+
+def _blobs(key: np.ndarray, columns: list[np.ndarray], buckets: int, pack: Callable, turn: int | None = None, turns: int = 1) -> pa.RecordBatch:
+    """(bucket, places, blob) of rows with these hashes; of those buckets only whose turn it is."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.arange(len(bucket)) if turn is None else np.flatnonzero(bucket % turns == turn)
+    few = bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+    order = order[np.argsort(few, kind="stable")]
+    cols = [c[order] for c in columns]
+    names, at = np.unique(bucket[order], return_index=True)
+    blobs = [squeeze.compress(pack([c[i:j] for c in cols])) for i, j in zip(at, [*at[1:], len(order)][: len(at)], strict=True)]
+    sizes = np.diff([*at, len(order)])
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "places", "blob"])
+
+
+def _bucketwise(batches: Iterator[pa.RecordBatch], unpack: Callable) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each bucket's number and all its rows, out of blobs in the order of buckets."""
+    stretch, now, held = zstandard.ZstdDecompressor(), None, []
+    for batch in batches:
+        for bucket, size, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held and bucket != now:
+                yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            now = bucket
+            held.append(unpack(stretch.decompress(blob.as_buffer()), size))
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def _grow(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(rows, what their branches add to the decimal logarithm) of all places of whole groups: at each length the contexts are counted, tested and stepped through."""
     length, before, symbol, train, row = columns[0], columns[1 : m.depth + 1], columns[m.depth + 1], columns[-2] & 1, columns[-1]
@@ -605,6 +686,13 @@ def _grow(columns: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.bincount(to, np.log10(p[changed] / start[changed]), len(rows)).astype(np.float64)  # of nothing it counts in integers
 
 
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all parts, each once, and the sum of each one's gains."""
+    rows, gain = (np.concatenate(x) for x in zip(*held, strict=True))
+    rows, to = np.unique(rows, return_inverse=True)
+    return rows, np.bincount(to, gain, len(rows)).astype(np.float64)
+
+
 def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
     """(row, gain): what branches and places apart add to the score of each text. Each task holds one bucket of whole groups at a time.
 
@@ -614,16 +702,8 @@ def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
     shared, buckets, turns = full.sparkSession.sparkContext.broadcast(model), -(-places // BUCKET), PASSES
 
     def out(held: list, depth: int, turn: int | None = None) -> pa.RecordBatch:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        bucket = (np.concatenate([k for k, _ in held]) % np.uint64(buckets)).astype(np.int64)
-        order = np.arange(len(bucket)) if turn is None else np.flatnonzero(bucket % turns == turn)
-        few = bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
-        order = order[np.argsort(few, kind="stable")]
-        cols = [np.concatenate(c)[order] for c in zip(*(c for _, c in held), strict=True)]
-        names, at = np.unique(bucket[order], return_index=True)
-        blobs = [squeeze.compress(_pack([c[i:j] for c in cols], _kinds(depth))) for i, j in zip(at, [*at[1:], len(order)][: len(at)], strict=True)]
-        sizes = np.diff([*at, len(order)])
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "places", "blob"])
+        columns = [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)]
+        return _blobs(np.concatenate([k for k, _ in held]), columns, buckets, lambda x: _pack(x, _kinds(depth)), turn, turns)
 
     def sender(apart: bool, turn: int | None = None) -> Callable:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -632,7 +712,7 @@ def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
                 for i in range(0, batch.num_rows, 256):
                     part = batch.slice(i, 256)
                     rows, train = (part.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-                    held.append(_places(_walk(*(part.column(j).to_pylist() for j in (2, 3, 4)), m), rows, train.astype(bool), m, apart))
+                    held.append(_places(_walk(*part.columns[2:], m), rows, train.astype(bool), m, apart))
                     size += len(held[-1][0])
                     if size > BUFFER:
                         yield out(held, m.depth, turn)
@@ -642,21 +722,9 @@ def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
 
         return send
 
-    def bucketwise(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[list[np.ndarray]]:
-        stretch, now, held = zstandard.ZstdDecompressor(), None, []
-        for batch in batches:
-            for bucket, size, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if held and bucket != now:
-                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
-                    held = []
-                now = bucket
-                held.append(_unpack(stretch.decompress(blob.as_buffer()), size, _kinds(depth)))
-        if held:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, held, size = shared.value, [], 0
-        for columns in bucketwise(batches, m.depth):
+        for _, columns in _bucketwise(batches, lambda raw, size: _unpack(raw, size, _kinds(m.depth))):
             held.append(_settle(columns, m))
             size += len(columns[0])
             if size > BUFFER:
@@ -666,23 +734,35 @@ def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
             yield out(held, m.depth)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for columns in bucketwise(batches, m.depth):
-            rows, gain = _grow(columns, m)
+        m, held, size = shared.value, [], 0
+        for _, columns in _bucketwise(batches, lambda raw, size: _unpack(raw, size, _kinds(m.depth))):
+            held.append(_grow(columns, m))
+            size += len(held[-1][0])
+            if size > BUFFER:
+                rows, gain = _added(held)
+                yield _blobs(splitmix(rows.view(np.uint64)), [rows, gain], buckets, _planes)
+                held, size = [], 0
+        if size:
+            rows, gain = _added(held)
+            yield _blobs(splitmix(rows.view(np.uint64)), [rows, gain], buckets, _planes)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (rows, gain) in _bucketwise(batches, _columns):
+            rows, gain = _added([(rows, gain.view(np.float64))])
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(gain)], names=["row", "gain"])
 
-    texts, blobs = full.select("row", "train", "ids", "marks", "counts"), "bucket long, places long, blob binary"
+    texts = full.select("row", "train", "ids", "marks", "counts")
     settled = None
     if model.whole and model.levels:
-        settled = materialize(texts.mapInArrow(sender(True), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, blobs), "lm-settled")
+        settled = materialize(texts.mapInArrow(sparing(sender(True)), BLOBS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sparing(settle), BLOBS), "lm-settled")
         release_shuffles(full.sparkSession)
     gains = []
     for turn in range(turns):
-        sent = texts.mapInArrow(sender(False, turn), blobs)
+        sent = texts.mapInArrow(sparing(sender(False, turn)), BLOBS)
         if settled is not None:
             sent = sent.unionByName(settled.where(F.col("bucket") % turns == turn))
-        grown = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(grow, "row long, gain double")
-        gains.append(materialize(grown.groupBy("row").agg(F.sum("gain").alias("gain")), "lm-gains"))
+        grown = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sparing(grow), BLOBS)
+        gains.append(materialize(grown.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sparing(add), "row long, gain double"), "lm-gains"))
         del sent, grown
         release_shuffles(full.sparkSession)
     if settled is not None:
@@ -690,27 +770,8 @@ def _branch_gains(full: DataFrame, model: Model, places: int) -> DataFrame:
     return reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
-def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[str], text_col: str = "text", where: Column | None = None) -> DataFrame:
-    """id_cols, n_tokens, n_known, train_tokens, base_score, score of every row of docs, over its whole text.
-
-    where: the condition that fit had. Branches are counted in the rows of docs that meet it, so docs holds the training
-    rows too (None: no row does, and the trunk's entries alone score). A null text counts as empty: its only token is the end.
-    Repeated rows and null ids are kept apart by a row number that is written down before it is used. Words outside the
-    broadcast are looked up by a join in which frequent ones are broadcast. Only words that no training text has, such as one
-    that every held-out text has, can be frequent there. An empty table gives an empty result.
-    """
-    return _score(docs, model, vocabulary, id_cols, text_col, where, None)
-
-
-def _score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[str], text_col: str, where: Column | None, local: DataFrame | None) -> DataFrame:
-    """local: the numbered texts of docs with the id columns, if they are there already."""
-    if where is None:
-        model = replace(model, levels=[replace(x, rest=x.alone) for x in model.levels], whole=False)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    train = F.coalesce(where, F.lit(True)) if where is not None else F.lit(False)
-    names, types = _given(docs, id_cols)
-    if local is None:
-        local = _numbered(docs, train, id_cols, text_col, model.numbers)
+def _look_up(local: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Numbered texts with the marks and training counts of their words that have no number in place of the words, written down; local is deleted."""
     odd = local.select("row", "train", F.posexplode("odd").alias("pos", "token"))
     mark = F.when(F.col("id").isNull(), F.lit(-1)).when(F.col("token") == END, F.lit(END_MARK)).otherwise(F.lit(-2) - F.col("id"))
     look = lambda rows, side: rows.join(side, "token", "left").select(*rows.columns, F.coalesce("n", F.lit(0).cast("long")).alias("n"), mark.cast("long").alias("mark"))
@@ -728,17 +789,41 @@ def _score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[s
     if met is not None:
         discard(met)
     del odd, found, counts
-    release_shuffles(docs.sparkSession)
+    release_shuffles(local.sparkSession)
+    return full
+
+
+def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[str], text_col: str = "text", where: Column | None = None) -> DataFrame:
+    """id_cols, n_tokens, n_known, train_tokens, base_score, score of every row of docs, over its whole text.
+
+    where: the condition that fit had. Branches are counted in the rows of docs that meet it, so docs holds the training
+    rows too (None: no row does, and the trunk's entries alone score). A null text counts as empty: its only token is the end.
+    Repeated rows and null ids are kept apart by a row number that is written down before it is used. Words outside the
+    broadcast are looked up by a join in which frequent ones are broadcast. Only words that no training text has, such as one
+    that every held-out text has, can be frequent there. An empty table gives an empty result.
+    """
+    return _score(docs, model, vocabulary, id_cols, text_col, where, None)
+
+
+def _score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_cols: list[str], text_col: str, where: Column | None, full: DataFrame | None) -> DataFrame:
+    """full: the texts of docs with the id columns, numbered and looked up, if they are there already."""
+    if where is None:
+        model = replace(model, levels=[replace(x, rest=x.alone) for x in model.levels], whole=False)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    train = F.coalesce(where, F.lit(True)) if where is not None else F.lit(False)
+    names, types = _given(docs, id_cols)
+    if full is None:
+        full = _look_up(_numbered(docs, train, id_cols, text_col, model.numbers), vocabulary)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                walk = _walk(*(part.column(j).to_pylist() for j in range(part.num_columns - 3, part.num_columns)), shared.value)
+                walk = _walk(*part.columns[-3:], shared.value)
                 sums = [np.add.reduceat(x, walk.starts) for x in (walk.known.astype(np.int64), np.log10(walk.base), np.where(walk.apart, 0.0, np.log10(walk.p)))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(walk.sizes), *map(pa.array, sums)], names=[*part.schema.names[:-3], "n_tokens", "n_known", "base", "tree"])
 
-    sums = full.select("row", *names, "ids", "marks", "counts").mapInArrow(measure, ", ".join(["row long", *types, "n_tokens long, n_known long, base double, tree double"]))
+    sums = full.select("row", *names, "ids", "marks", "counts").mapInArrow(sparing(measure), ", ".join(["row long", *types, "n_tokens long, n_known long, base double, tree double"]))
     gain = F.lit(0.0)
     if where is not None and (model.min_count is not None or model.whole and model.levels):
         places = full.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
