@@ -38,23 +38,27 @@ def _count(c: Column) -> Column:
 
 
 def fused(events: DataFrame) -> DataFrame:
-    """Everything about an actor that needs no order, in one pass over the log. Distinct counts go through one Expand."""
+    """Everything about an actor that needs no order, in one pass over the log.
+
+    Distinct values are held as sets of one actor at a time: an Expand would multiply the log and sort it with all its sums.
+    """
+    distinct = lambda c: F.size(F.collect_set(c)).cast("long")
     kind, source, stage = F.coalesce("event_type", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("lifecycle_stage", F.lit(""))
     commit = (source == "commit") | (kind == "commit_authored")
     bot = F.bool_or("is_bot") if "is_bot" in events.columns else F.lit(False)
     aggs = [
         F.count("*").alias("total_events"),
-        F.count_distinct("project_name").alias("n_projects"),
-        F.count_distinct("issue_id").alias("n_unique_issues"),
-        F.count_distinct(F.to_date("ts")).alias("active_days"),
+        distinct("project_name").alias("n_projects"),
+        distinct("issue_id").alias("n_unique_issues"),
+        distinct(F.to_date("ts")).alias("active_days"),
         F.coalesce(bot, F.lit(False)).alias("is_bot"),
         _count(F.col("event_scope") == "issue_linked").alias("n_issue_linked_events"),
         _count(F.col("event_scope") == "project_level").alias("n_project_level_events"),
         *[_count(kind == v).alias(k) for k, v in EVENT_COUNTS.items()],
-        F.count_distinct(F.when(kind == "issue_comment_added", F.col("issue_id"))).alias("n_unique_issues_commented"),
+        distinct(F.when(kind == "issue_comment_added", F.col("issue_id"))).alias("n_unique_issues_commented"),
         F.median(F.when(kind == "issue_comment_added", F.col("text_length"))).alias("median_comment_length"),
         _count((kind == "issue_field_changed") & (stage == "unknown")).alias("n_unknown_issue_field_changes"),
-        F.count_distinct(F.when(commit, F.col("commit_id"))).alias("n_commits_linked_to_bug"),
+        distinct(F.when(commit, F.col("commit_id"))).alias("n_commits_linked_to_bug"),
         *[F.coalesce(F.sum(F.when(commit, F.col(c))), F.lit(0)).alias(f"n_{c}") for c in ("files_changed", "lines_added", "lines_deleted")],
         _count(source == "pull_request").alias("n_pr_events_total"),
         _count(source == "pull_request_review_comment").alias("n_pr_review_comments"),
