@@ -8,24 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.schemas import NO_CLUSTERED_ROLE, NO_NON_NOISE_ROLE, NOISE_ROLE, ROLE_COLUMNS, ROLE_ORDER
+from tracewright.sources.tables import spread
 
 
 def role_lookup(labels: DataFrame) -> DataFrame:
     """Actor roles with the noise cluster's analysis label; ValueError if a cluster has no role name."""
     if labels.where("cluster_label is not null and candidate_role_label is null").limit(1).count():
         raise ValueError("a cluster has no role label")
+    return with_analysis_labels(labels)
+
+
+def with_analysis_labels(labels: DataFrame) -> DataFrame:
     noise = F.col("cluster_label") == -1
     return labels.withColumn("is_noise_cluster", noise).withColumn("analysis_role_label", F.when(noise, NOISE_ROLE).otherwise(F.col("candidate_role_label")))
 
 
 def enrich(events: DataFrame, lookup: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """Issue-linked events with roles and eligibility flags. flags: (actor_id, is_bot, is_low_activity)."""
-    unknown = F.coalesce(F.col("actor_unknown"), F.lit(True)) if "actor_unknown" in events.columns else F.col("actor_id").isNull()
-    rows = events.where("event_scope = 'issue_linked' and issue_id is not null").join(lookup, "actor_id", "left")
+    rows = linked(events).join(lookup, "actor_id", "left")
     if flags is not None:
         rows = rows.join(flags.select("actor_id", "is_bot", "is_low_activity"), "actor_id", "left")
     else:
         rows = rows.withColumn("is_bot", F.lit(False)).withColumn("is_low_activity", F.lit(False))
+    return flagged(rows)
+
+
+def linked(events: DataFrame) -> DataFrame:
+    return events.where("event_scope = 'issue_linked' and issue_id is not null")
+
+
+def flagged(rows: DataFrame) -> DataFrame:
+    """rows with roles (cluster_label, candidate_role_label, is_noise_cluster, analysis_role_label, is_bot, is_low_activity), and their eligibility flags."""
+    unknown = F.coalesce(F.col("actor_unknown"), F.lit(True)) if "actor_unknown" in rows.columns else F.col("actor_id").isNull()
     rows = rows.withColumn("actor_known", ~unknown).withColumn("actor_clustered", F.col("cluster_label").isNotNull()).withColumn("is_noise_cluster", F.coalesce("is_noise_cluster", F.lit(False)))
     rows = rows.withColumn("is_bot", F.coalesce("is_bot", F.lit(False))).withColumn("is_low_activity", F.coalesce("is_low_activity", F.lit(False)))
     rows = rows.withColumn("actor_unclustered", F.col("actor_known") & ~F.col("actor_clustered")).withColumn("role_set_eligible", F.col("actor_known") & F.col("actor_clustered"))
@@ -53,9 +67,13 @@ def _ordered_set(cond: Column, label: str, none: str) -> Column:
 
 
 def issue_role_sets(enriched: DataFrame) -> DataFrame:
-    """Role sets in fixed rank order and actor counts of each issue, in one pass over distinct (issue, actor) pairs and counts of events."""
+    """Role sets in fixed rank order and actor counts of each issue, in one pass over distinct (issue, actor) pairs and counts of events.
+
+    Nearly every event is a pair of its own, so events are dealt out by pair before they are sorted, and sorted once.
+    """
     known, noise = F.col("actor_known"), F.col("is_noise_cluster")
-    pairs = enriched.groupBy("issue_id", "actor_id").agg(
+    narrow = enriched.select("issue_id", "actor_id", "project_name", "actor_known", "actor_clustered", "actor_unclustered", "is_noise_cluster", "analysis_role_label", "candidate_role_label")
+    pairs = spread(narrow, "issue_id", "actor_id").groupBy("issue_id", "actor_id").agg(
         F.max("project_name").alias("project_name"), F.max("actor_known").alias("actor_known"), F.max("actor_clustered").alias("actor_clustered"), F.max("actor_unclustered").alias("actor_unclustered"), F.max("is_noise_cluster").alias("is_noise_cluster"),
         F.max("analysis_role_label").alias("analysis_role_label"), F.max("candidate_role_label").alias("candidate_role_label"), F.count_if(~known).alias("u"), F.count_if("actor_unclustered").alias("v"),
     )
@@ -73,13 +91,13 @@ def issue_role_sets(enriched: DataFrame) -> DataFrame:
 
 
 def lifecycle_metrics(enriched: DataFrame, role_sets: DataFrame) -> DataFrame:
-    """Times, counts and patch size of each issue, fused, with its role sets."""
+    """Times, counts and patch size of each issue, fused, with its role sets. The project is the one of role_sets: a greatest text would have all events sorted."""
     src, kind = F.col("source"), F.col("event_type")
     has = lambda c: F.col(c) if c in enriched.columns else F.lit(None).cast("string")
     units = lambda cond, c: F.count_distinct(F.when(cond, F.coalesce(F.nullif(has(c), F.lit("")), F.col("event_id"))))
     both = ["pull_request_comment", "pull_request_review_comment"]
     base = enriched.groupBy("issue_id").agg(
-        F.max("project_name").alias("project_name"), F.min("ts").alias("first_event_at"), F.max("ts").alias("last_event_at"),
+        F.min("ts").alias("first_event_at"), F.max("ts").alias("last_event_at"),
         F.min(F.when(kind == "issue_created", F.col("ts"))).alias("issue_created_at"),
         F.max(F.when(kind.isin("issue_closed", "issue_resolved") | (F.col("lifecycle_stage") == "closure"), F.col("ts"))).alias("issue_closed_or_resolved_at"),
         F.count("event_id").alias("n_events"), F.count_if(src.isin("issue_comment", *both)).alias("n_comments"), F.count_if((src == "issue_comment") | (kind == "issue_comment_added")).alias("n_issue_comments"),
@@ -90,18 +108,20 @@ def lifecycle_metrics(enriched: DataFrame, role_sets: DataFrame) -> DataFrame:
     )
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     took = micros("issue_closed_or_resolved_at") - micros("issue_created_at")
-    sets = role_sets.drop("project_name", "n_roles_with_noise", "n_roles_without_noise")
-    out = base.join(sets, "issue_id").withColumn("patch_size", F.col("lines_added") + F.col("lines_deleted"))
+    sets = role_sets.drop("n_roles_with_noise", "n_roles_without_noise")
+    out = base.join(sets, "issue_id")
+    out = out.select("issue_id", "project_name", *[c for c in out.columns if c not in ("issue_id", "project_name")]).withColumn("patch_size", F.col("lines_added") + F.col("lines_deleted"))
     out = out.withColumn("time_to_close_hours", F.when(took >= 0, took / 3.6e9)).withColumn("time_to_close_days", F.when(took >= 0, took / 8.64e10))
     flags = {"has_fixer": "Fixer / Code Contributor", "has_reviewer": "Review-focused Participant", "has_integrator": "PR Integrator", "has_issue_side_participant": "Issue-side Participant", "has_review_integration_hybrid": "Review-Integration Hybrid"}
     return out.withColumns({k: F.contains("role_set_without_noise", F.lit(v)) for k, v in flags.items()})
 
 
 def role_set_frequency(role_sets: DataFrame) -> DataFrame:
-    """Issues per role set, over all projects (ALL) and by project, with and without noise: one grouping-sets pass a scope."""
+    """Issues per role set, over all projects (ALL) and by project, with and without noise: one grouping-sets pass a scope, over kept counts of one pass over the issues."""
+    role_sets = role_sets.groupBy("project_name", "role_set_with_noise", "role_set_without_noise").agg(F.count("*").alias("__n")).persist()
     parts = []
     for scope, c in (("including_noise", "role_set_with_noise"), ("excluding_noise", "role_set_without_noise")):
-        g = role_sets.groupingSets([[F.col(c)], [F.col("project_name"), F.col(c)]], F.col("project_name"), F.col(c)).agg(F.count("*").alias("n_issues"), F.grouping("project_name").alias("g"))
+        g = role_sets.groupingSets([[F.col(c)], [F.col("project_name"), F.col(c)]], F.col("project_name"), F.col(c)).agg(F.sum("__n").alias("n_issues"), F.grouping("project_name").alias("g"))
         name = F.when(F.col("g") == 1, "ALL").otherwise(F.col("project_name"))
         g = g.select(F.lit(scope).alias("role_set_scope"), name.alias("project_name"), F.col(c).alias("role_set"), "n_issues")
         parts.append(g.withColumn("issue_ratio", F.col("n_issues") / F.sum("n_issues").over(Window.partitionBy("project_name"))))
@@ -155,17 +175,21 @@ def eligible(enriched: DataFrame, include_noise: bool) -> tuple[DataFrame, str]:
 
 
 def role_vectors(events: DataFrame, lookup: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Distinct actors per issue and role, as columns beside the issue's metrics. Here an unset unknown flag means a known actor."""
+    """Distinct actors per issue and role, as columns beside the issue's metrics. Here an unset unknown flag means a known actor.
+
+    events that have their roles already (cluster_label, candidate_role_label) are not joined with lookup.
+    """
     unknown = F.coalesce(F.col("actor_unknown"), F.lit(False)) if "actor_unknown" in events.columns else F.lit(False)
-    linked = events.where("event_scope = 'issue_linked'").withColumn("__u", unknown if "actor_unknown" in events.columns else F.col("actor_id").isNull())
-    roles = linked.where(~F.col("__u") & F.col("actor_id").isNotNull()).join(lookup.select("actor_id", "cluster_label", "candidate_role_label"), "actor_id", "left")
+    of_issues = events.where("event_scope = 'issue_linked'").withColumn("__u", unknown if "actor_unknown" in events.columns else F.col("actor_id").isNull())
+    roles = of_issues if "cluster_label" in events.columns else of_issues.join(lookup.select("actor_id", "cluster_label", "candidate_role_label"), "actor_id", "left")
     named = F.when(F.col("cluster_label").isNull(), "Unclustered known actor").when(F.col("cluster_label") == -1, "No primary role label").otherwise(F.col("candidate_role_label"))
     wide = {**ROLE_COLUMNS, "No primary role label": "n_noise_or_boundary_actor", "Unclustered known actor": "n_unclustered_known_actor"}
-    pairs = roles.select("issue_id", "actor_id", named.alias("role")).distinct()
-    counted = pairs.groupBy("issue_id").agg(*[F.count_if(F.col("role") == r).alias(c) for r, c in wide.items()])
-    lost = linked.where("__u").groupBy("issue_id").agg(F.count("*").alias("n_actor_unknown_events_recomputed"))
+    # one pass: pairs of known actors, and the events of unknown ones under no role
+    known = ~F.col("__u") & F.col("actor_id").isNotNull()
+    pairs = roles.groupBy("issue_id", F.when(known, F.col("actor_id")).alias("actor_id"), F.when(known, named).alias("role")).agg(F.count_if("__u").alias("__lost"))
+    counted = pairs.groupBy("issue_id").agg(*[F.count_if(F.col("actor_id").isNotNull() & (F.col("role") == r)).alias(c) for r, c in wide.items()], F.sum("__lost").alias("n_actor_unknown_events_recomputed"))
     keep = ["project_name", "issue_id", "time_to_close_days", "n_events", "n_comments", "n_issue_comments", "n_commits", "n_prs", "n_reviews", "n_review_comments", "n_actors", "n_non_noise_actors", "n_noise_actors", "patch_size", "role_set_without_noise"]
-    out = metrics.select(*[c for c in keep if c in metrics.columns]).join(counted, "issue_id", "left").join(lost, "issue_id", "left").fillna(0, [*wide.values(), "n_actor_unknown_events_recomputed"])
+    out = metrics.select(*[c for c in keep if c in metrics.columns]).join(counted, "issue_id", "left").fillna(0, [*wide.values(), "n_actor_unknown_events_recomputed"])
     out = out.withColumn("n_stable_role_actors", reduce(lambda a, b: a + b, [F.col(c) for c in ROLE_COLUMNS.values()]))
     return out.withColumn("n_all_counted_known_actors", F.col("n_stable_role_actors") + F.col("n_noise_or_boundary_actor") + F.col("n_unclustered_known_actor")).withColumn("issue_key", F.concat_ws(":", "project_name", "issue_id"))
 

@@ -36,7 +36,7 @@ def _statuses(s, d):
 
 
 def _trends(s, d):
-    out = issues.outcomes(_metrics(s, d))
+    out = issues.outcomes(_metrics(s, d)).persist()  # a row a role set, read twice
     return _flat(review.trend(out, "median_time_to_close_days", 3).unionByName(review.trend(out, "median_patch_size", 3)))
 
 
@@ -51,7 +51,7 @@ _NSEQ = "nseq AS (SELECT issue_id, ts, event_id, label FROM (SELECT issue_id, ts
 
 def _profiles_two(s, d):
     labelled, events = _labelled(s, d)
-    return profiles.profiles(labelled, events), labelled
+    return profiles.profiles(labelled, events).persist(), labelled  # a row a cluster, checked before it is used
 
 
 def _taxonomy(s, d):
@@ -135,7 +135,7 @@ QUERIES: dict = {
     "transform_log": (lambda s, d: prep.transform_log(_features(s, d)), over(AF, select=" UNION ALL ".join(f"SELECT '{c}' AS feature, '{prep.feature_kind(c)}' AS feature_kind, {'true' if prep.feature_kind(c) == 'count' else 'false'} AS is_logged, true AS is_capped, true AS is_scaled, {chr(39) + 'missing_flag_plus_zero_imputation' + chr(39) if c == 'median_comment_length' else chr(39) + 'none' + chr(39)} AS action, {'count(*) FILTER (WHERE median_comment_length IS NULL)' if c == 'median_comment_length' else 'CAST(0 * count(*) AS BIGINT)'} AS missing_count_before FROM af" for c in [*MODEL, prep.FLAG]))),
     "top_feature_text": (lambda s, d: review.feature_text(_top(s, d)), over(ROLE, AF, _LBL, _Z, _TOP6, select="SELECT * FROM t6")),
     "role_taxonomy": (_taxonomy, over(ROLE, AF, _LBL, _Z, _TOP6, _NAMES_SQL, select="SELECT f.*, candidate_role_label, top_feature_text FROM (SELECT cluster_label, count(*) AS n_actors, round(avg(cluster_probability), 6) AS stability_mean FROM lf GROUP BY 1) f JOIN nn USING (cluster_label) JOIN t6 USING (cluster_label)")),
-    "role_evidence": (lambda s, d: (lambda p, lab: review.taxonomy(p, _top(s, d), lab.groupBy("cluster_label").agg(F.count("*").alias("n")), CLUSTER_ROLES).select("cluster_label", "evidence_summary"))(*_profiles_two(s, d)), over(ROLE, AF, _LBL, _Z, _TOP6, "st AS (SELECT cluster_label, lifecycle_stage, count(*) / sum(count(*)) OVER (PARTITION BY cluster_label) AS ratio, row_number() OVER (PARTITION BY cluster_label ORDER BY count(*) DESC, lifecycle_stage) AS k FROM le JOIN role USING (actor_id) GROUP BY 1, 2)", select="SELECT cluster_label, 'dominant stage ' || lifecycle_stage || ' (' || printf('%.3f', ratio) || '); top features ' || top_feature_text AS evidence_summary FROM st JOIN t6 USING (cluster_label) WHERE k = 1")),
+    "role_evidence": (lambda s, d: (lambda p, lab: review.taxonomy(p, profiles.top_features(lab, SIGNALS, 10), lab.groupBy("cluster_label").agg(F.count("*").alias("n")), CLUSTER_ROLES).select("cluster_label", "evidence_summary"))(*_profiles_two(s, d)), over(ROLE, AF, _LBL, _Z, _TOP6, "st AS (SELECT cluster_label, lifecycle_stage, count(*) / sum(count(*)) OVER (PARTITION BY cluster_label) AS ratio, row_number() OVER (PARTITION BY cluster_label ORDER BY count(*) DESC, lifecycle_stage) AS k FROM le JOIN role USING (actor_id) GROUP BY 1, 2)", select="SELECT cluster_label, 'dominant stage ' || lifecycle_stage || ' (' || printf('%.3f', ratio) || '); top features ' || top_feature_text AS evidence_summary FROM st JOIN t6 USING (cluster_label) WHERE k = 1")),
     "forbidden_labels": (lambda s, d: table(s, d, "part").select("p_partkey", review.has_forbidden(F.concat("p_type", F.when(F.col("p_partkey") % 5 == 0, " Team LEADER"))).alias("is_forbidden")), "SELECT p_partkey, coalesce(contains(lower(CASE WHEN p_partkey % 5 = 0 THEN p_type || ' Team LEADER' END), 'leader'), false) AS is_forbidden FROM part"),
     "subgroup_top_actors": (_subgroups, over(ROLE, AF, _LBL, select="SELECT * FROM (SELECT first_lifecycle_stage AS subgroup, actor_id, total_events, row_number() OVER (PARTITION BY first_lifecycle_stage ORDER BY total_events DESC, actor_id) AS rank FROM lf WHERE cluster_label = 2) WHERE rank <= 3")),
     "validation_coverage": (_sample, over(ROLE, AF, _LBL, _REPR, select="SELECT cluster_label, count(DISTINCT actor_id) AS n_actors FROM rp WHERE rank <= 3 GROUP BY 1")),

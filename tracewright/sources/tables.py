@@ -71,6 +71,8 @@ def region_of_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("custkey"), "project_name")
 
 
+#: Bytes of Parquet behind a partition of spread().
+SHARE_BYTES = 2 << 20
 LOG_COLUMNS = ["event_id", "project_name", "issue_id", "actor_id", "ts", "source", "event_type", "lifecycle_stage", "event_scope", "text_length", "files_changed", "lines_added", "lines_deleted", "commit_id"]
 
 
@@ -117,7 +119,7 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lifecycle log as a kept stage: evaluated once a session and folder, on memory and disk, and read by every query."""
+    """The lifecycle log as a kept stage, for queries that read it more than once: evaluated once a session and folder, on memory and disk."""
     logs = spark.__dict__.setdefault("_tracewright_logs", {})
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in logs:
@@ -125,9 +127,21 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs[key]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys, in the more partitions the more its tables hold, so that a task's share doesn't grow with them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    n = sum(x for x in sizes if x < 1 << 60) // SHARE_BYTES  # larger: not known
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
+def role_columns(actor: Column) -> dict[str, Column]:
+    """cluster_label and candidate_role_label of an actor id, by its number; null without an actor and for every eleventh."""
+    n = F.regexp_extract(actor, r"(\d+)", 1).cast("long")
+    label = F.when(n % 11 != 0, (n % 7 - 1).cast("int"))
+    return {"cluster_label": label, "candidate_role_label": F.create_map(*[F.lit(x) for kv in CLUSTER_ROLES.items() for x in kv])[label]}
+
+
 def role_dimension(actors: DataFrame) -> DataFrame:
     """(actor_id, cluster_label, candidate_role_label) of distinct actor ids, by the number in the id; every eleventh has none."""
-    n = F.regexp_extract("actor_id", r"(\d+)", 1).cast("long")
-    names = F.create_map(*[F.lit(x) for kv in CLUSTER_ROLES.items() for x in kv])
-    rows = actors.select("actor_id").where("actor_id is not null").distinct().withColumn("n", n).where("n % 11 <> 0")
-    return rows.select("actor_id", (F.col("n") % 7 - 1).cast("int").alias("cluster_label")).withColumn("candidate_role_label", names[F.col("cluster_label")])
+    return actors.select("actor_id").where("actor_id is not null").distinct().withColumns(role_columns(F.col("actor_id"))).where("cluster_label is not null")
