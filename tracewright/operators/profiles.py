@@ -11,7 +11,10 @@ from tracewright.schemas import ROLE_SIGNALS
 
 def dominant(df: DataFrame, group: str, value: str) -> DataFrame:
     """The most frequent value of each group and its share; ties go to the first value."""
-    shares = share_within(df, group, value)
+    return first_of(share_within(df, group, value), group, value)
+
+
+def first_of(shares: DataFrame, group: str, value: str) -> DataFrame:
     return shares.groupBy(group).agg(F.min_by(F.struct(value, "n", "ratio"), F.struct(-F.col("n"), F.col(value))).alias("t")).select(group, f"t.{value}", "t.n", "t.ratio")
 
 
@@ -62,8 +65,10 @@ def timeline(events: DataFrame, chosen: DataFrame, n: int = 8) -> DataFrame:
 def profiles(labelled: DataFrame, events: DataFrame) -> DataFrame:
     """Size, activity and the dominant stage of each cluster."""
     base = labelled.groupBy("cluster_label").agg(F.count("*").alias("n_actors"), F.sum("total_events").alias("total_events"), F.avg("total_events").alias("mean_events"), F.median("total_events").alias("median_events"), F.avg("n_unique_issues").alias("mean_unique_issues"), F.median("n_unique_issues").alias("median_unique_issues"))
-    by = events.join(labelled.select("actor_id", "cluster_label"), "actor_id")
-    stage = dominant(by, "cluster_label", "lifecycle_stage").select("cluster_label", F.col("lifecycle_stage").alias("dominant_stage"), F.col("ratio").alias("dominant_stage_ratio"))
+    counts = events.groupBy("actor_id", "lifecycle_stage").agg(F.count("*").alias("n"))  # a few rows an actor instead of its events
+    by = counts.join(labelled.select("actor_id", "cluster_label"), "actor_id").groupBy("cluster_label", "lifecycle_stage").agg(F.sum("n").alias("n"))
+    shares = by.withColumn("ratio", F.col("n") / F.sum("n").over(Window.partitionBy("cluster_label")))
+    stage = first_of(shares, "cluster_label", "lifecycle_stage").select("cluster_label", F.col("lifecycle_stage").alias("dominant_stage"), F.col("ratio").alias("dominant_stage_ratio"))
     return base.join(stage, "cluster_label", "left")
 
 
