@@ -46,3 +46,11 @@ def test_roles_by_expression_are_those_of_the_dimension(spark):
     joined = events.join(tables.role_dimension(events), "actor_id", "left")
     direct = events.withColumns(tables.role_columns(F.col("actor_id")))
     assert sorted(map(str, joined.collect())) == sorted(map(str, direct.collect()))
+
+
+def test_the_join_of_lines_takes_more_tasks_of_larger_tables(spark, monkeypatch):
+    want = tables.lifecycle_events(spark, DATA).groupBy("event_type").count().orderBy("event_type").collect()
+    monkeypatch.setattr(tables, "SHARE_BYTES", 4_000)
+    events = tables.lifecycle_events(spark, DATA)
+    assert "REPARTITION_BY_NUM" in events._jdf.queryExecution().executedPlan().toString()
+    assert events.groupBy("event_type").count().orderBy("event_type").collect() == want

@@ -87,7 +87,10 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star-schema tables as a lifecycle event log: orders are issues, lines are commits, events are activity."""
     place = region_of_customer(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "P")).join(place, F.col("o_custkey") == F.col("custkey"))
-    lines = table(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "project_name"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem")
+    if n := _pieces(lines):  # else adaptive execution makes tasks of the join larger with the tables
+        lines = lines.repartition(n, "l_orderkey")
+    lines = lines.join(orders.select("o_orderkey", "project_name"), F.col("l_orderkey") == F.col("o_orderkey"))
     acts = table(spark, sf_dir, "events").join(place, F.col("user_id") == F.col("custkey"))
     s = lambda c: F.col(c).cast("string")
     created = _emit(orders, event_id=F.concat(F.lit("issue:issue_created:"), s("o_orderkey")), project_name=F.col("project_name"), issue_id=s("o_orderkey"), actor_id=F.concat(F.lit("c"), s("o_custkey")), ts=F.col("o_orderdate"), source=F.lit("issue"), event_type=F.lit("issue_created"), text_length=F.length("o_orderpriority").cast("long"))
@@ -127,12 +130,18 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs[key]
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt out by keys, in the more partitions the more its tables hold, so that a task's share doesn't grow with them."""
+def _pieces(df: DataFrame) -> int | None:
+    """How many partitions df is dealt out into, if its tables hold more than the session's number of partitions is for."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     n = sum(x for x in sizes if x < 1 << 60) // SHARE_BYTES  # larger: not known
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys, in the more partitions the more its tables hold, so that a task's share doesn't grow with them."""
+    n = _pieces(df)
+    return df.repartition(n, *keys) if n else df.repartition(*keys)
 
 
 def role_columns(actor: Column) -> dict[str, Column]:
